@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -83,7 +84,12 @@ def _two_sided_p(r: pd.Series, n: pd.Series) -> pd.Series:
     )
 
 
-def beta_tail(a: float, r2: float, nodes: int = 200) -> float:
+@lru_cache
+def _nodes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.polynomial.legendre.leggauss(n)
+
+
+def beta_tail(a: float, r2: float, nodes: int = 64) -> float:
     """P(X > r2) where X is Beta(1/2, a), the null law of r squared.
 
     With x = sin(t)^2 the integrand is cos(t)^(2a - 1), smooth and falling from t0 to pi/2;
@@ -98,7 +104,7 @@ def beta_tail(a: float, r2: float, nodes: int = 200) -> float:
     # Beyond `reach` the integrand is below 1e-20 of its start.
     floor = math.log(math.cos(start)) - 46.0 / max(power, 1e-9)
     reach = min(end, math.acos(math.exp(floor)) if floor < 0 else end)
-    x, weight = np.polynomial.legendre.leggauss(nodes)
+    x, weight = _nodes(nodes)
     t = start + (reach - start) * (x + 1) / 2
     value = np.exp(power * np.log(np.cos(t)) + log_norm)
     return float(min(1.0, (value * weight).sum() * (reach - start) / 2))
