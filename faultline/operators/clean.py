@@ -16,8 +16,8 @@ def nan_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, variables: list[str] = VARIABLES) -> DataFrame:
-    """Keep rows where every used variable is present."""
-    return df.na.drop(how="any", subset=variables)
+    """Keep rows where every used variable is present; plain null tests reach the scan."""
+    return df.where(reduce(lambda a, b: a & b, (F.col(v).isNotNull() for v in variables)))
 
 
 def labelled(df: DataFrame, positive: list[int], negative: list[int]) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.schema import RECORDING
+from faultline.session import stage
 
 ORDER = ["ts", "seq"]
 
@@ -109,7 +110,9 @@ def exclusive_sum(
 
     Cell borders are the order keys with the smallest hashes, a fixed-size even sample, so cells
     hold about equal shares however the keys are spread. `group` must have few distinct values.
+    `df`, read three times, is staged; it holds a row per unit, not per reading.
     """
+    df = stage(df)
     key = F.struct(*order)
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(cells)
     borders = sample.agg(F.sort_array(F.collect_list("k"))).scalar()

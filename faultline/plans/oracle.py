@@ -732,8 +732,8 @@ def statements() -> dict[str, str]:
         "SELECT round, fold, config, round(mean_f1macro, 6) AS mean_f1macro FROM summary"
     )
     best = """SELECT round, fold, config, mean FROM (
-        SELECT *, row_number() OVER (PARTITION BY round, fold ORDER BY mean DESC, config) AS at
-        FROM (SELECT round, fold, config, {mean} AS mean FROM summary)) WHERE at = 1"""
+        SELECT *, row_number() OVER (PARTITION BY round, fold ORDER BY mean DESC, config) AS nth
+        FROM (SELECT round, fold, config, {mean} AS mean FROM summary)) WHERE nth = 1"""
     sql["best_config"] = search + (
         "SELECT round, fold, config, mean AS mean_f1macro FROM ("
         + best.format(mean="round(mean_f1macro, 6)")
