@@ -23,6 +23,7 @@ RINGS = 16
 MAX_CELLS = 8192
 QUERY_ROWS = 50_000
 SHARE = 10_000
+TASK_ROWS = 20_000
 SLICE = 2_000_000
 
 _BEST = [
@@ -47,23 +48,33 @@ def _slices(rows: int, width: int):
 
 
 def _best(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
-    """Per query: distances, labels and copies of the nearest points, until k copies are met."""
-    order = np.argsort(label, kind="stable")
-    points, label, copies = points[order], label[order], copies[order]
+    """Per query: distances, labels and copies of the nearest points, until k copies are met.
+
+    A matrix product finds all points that could be among the k nearest, with room for its
+    rounding; only for those are distances taken exactly.
+    """
     out = []
+    weight = (points * points).sum(axis=1)
     for part in _slices(len(x), len(points)):
-        d2 = _squared(x[part], points)
-        if d2.shape[1] > k:
-            # Everything up to the k-th distance, ties included, then a stable sort keeps label order.
-            limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        query = x[part]
+        own = (query * query).sum(axis=1)
+        rough = weight[None, :] - 2 * (query @ points.T)
+        if len(points) > k:
+            room = 1e-9 * (own + weight.max())
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + room
         else:
-            limit = np.full(len(d2), np.inf)
-        for row, edge in zip(d2, limit):
-            near = np.flatnonzero(row <= edge)
-            near = near[np.argsort(row[near], kind="stable")]
+            limit = np.full(len(query), np.inf)
+        row, at = np.nonzero(rough <= limit[:, None])
+        gap = query[row] - points[at]
+        distance = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((label[at], distance, row))
+        row, at, distance = row[order], at[order], distance[order]
+        edges = np.searchsorted(row, np.arange(len(query) + 1))
+        for start, stop in zip(edges[:-1], edges[1:]):
+            near = at[start:stop]
             enough = int(np.searchsorted(np.cumsum(copies[near]), k)) + 1
             near = near[:enough]
-            out.append((np.sqrt(row[near]), label[near], copies[near]))
+            out.append((distance[start : start + len(near)], label[near], copies[near]))
     return out
 
 
@@ -95,16 +106,25 @@ def neighbours(
     `train` and `queries` share the `by` columns, whose combinations must be few.
     """
     points = stage(_merge_copies(train, features, by))
-    query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
+    query = stage(
+        queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
+    )
     rows = points.count()
     if rows * (len(features) + 2) * 8 <= broadcast_bytes:
-        found = _against_all(points, query, features, keys, k, by)
+        found = _against_all(points, _spread(query), features, keys, k, by)
     else:
-        found = _against_chunks(points, stage(query), features, keys, k, by, rows, chunk_rows)
+        found = _against_chunks(points, query, features, keys, k, by, rows, chunk_rows)
     flat = found.select(*by, *keys, "y", F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
     return flat.select(*by, *keys, "y", "n.*")
 
 
+def _spread(query: DataFrame) -> DataFrame:
+    """Even tasks sized by work: small tables still reach every core, large ones stay in bounds."""
+    rows = query.count()
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    return query.repartition(max(1, min(cores, rows // 256), rows // TASK_ROWS))
+
+
 def _against_all(points, query, features, keys, k, by) -> DataFrame:
     sides = {}
     for at, part in points.toPandas().groupby(by, sort=False):

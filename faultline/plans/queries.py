@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.functions import names
-from faultline.models import adaboost, bayes, discriminant, grid, neighbours, zero_rule
+from faultline.models import grid, neighbours
 from faultline.operators import (
     clean,
     correlation,
@@ -425,9 +424,7 @@ def sample_order(spark, folder):
 def fold_slice(spark, folder):
     """Write a fold table, partitioned, then read one fold of it back."""
     s = SCENARIOS["1a"]
-    folded = workflow.folds_of(_features(spark, folder), s, JOB)
-    both = folds.expand_folds(folded, K).withColumn("case", F.lit("1a"))
-    staged = stage(both)
+    staged = stage(folds.expand_folds(workflow.folds_of(_features(spark, folder), s, JOB), K))
     part = staged.where((F.col("case") == "1a") & (F.col("round") == 1) & (F.col("fold") == 2))
     return _rounded(part, ["case", *FOLD, "split", *RECORDING, "well_id", "w", "label"], FEATURES)
 
@@ -527,7 +524,9 @@ for _name, _classifier in {
 def knn_uniform(spark, folder):
     data = _data(spark, folder)
     ks = [c["n_neighbors"] for c in grid.configurations("KNN")]
-    voted = neighbours.vote_uniform(workflow.near(data, max(ks)), ks, workflow.KEYS)
+    voted = neighbours.vote_uniform(
+        workflow.near(data, max(ks)), ks, workflow.KEYS, workflow.FOLD
+    )
     return voted.select(*FOLD, *WINDOW, "config", "k", "y", "p")
 
 
@@ -617,22 +616,21 @@ _RESULT_COLUMNS = [
 @query
 def fold_scores_1a(spark, folder):
     made = _features(spark, folder)
-    results = workflow.experiment_results(made, SCENARIOS["1a"], JOB)
+    results = workflow.experiment_results(made, [SCENARIOS["1a"]], JOB)
     return _round_scores(results.select("classifier", *FOLD, "f1macro", "accuracy"))
 
 
 @query
 def experiment_results(spark, folder):
     made = _features(spark, folder)
-    results = workflow.experiment_results(made, SCENARIOS["1a"], JOB)
+    results = workflow.experiment_results(made, [SCENARIOS["1a"]], JOB)
     return _round_scores(results.select(*_RESULT_COLUMNS))
 
 
 def _all_results(spark: SparkSession, folder: str, rounds: int = 1) -> DataFrame:
     job = Job(size=20, step=20, rounds=rounds, classifiers=("ZERORULE", "GNB"))
     made = _features(spark, folder)
-    parts = [workflow.experiment_results(made, s, job) for s in SCENARIOS.values()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return workflow.experiment_results(made, list(SCENARIOS.values()), job)
 
 
 def _round_pivot(df: DataFrame) -> DataFrame:
@@ -655,7 +653,7 @@ def merge_results(spark, folder):
     job = Job(size=20, step=20, classifiers=("ZERORULE",))
     made = _features(spark, folder)
     parts = [
-        workflow.experiment_results(made, SCENARIOS[c], job).drop("case", "train_seconds")
+        workflow.experiment_results(made, [SCENARIOS[c]], job).drop("case", "train_seconds")
         for c in ("1a", "2b")
     ]
     merged = report.merge_results(*parts)
@@ -667,7 +665,7 @@ def merge_results(spark, folder):
 def score_holdout(spark, folder):
     job = Job(size=20, step=20, classifiers=("ZERORULE", "1NN"), skip_wells=tuple(SKIPPED))
     made = _features(spark, folder)
-    results = workflow.experiment_results(made, SCENARIOS["1a"], job)
+    results = workflow.experiment_results(made, [SCENARIOS["1a"]], job)
     held = report.holdout_results(results)
     return _round_scores(
         held.select(
@@ -687,13 +685,15 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def grid_summary(spark, folder):
-    return _summary(spark, folder).withColumn("mean_f1macro", F.round("mean_f1macro", 6))
+    means = _summary(spark, folder).drop("case")
+    return means.withColumn("mean_f1macro", F.round("mean_f1macro", 6))
 
 
 @query
 def best_config(spark, folder):
     """Best of the configurations by rounded mean, so that equal means tie alike everywhere."""
-    means = _summary(spark, folder).withColumn("mean_f1macro", F.round("mean_f1macro", 6))
+    means = _summary(spark, folder).drop("case")
+    means = means.withColumn("mean_f1macro", F.round("mean_f1macro", 6))
     return report.best_config(means, FOLD)
 
 

@@ -24,7 +24,6 @@ class Job:
     classifiers: tuple[str, ...] = ("1NN", "RF", "QDA", "LDA", "GNB", "ZERORULE")
     grid_search: bool = False
     skip_wells: tuple[int, ...] = ()
-    boundary: str = "instance"
     configs: dict[str, dict] = field(default_factory=dict)
 
 
@@ -38,10 +37,6 @@ class Scenario:
     negative: list[int]
     fold_rule: FoldRule
 
-    @property
-    def experiment(self) -> str:
-        return f"experiment{self.case}"
-
 
 def by_window(windows: DataFrame, job: Job) -> DataFrame:
     if job.shuffle:

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, zero_rule
 from faultline.operators import clean, folds, metrics, report, windows
-from faultline.operators.moments import fold_moments, train_moments
-from faultline.operators.scaling import scaler_fit, scaler_from, standardize
+from faultline.operators.scaling import scaler_fit, standardize
 from faultline.plans.scenarios import Job, Scenario
 from faultline.schema import TEST_WELLS, WINDOW
 from faultline.session import stage
 
-FOLD = ["round", "fold"]
+BY = ["case", "round"]
+FOLD = [*BY, "fold"]
 
 
 def clean_readings(readings: DataFrame, variables: list[str]) -> DataFrame:
@@ -27,21 +27,24 @@ def features_of(readings: DataFrame, job: Job) -> DataFrame:
 
 
 def folds_of(features: DataFrame, scenario: Scenario, job: Job) -> DataFrame:
-    """Labelled windows of the scenario with `round`, `fold` and, for skipped wells, `split` test."""
+    """Labelled windows of the scenario with `case`, `round` and `fold`; skipped wells are left out."""
     labelled = clean.labelled(features, scenario.positive, scenario.negative)
-    if not job.skip_wells:
-        return scenario.fold_rule(labelled, job)
-    routed = folds.skip_wells(labelled, list(job.skip_wells))
-    drawn = scenario.fold_rule(routed.where(F.col("split") == "train").drop("split"), job)
-    return drawn
+    if job.skip_wells:
+        routed = folds.skip_wells(labelled, list(job.skip_wells))
+        labelled = routed.where(F.col("split") == "train").drop("split")
+    return scenario.fold_rule(labelled, job).withColumn("case", F.lit(scenario.case))
 
 
 def holdout_of(features: DataFrame, scenario: Scenario, job: Job) -> DataFrame:
-    """Windows of skipped wells, once per (round, fold) to be scored by that fold's models."""
+    """Windows of skipped wells, once per (case, round, fold), for that fold's models to score."""
     labelled = clean.labelled(features, scenario.positive, scenario.negative)
     routed = folds.skip_wells(labelled, list(job.skip_wells)).where(F.col("split") == "test")
     each = F.explode(F.sequence(F.lit(0), F.lit(job.k - 1)))
-    return folds.with_rounds(routed, job.rounds).withColumn("fold", each)
+    return (
+        folds.with_rounds(routed, job.rounds)
+        .withColumn("fold", each)
+        .withColumn("case", F.lit(scenario.case))
+    )
 
 
 def concat_well_folds(
@@ -58,21 +61,20 @@ def concat_well_folds(
     )
 
 
-def scaled_sides(masked: DataFrame, features: list[str], k: int, by=("round",)) -> DataFrame:
+def scaled_sides(masked: DataFrame, features: list[str], k: int) -> DataFrame:
     """Training and validation rows of every fold, standardised on that fold's training side."""
-    by = list(by)
-    scaler = scaler_fit(masked, features, k, by)
-    return standardize(folds.expand_folds(masked, k), scaler, features, [*by, "fold"])
+    scaler = scaler_fit(masked, features, k, BY)
+    return standardize(folds.expand_folds(masked, k), scaler, features, FOLD)
 
 
 Predict = Callable[..., DataFrame]
 
 
 class Folds:
-    """One scenario's masked fold table, and what several classifiers share of it.
+    """The masked fold table of one or more scenarios, and what classifiers share of it.
 
-    `rows` holds a window once per round with the fold validating it. The scaled sides repeat
-    windows per fold and are built, and staged, only when a classifier asks for them.
+    `rows` holds a window once per (case, round) with the fold validating it. The scaled sides
+    repeat windows per fold and are built, and staged, only when a classifier asks for them.
     """
 
     def __init__(
@@ -99,7 +101,7 @@ class Folds:
     @property
     def sides(self) -> DataFrame:
         if self._sides is None:
-            narrow = self.rows.select("round", "fold", *WINDOW, "label", *self.features)
+            narrow = self.rows.select(*FOLD, *WINDOW, "label", *self.features)
             both = folds.expand_folds(narrow, self.job.k)
             if self.holdout is not None:
                 both = both.unionByName(
@@ -107,60 +109,60 @@ class Folds:
                         "split", F.lit("test")
                     )
                 )
-            scaler = scaler_fit(narrow, self.features, self.job.k)
-            self._sides = stage(standardize(both, scaler, self.features))
+            scaler = scaler_fit(narrow, self.features, self.job.k, BY)
+            self._sides = stage(standardize(both, scaler, self.features, FOLD))
         return self._sides
 
     def cells(self) -> list[tuple]:
-        job = self.job
-        return [(r, f) for r in range(1, job.rounds + 1) for f in range(job.k)]
+        drawn = self.rows.select(*BY).distinct().collect()
+        return sorted((c, r, f) for c, r in drawn for f in range(self.job.k))
 
 
 KEYS = ["split", *WINDOW]
 
 
 def _zero_rule(data: Folds, config: dict) -> DataFrame:
-    return zero_rule.predict(data.valid, zero_rule.fit(data.rows, data.job.k), KEYS)
+    return zero_rule.predict(data.valid, zero_rule.fit(data.rows, data.job.k, BY), KEYS, BY)
 
 
 def _bayes(data: Folds, config: dict) -> DataFrame:
-    model = bayes.fit(data.rows, data.features, data.job.k)
-    return bayes.predict(data.valid, model, data.features, KEYS)
+    model = bayes.fit(data.rows, data.features, data.job.k, BY)
+    return bayes.predict(data.valid, model, data.features, KEYS, BY)
 
 
 def _linear(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_linear(data.rows, data.features, data.job.k)
-    return discriminant.predict_linear(data.valid, model, data.features, KEYS)
+    model = discriminant.fit_linear(data.rows, data.features, data.job.k, BY)
+    return discriminant.predict_linear(data.valid, model, data.features, KEYS, BY)
 
 
 def _quadratic(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_quadratic(data.rows, data.features, data.job.k)
-    return discriminant.predict_quadratic(data.valid, model, data.features, KEYS)
+    model = discriminant.fit_quadratic(data.rows, data.features, data.job.k, BY)
+    return discriminant.predict_quadratic(data.valid, model, data.features, KEYS, BY)
 
 
 def near(data: Folds, k: int) -> DataFrame:
     train = data.sides.where(F.col("split") == "train")
     query = data.sides.where(F.col("split") != "train")
-    return neighbours.neighbours(train, query, data.features, KEYS, k)
+    return neighbours.neighbours(train, query, data.features, KEYS, k, FOLD)
 
 
 def _nearest(k: int) -> Predict:
-    return lambda data, config: neighbours.vote_distance(near(data, k), k, KEYS)
+    return lambda data, config: neighbours.vote_distance(near(data, k), k, KEYS, FOLD)
 
 
 def _nearest_uniform(data: Folds, config: dict) -> DataFrame:
     k = config["n_neighbors"]
-    return neighbours.vote_uniform(near(data, k), [k], KEYS).drop("config", "k")
+    return neighbours.vote_uniform(near(data, k), [k], KEYS, FOLD).drop("config", "k")
 
 
 def _library(name: str) -> Predict:
     return lambda data, config: mllib.fit_predict(
-        name, config, data.sides, data.features, WINDOW, data.cells()
+        name, config, data.sides, data.features, WINDOW, data.cells(), FOLD
     )
 
 
 def _boosted(data: Folds, config: dict) -> DataFrame:
-    return adaboost.fit_predict(data.sides, data.features, WINDOW, config["n_estimators"])
+    return adaboost.fit_predict(data.sides, data.features, WINDOW, config["n_estimators"], FOLD)
 
 
 # Classifier name -> function of the fold data and a configuration. Add your own here.
@@ -190,16 +192,16 @@ def predictions(data: Folds, classifier: str, config: dict | None = None) -> Dat
 
 
 def inner_tables(data: Folds, inner: int = 4) -> DataFrame:
-    """The outer training sides, scaled, cut into inner folds: (round, fold, inner, ...)."""
+    """The outer training sides, scaled, cut into inner folds: (case, round, fold, inner, ...)."""
     by_fold = folds.inner_folds(
-        data.rows.select("round", "fold", *WINDOW, "label", *data.features), data.job.k, inner
+        data.rows.select(*FOLD, *WINDOW, "label", *data.features), data.job.k, inner
     )
-    scaler = scaler_fit(data.rows, data.features, data.job.k)
+    scaler = scaler_fit(data.rows, data.features, data.job.k, BY)
     return standardize(by_fold, scaler, data.features)
 
 
 def search_neighbours(data: Folds, ks: list[int], inner: int = 4) -> DataFrame:
-    """Mean inner macro-F1 of every k, per (round, fold): one neighbour pass serves all k."""
+    """Mean inner macro-F1 of every k, per (case, round, fold): one neighbour pass serves all k."""
     cut = folds.expand_folds(stage(inner_tables(data, inner)), inner, "inner")
     by = [*FOLD, "inner"]
     found = neighbours.neighbours(
@@ -244,24 +246,24 @@ def searched_predictions(data: Folds, classifier: str) -> DataFrame:
     if classifier == "KNN":
         ks = [c["n_neighbors"] for c in configs]
         best = report.best_config(stage(search_neighbours(data, ks)), FOLD)
-        voted = neighbours.vote_uniform(near(data, max(ks)), ks, KEYS).drop("k")
+        voted = neighbours.vote_uniform(near(data, max(ks)), ks, KEYS, FOLD).drop("k")
         return voted.join(F.broadcast(best.select(*FOLD, "config")), [*FOLD, "config"])
     best = report.best_config(search_library(data, classifier, configs), FOLD).collect()
     parts = []
     for row in best:
-        cell = (row["round"], row["fold"])
-        own = data.sides.where((F.col("round") == cell[0]) & (F.col("fold") == cell[1]))
+        cell = tuple(row[c] for c in FOLD)
+        own = data.sides.where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(FOLD, cell))))
         settings = grid.DEFAULTS.get(classifier, {}) | configs[row["config"]]
         if classifier == "ADA":
-            found = adaboost.fit_predict(own, data.features, WINDOW, settings["n_estimators"])
+            found = adaboost.fit_predict(own, data.features, WINDOW, settings["n_estimators"], FOLD)
         else:
-            found = mllib.fit_predict(classifier, settings, own, data.features, WINDOW, [cell])
+            found = mllib.fit_predict(classifier, settings, own, data.features, WINDOW, [cell], FOLD)
         parts.append(found.select(*PREDICTION).withColumn("config", F.lit(row["config"])))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def score(found: DataFrame, classifier: str) -> DataFrame:
-    """Scores per (round, fold); hold-out rows are scored apart, as fold -1 - fold."""
+    """Scores per (case, round, fold) and side; hold-out rows are scored apart."""
     if "config" not in found.columns:
         found = found.withColumn("config", F.lit(0))
     if "train_seconds" not in found.columns:
@@ -270,18 +272,22 @@ def score(found: DataFrame, classifier: str) -> DataFrame:
     return metrics.scores(found, by).withColumn("classifier", F.lit(classifier))
 
 
-def experiment_results(features: DataFrame, scenario: Scenario, job: Job) -> DataFrame:
-    """Result rows of every (classifier, round, fold), and of the hold-out wells if any.
+def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job) -> DataFrame:
+    """Result rows of every (case, classifier, round, fold), and of the hold-out wells if any.
 
     Row counts of the sides are taken before the mask, scores after it. Hold-out rows carry
     fold -1 and the number of the fold whose model scored them in `model_fold`.
     """
     names = list(job.variables)
     columns = windows.feature_names(names)
-    folded = stage(folds_of(features, scenario, job))
-    holdout = holdout_of(features, scenario, job) if job.skip_wells else None
+
+    def every(make: Callable[..., DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), (make(features, s, job) for s in scenarios))
+
+    folded = stage(every(folds_of))
+    holdout = every(holdout_of) if job.skip_wells else None
     data = Folds(folded, columns, job, holdout)
-    health = folds.fold_health(folded, job.k, ["round"]).drop("empty_test", "more_positives")
+    health = folds.fold_health(folded, job.k, BY).drop("empty_test", "more_positives")
     parts = []
     for classifier in job.classifiers:
         found = (
@@ -296,8 +302,8 @@ def experiment_results(features: DataFrame, scenario: Scenario, job: Job) -> Dat
     total_neg = F.col("tn") + F.col("fp")
     total_pos = F.col("tp") + F.col("fn")
     return sized.select(
-        F.lit(scenario.experiment).alias("experiment"),
-        F.lit(scenario.case).alias("case"),
+        F.concat(F.lit("experiment"), F.col("case")).alias("experiment"),
+        "case",
         "round",
         F.when(held, -1).otherwise(F.col("fold")).alias("fold"),
         F.col("fold").alias("model_fold"),
