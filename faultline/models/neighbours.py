@@ -23,7 +23,6 @@ RINGS = 16
 MAX_CELLS = 8192
 QUERY_ROWS = 50_000
 SHARE = 10_000
-TASK_ROWS = 20_000
 SLICE = 2_000_000
 
 _BEST = [
@@ -105,29 +104,28 @@ def neighbours(
 
     `train` and `queries` share the `by` columns, whose combinations must be few.
     """
-    points = stage(_merge_copies(train, features, by))
-    query = stage(
-        queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
-    )
-    rows = points.count()
-    if rows * (len(features) + 2) * 8 <= broadcast_bytes:
-        found = _against_all(points, _spread(query), features, keys, k, by)
+    points = _merge_copies(train, features, by)
+    query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
+    fitting = broadcast_bytes // ((len(features) + len(by) + 2) * 8)
+    sample = points.limit(fitting + 1).toPandas()
+    if len(sample) <= fitting:
+        found = _against_all(sample, _spread(query), features, keys, k, by)
     else:
-        found = _against_chunks(points, query, features, keys, k, by, rows, chunk_rows)
+        found = _against_chunks(stage(points), stage(query), features, keys, k, by, chunk_rows)
     flat = found.select(*by, *keys, "y", F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
     return flat.select(*by, *keys, "y", "n.*")
 
 
 def _spread(query: DataFrame) -> DataFrame:
-    """Even tasks sized by work: small tables still reach every core, large ones stay in bounds."""
-    rows = query.count()
-    cores = query.sparkSession.sparkContext.defaultParallelism
-    return query.repartition(max(1, min(cores, rows // 256), rows // TASK_ROWS))
+    """Even tasks for every core: the table may be small while the work on it is not."""
+    spark = query.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return query.repartition(max(tasks, spark.sparkContext.defaultParallelism))
 
 
-def _against_all(points, query, features, keys, k, by) -> DataFrame:
+def _against_all(points: pd.DataFrame, query, features, keys, k, by) -> DataFrame:
     sides = {}
-    for at, part in points.toPandas().groupby(by, sort=False):
+    for at, part in points.groupby(by, sort=False):
         sides[at] = (
             part[features].to_numpy(dtype=float),
             part["label"].to_numpy(),
@@ -185,7 +183,8 @@ def _ring(reach: Column, edges: Column) -> Column:
     return F.coalesce(F.size(F.filter(edges, lambda e: e < reach)), F.lit(0)).cast("int")
 
 
-def _against_chunks(points, query, features, keys, k, by, rows, chunk_rows) -> DataFrame:
+def _against_chunks(points, query, features, keys, k, by, chunk_rows) -> DataFrame:
+    rows = points.count()
     groups = max(1, points.select(*by).distinct().count())
     cells = int(min(max(1, MAX_CELLS // groups), max(1, math.ceil(2 * rows / groups / chunk_rows))))
     pivots = _pivots(points, features, by, cells)

@@ -84,7 +84,6 @@ def positions(
     keys: list[str] = RECORDING,
     order: list[str] = ORDER,
     piece_rows: int = PIECE_ROWS,
-    keep_piece: bool = False,
 ) -> DataFrame:
     """Add the 0-based `pos` of a row in its recording and the recording's `n_rows`.
 
@@ -99,15 +98,22 @@ def positions(
         .withColumn("pos", F.col("rank") + F.coalesce("before", F.lit(0)))
         .withColumn("n_rows", F.coalesce("long_n", "piece_n"))
     )
-    spare = ["long_n", "piece_n", "before"]
-    return placed.drop(*spare) if keep_piece else placed.drop(*spare, "rank", "piece")
+    return placed.drop("long_n", "piece_n", "before", "rank", "piece")
 
 
 def exclusive_sum(
-    df: DataFrame, group: list[str], order: list[str], value: str, out: str, cells: int = 256
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    value: str,
+    out: str,
+    total: str | None = None,
+    cells: int = 256,
 ) -> DataFrame:
     """Sum of `value` over the earlier rows of the group, in `order` (unique within the group).
 
+    `total` names a column for the sum over the whole group.
+
     Cell borders are the order keys with the smallest hashes, a fixed-size even sample, so cells
     hold about equal shares however the keys are spread. `group` must have few distinct values.
     `df`, read three times, is staged; it holds a row per unit, not per reading.
@@ -128,7 +134,8 @@ def exclusive_sum(
         celled.groupBy(*group, "cell")
         .agg(F.sum(value).alias("cell_sum"))
         .withColumn("carried", F.coalesce(F.sum("cell_sum").over(across), F.lit(0)))
-        .drop("cell_sum")
+        .withColumn(total or "whole", F.sum("cell_sum").over(Window.partitionBy(*group)))
+        .drop("cell_sum", "whole")
     )
     return (
         celled.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
@@ -179,13 +186,11 @@ def ordered_rank(
         block = F.floor(F.col(last) / 4096)
     blocked = df.withColumn("block", block)
     units = blocked.groupBy(*group, *head, "block").agg(F.count(F.lit(1)).alias("unit_n"))
-    starts = exclusive_sum(units, group, head + ["block"], "unit_n", "start").drop("unit_n")
-    totals = units.groupBy(*group).agg(F.sum("unit_n").alias("group_n"))
+    starts = exclusive_sum(units, group, head + ["block"], "unit_n", "start", "group_n")
     inside = Window.partitionBy(*group, *head, "block").orderBy(last)
     return (
         blocked.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(starts, group + head + ["block"])
-        .join(F.broadcast(totals), group)
+        .join(starts.drop("unit_n"), group + head + ["block"])
         .withColumn("rank", F.col("start") + F.col("inside"))
         .drop("block", "inside", "start")
     )

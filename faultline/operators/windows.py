@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.operators.ordering import ORDER, PIECE_ROWS, exclusive_sum, positions
+from faultline.operators.ordering import ORDER, PIECE_ROWS, exclusive_sum, in_pieces, positions
 from faultline.schema import RECORDING, VARIABLES
 
 # Statistic name -> aggregate, in feature order. Pass a longer dict to add your own.
@@ -100,26 +99,34 @@ def window_features(
 def concat_positions(
     readings: DataFrame,
     group: list[str],
+    fixed: list[str],
     expand: Callable[[DataFrame], DataFrame] = lambda df: df,
     order: list[str] = ORDER,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Position of each row in its group's recordings laid end to end, and the group's `n_rows`.
 
-    Recordings follow each other by (class, recording). `expand` may repeat rows after they are
-    placed, to give each fold and side a concatenation of its own; `group` must be few.
+    Recordings follow each other by (class, recording). `fixed` names columns constant per
+    recording; `expand` turns a table of recordings with them into one with the `group` columns,
+    repeating recordings that belong to several groups. Groups must be few. Rows are shuffled once,
+    by (recording, piece); where a recording goes is worked out on the small table of pieces.
     """
     unit = RECORDING + ["piece"]
-    placed = expand(positions(readings, RECORDING, order, piece_rows, keep_piece=True))
-    placed = placed.drop("pos", "n_rows")
-    units = placed.groupBy(*group, *unit).agg(F.count(F.lit(1)).alias("unit_n"))
-    starts = exclusive_sum(units, group, unit, "unit_n", "start").drop("unit_n")
-    totals = units.groupBy(*group).agg(F.sum("unit_n").alias("n_rows"))
+    cut, _ = in_pieces(readings, RECORDING, order[0], piece_rows)
+    units = expand(cut.groupBy(*unit, *fixed).agg(F.count(F.lit(1)).alias("unit_n")))
+    starts = exclusive_sum(units, group, unit, "unit_n", "start", "n_rows")
+    places = starts.groupBy(*unit).agg(
+        F.collect_list(F.struct(*group, "start", "n_rows")).alias("places")
+    )
+    inside = Window.partitionBy(*unit).orderBy(*order)
     return (
-        placed.join(starts, group + unit)
-        .join(F.broadcast(totals), group)
+        cut.drop("long_n", *fixed)
+        .withColumn("rank", F.row_number().over(inside) - 1)
+        .join(places, unit)
+        .withColumn("place", F.explode("places"))
+        .select("*", "place.*")
         .withColumn("pos", F.col("start") + F.col("rank"))
-        .drop("start", "rank", "piece")
+        .drop("places", "place", "start", "rank", "piece")
     )
 
 
@@ -128,6 +135,7 @@ def window_features_concat(
     size: int,
     step: int,
     group: list[str],
+    fixed: list[str] | None = None,
     expand: Callable[[DataFrame], DataFrame] = lambda df: df,
     variables: list[str] = VARIABLES,
     statistics=STATISTICS,
@@ -137,16 +145,13 @@ def window_features_concat(
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Features of windows over each group's recordings laid end to end."""
-    placed = concat_positions(readings, group, expand, order, piece_rows)
+    fixed = group if fixed is None else fixed
+    narrow = readings.select(*RECORDING, *fixed, *order, *variables)
+    placed = concat_positions(narrow, group, fixed, expand, order, piece_rows)
     assigned = assign_windows(placed, size, step, drop_last=drop_last)
     return summarise(assigned, group + ["w"], variables, statistics, missing)
 
 
-def fan_out(size: int, step: int) -> int:
-    """Windows an inner row belongs to."""
-    return max(1, math.ceil(size / step))
-
-
 def select_variables(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
     """Keep the feature blocks of the named variables."""
     blocks = [c for c in df.columns if c.rsplit("_", 1)[0] in variables]

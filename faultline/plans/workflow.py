@@ -53,11 +53,17 @@ def concat_well_folds(
     """Leave-one-well-out windows over recordings laid end to end, anew per fold and side."""
     labelled = clean.labelled(readings, scenario.positive, scenario.negative)
 
-    def expand(placed: DataFrame) -> DataFrame:
-        return folds.expand_folds(folds.leave_one_well_out(placed, wells), len(wells))
+    def expand(recordings: DataFrame) -> DataFrame:
+        return folds.expand_folds(folds.leave_one_well_out(recordings, wells), len(wells))
 
     return windows.window_features_concat(
-        labelled, job.size, job.step, ["fold", "split", "label"], expand, list(job.variables)
+        labelled,
+        job.size,
+        job.step,
+        ["fold", "split", "label"],
+        ["label", "well_id"],
+        expand,
+        list(job.variables),
     )
 
 
