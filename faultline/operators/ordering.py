@@ -18,11 +18,11 @@ from faultline.session import stage
 
 ORDER = ["ts", "seq"]
 
-# A recording is long when it holds more rows than PIECE_ROWS and more than one part in SHARE of
-# the table. So there are fewer than SHARE long recordings and fewer than 2 * SHARE pieces of
-# them: both tables below stay small enough to broadcast whatever the data.
+# Long recordings are the LONGEST largest ones among those over PIECE_ROWS rows. Any other holds
+# less than one part in LONGEST of the table. Both tables below are broadcast: the first has at
+# most LONGEST rows, the second one row per PIECE_ROWS readings of long recordings.
 PIECE_ROWS = 4_000_000
-SHARE = 10_000
+LONGEST = 10_000
 
 
 def clock_seconds(df: DataFrame, name: str) -> Column:
@@ -38,12 +38,11 @@ def _long_recordings(df: DataFrame, keys: list[str], clock: Column, piece_rows:
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("long_n"), F.min(clock).alias("t0"), F.max(clock).alias("t1")
     )
-    fair = sizes.agg(F.ceil(F.sum("long_n") / SHARE)).scalar()
     return (
-        sizes.withColumn("limit", F.greatest(F.lit(piece_rows), fair))
-        .where(F.col("long_n") > F.col("limit"))
-        .withColumn("pieces", F.ceil(F.col("long_n") / F.col("limit")))
-        .select(*keys, "long_n", "t0", "t1", "pieces")
+        sizes.where(F.col("long_n") > piece_rows)
+        .orderBy(F.desc("long_n"), *keys)
+        .limit(LONGEST)
+        .withColumn("pieces", F.ceil(F.col("long_n") / piece_rows))
     )
 
 
@@ -71,7 +70,7 @@ def in_pieces(
         df.select(*keys, clock)
         .join(long_, keys)
         .withColumn("piece", _piece(seconds))
-        .groupBy(*keys, "piece")
+        .groupBy(*keys, "piece", F.col("long_n").alias("whole_n"))
         .agg(F.count(F.lit(1)).alias("piece_n"))
         .withColumn("before", F.coalesce(F.sum("piece_n").over(before), F.lit(0)))
         .drop("piece_n")
@@ -96,9 +95,9 @@ def positions(
         .withColumn("piece_n", F.count(F.lit(1)).over(inside))
         .join(F.broadcast(offsets), keys + ["piece"], "left")
         .withColumn("pos", F.col("rank") + F.coalesce("before", F.lit(0)))
-        .withColumn("n_rows", F.coalesce("long_n", "piece_n"))
+        .withColumn("n_rows", F.coalesce("long_n", "whole_n", "piece_n"))
     )
-    return placed.drop("long_n", "piece_n", "before", "rank", "piece")
+    return placed.drop("long_n", "whole_n", "piece_n", "before", "rank", "piece")
 
 
 def exclusive_sum(
