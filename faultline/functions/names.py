@@ -33,8 +33,9 @@ def experiment_group(x: Column) -> Column:
     return F.substring(x, -2, 1)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return F.to_timestamp(ts).cast("double")
+def epoch_seconds(text: Column) -> Column:
+    """Seconds since 1970 of a time stamp text without a zone, read as UTC."""
+    return F.to_timestamp(F.concat(text, F.lit("Z"))).cast("double")
 
 
 def session_stamp(ts: Column) -> Column:

@@ -102,16 +102,19 @@ def neighbours(
 ) -> DataFrame:
     """(by, keys, y, d, label, copies): up to k rows per query, `copies` of equal points each.
 
-    `train` and `queries` share the `by` columns, whose combinations must be few.
+    `train` and `queries` share the `by` columns, whose combinations must be few. Stage `train`
+    first: it is counted, then read again.
     """
-    points = _merge_copies(train, features, by)
-    query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
     fitting = broadcast_bytes // ((len(features) + len(by) + 2) * 8)
-    sample = points.limit(fitting + 1).toPandas()
-    if len(sample) <= fitting:
-        found = _against_all(sample, _spread(query), features, keys, k, by)
+    points, rows = _merge_copies(train, features, by), train.count()
+    if rows > fitting:
+        points = stage(points)
+        rows = points.count()
+    query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
+    if rows <= fitting:
+        found = _against_all(points, _spread(query), features, keys, k, by)
     else:
-        found = _against_chunks(stage(points), stage(query), features, keys, k, by, chunk_rows)
+        found = _against_chunks(points, stage(query), features, keys, k, by, rows, chunk_rows)
     flat = found.select(*by, *keys, "y", F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
     return flat.select(*by, *keys, "y", "n.*")
 
@@ -123,9 +126,9 @@ def _spread(query: DataFrame) -> DataFrame:
     return query.repartition(max(tasks, spark.sparkContext.defaultParallelism))
 
 
-def _against_all(points: pd.DataFrame, query, features, keys, k, by) -> DataFrame:
+def _against_all(points, query, features, keys, k, by) -> DataFrame:
     sides = {}
-    for at, part in points.groupby(by, sort=False):
+    for at, part in points.toPandas().groupby(by, sort=False):
         sides[at] = (
             part[features].to_numpy(dtype=float),
             part["label"].to_numpy(),
@@ -183,8 +186,7 @@ def _ring(reach: Column, edges: Column) -> Column:
     return F.coalesce(F.size(F.filter(edges, lambda e: e < reach)), F.lit(0)).cast("int")
 
 
-def _against_chunks(points, query, features, keys, k, by, chunk_rows) -> DataFrame:
-    rows = points.count()
+def _against_chunks(points, query, features, keys, k, by, rows, chunk_rows) -> DataFrame:
     groups = max(1, points.select(*by).distinct().count())
     cells = int(min(max(1, MAX_CELLS // groups), max(1, math.ceil(2 * rows / groups / chunk_rows))))
     pivots = _pivots(points, features, by, cells)

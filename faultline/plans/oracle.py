@@ -31,6 +31,11 @@ def _rounded(columns: list[str] = FEATURES, prefix: str = "") -> str:
     )
 
 
+# A deviation of 0 becomes 1.
+_SCALING = ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in FEATURES
+)
 _LINE = "class_id, instance_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
 _ORDER = "ts, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
 _KEYS = "class_id, instance_id, w"
@@ -303,7 +308,7 @@ def _all_cases(rounds: int) -> dict[str, str]:
     steps["every_sides"] = _expand("every")
     steps["every_scaler"] = (
         "SELECT exp, round, fold, "
-        + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES)
+        + _SCALING
         + " FROM every_sides WHERE split = 'train' GROUP BY ALL"
     )
     steps["every_z"] = (
@@ -420,7 +425,8 @@ def _pearson(columns: str) -> str:
         "place": "SELECT unnest([" + ", ".join(f"'{c}'" for c in FEATURES)
         + f"]) AS feature, unnest(range({len(FEATURES)})) AS at",
         "pairs": f"""SELECT p.round, p.fold, p.split, p.feature AS a, q.feature AS b,
-            count(*) AS n, coalesce(corr(p.x, q.x), 0.0) AS r
+            count(*) AS n,
+            CASE WHEN var_pop(p.x) = 0 OR var_pop(q.x) = 0 THEN 0 ELSE corr(p.x, q.x) END AS r
             FROM (SELECT * FROM side_long JOIN place USING (feature)) p
             JOIN (SELECT * FROM side_long JOIN place USING (feature)) q
               USING (round, fold, split, {_KEYS})
@@ -710,7 +716,7 @@ def statements() -> dict[str, str]:
             FROM (SELECT * FROM lab_a WHERE well_id IN ({skipped})) h,
                  (SELECT unnest(range({K})) AS f)""",
         "out_row": "SELECT round, fold, "
-        + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES)
+        + _SCALING
         + " FROM out_sides WHERE split = 'train' GROUP BY ALL",
         "out_z": f"SELECT round, fold, split, {_KEYS}, label, "
         + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES)

@@ -20,6 +20,7 @@ def scan_csv(spark: SparkSession, root: str, include_simulated: bool = False) ->
     raw = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("timeZone", "UTC")
         .option("pathGlobFilter", glob)
         .csv(f"{root}/{folders}")
     )
