@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, simhash, substring
+from faultline.llm import bpe, decontaminate, repair, simhash, substring
+from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express.
@@ -49,6 +50,17 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+WORDS = "word_bpe_49k.json"
+END_ID = 1
+
+
+@query
+def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = _table(spark, folder, "documents"), folder_for(spark, "token-shards")
+    files = repair.write_shards(docs, target, public_tokenizers.path(WORDS), END_ID)
+    return repair.read_shards(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
