@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, repair, simhash, substring
+from faultline.llm import bpe, decontaminate, neighbours, repair, simhash, substring, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,46 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("bpe_ids", 256).alias("ids_sha256"),
         F.sha2("bpe_text", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_block_join(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+SQL["op9_block_join"] = """
+WITH good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, x.e) DESC, x.vec_id) AS rank
+  FROM good q JOIN good x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id AND len(q.e) = len(x.e)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc.write_archives(_table(spark, folder, "pages"), folder_for(spark, "warc"))
+    return warc.read_archives(files).select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+SQL["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), h AS (SELECT html, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN holder IS NULL OR holder IS NOT DISTINCT FROM p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN holder IS NULL OR holder IS NOT DISTINCT FROM p.page_id THEN NULL ELSE holder END AS refers_to
+FROM p LEFT JOIN h ON p.n >= 1000 AND p.html = h.html
+"""
