@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from faultline.llm.common import strings, text_bytes, text_slices
+from faultline.llm.common import per_process, strings, text_bytes, text_slices
 
 SLICE_BYTES = 4 << 20
 CACHE_SEGMENTS = 300_000
@@ -107,9 +106,8 @@ class ByteCodec:
         return heads[starts] - inside[starts] - base, heads[ends] - base
 
 
-@lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> ByteCodec:
-    return ByteCodec(rank_file, pattern)
+    return per_process("byte codec", (rank_file, pattern), lambda: ByteCodec(rank_file, pattern))
 
 
 def segment_starts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:

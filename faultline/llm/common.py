@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,18 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
+def per_process(kind: str, key, make: Callable):
+    """A value kept for the life of the worker process: the last one of its kind, made anew for another key.
+
+    Tasks bring copies of this package's functions along; a module's own globals would not outlive a task.
+    """
+    held = sys.modules.setdefault("_faultline_held", types.ModuleType("_faultline_held")).__dict__
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Enough partitions for `rows`, and not fewer than the session deals out by default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
@@ -159,21 +173,18 @@ def word_spans(data: np.ndarray, borders: np.ndarray, is_word: np.ndarray) -> tu
 
 
 _RADIX = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the radix and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+    """Powers of the radix and of its inverse modulo 2**64, at least up to the n-th."""
+    held = per_process("powers", None, lambda: {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)})
+    if len(held["up"]) < n:
+        size = -(-n // 65536) * 65536
         for name, base in (("up", _RADIX), ("down", pow(_RADIX, -1, 1 << 64))):
-            out = np.ones(1, np.uint64)
-            step = base
+            out, step = np.ones(1, np.uint64), base
             while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(step)])
+                out = np.concatenate([out, out[: size - len(out)] * np.uint64(step)])
                 step = step * step % (1 << 64)
-            _POWERS[name] = out
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            held[name] = out
+    return held["up"][:n], held["down"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from faultline.llm.common import (
     folder_for,
     open_input,
     open_output,
+    per_process,
     span_hashes,
     text_bytes,
     text_slices,
@@ -112,9 +112,8 @@ class Block:
         return out
 
 
-@lru_cache(maxsize=1)
 def _block(path: str) -> Block:
-    return Block(path)
+    return per_process("benchmark block", path, lambda: Block(path))
 
 
 # ---- the index -----------------------------------------------------------------------------------

@@ -14,16 +14,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from faultline.llm.common import LOWER, NOT_SPACE, Stages, open_input, open_output, strings, text_bytes, text_slices, word_spans
+from faultline.llm.common import LOWER, NOT_SPACE, Stages, open_input, open_output, per_process, strings, text_bytes, text_slices, word_spans
 from faultline.llm.segments import SegmentIds
 
 SHARD_BYTES = 4 << 20
+#: Text that is encoded at once.
+SLICE_BYTES = 1 << 20
 MAGIC = b"RePair01"
 MARK_EVERY = 4096
 #: A pair is frequent if it makes up one in so many of a shard's symbols (and occurs 16 times).
@@ -149,11 +150,10 @@ class Shard:
 # ---- the operator --------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
 def _words(tokenizer_file: str) -> SegmentIds:
     from tokenizers import Tokenizer
 
-    return SegmentIds(Tokenizer.from_file(tokenizer_file).encode_batch)
+    return per_process("word ids", tokenizer_file, lambda: SegmentIds(Tokenizer.from_file(tokenizer_file).encode_batch))
 
 
 _B = np.arange(256)
@@ -197,12 +197,17 @@ def _lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 def encode_words(text: pa.Array, tokenizer_file: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, each with `end_id` after it, and the borders. For tokenizers that lower-case, drop
     white space and join neither words over it nor letters with marks: each distinct piece is encoded once."""
-    data, borders = text_bytes(text)
-    starts, ends, row = word_pieces(data, borders)
-    ids, word_borders = _words(tokenizer_file).encode(_lowered(data, starts, ends), starts, ends)
-    at = word_borders[row[1:]]
-    full = np.insert(ids, at, np.uint32(end_id))
-    return full, np.append(0, at + np.arange(1, len(at) + 1))
+    words, parts, sizes = _words(tokenizer_file), [], []
+    for batch in text_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SLICE_BYTES):
+        data, borders = text_bytes(batch.column(0))
+        starts, ends, row = word_pieces(data, borders)
+        ids, word_borders = words.encode(_lowered(data, starts, ends), starts, ends)
+        at = word_borders[row[1:]]
+        parts.append(np.insert(ids, at, np.uint32(end_id)))
+        sizes.append(np.diff(word_borders[row]) + 1)
+    borders = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(np.concatenate(sizes) if sizes else [], out=borders[1:])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), borders
 
 
 def write_shards(
