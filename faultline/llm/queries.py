@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, neighbours, repair, simhash, substring, toxicity, warc
+from faultline.llm import bpe, decontaminate, neighbours, privacy, repair, simhash, substring, toxicity, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,15 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PRIVACY_KEY = "corpus-2024"
+
+
+@query
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return privacy.pseudonymize(docs, PRIVACY_KEY, counted="n_replaced")
+
+
 @query
 def op9_block_join(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
