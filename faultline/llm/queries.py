@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, neighbours, privacy, repair, simhash, substring, toxicity, warc
+from faultline.llm import bpe, decontaminate, language, neighbours, privacy, repair, simhash, substring, toxicity, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,13 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    model = language.train(_table(spark, folder, "documents").select("text", "lang"))
+    found = language.identify(_table(spark, folder, "pages"), model)
+    return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
+
+
 @query
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
