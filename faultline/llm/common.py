@@ -92,6 +92,14 @@ def per_process(kind: str, key, make: Callable):
     return held[kind][1]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one if `df` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Enough partitions for `rows`, and not fewer than the session deals out by default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

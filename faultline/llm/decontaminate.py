@@ -231,7 +231,7 @@ def occurrences(words: np.ndarray, row: np.ndarray, block: Block) -> tuple[np.nd
 
 # ---- the operator --------------------------------------------------------------------------------
 
-_NEW = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
+_NEW = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -273,10 +273,11 @@ def mark(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 13,
+    prefix: str = "",
 ) -> DataFrame:
     """Every row of `docs`, all columns, with `n_words`, `n_hit` (words inside an occurrence of a benchmark
     window), `items` (ids of the items whose windows occur, sorted strings, once each) and `spans` (merged
-    word spans to remove, end exclusive).
+    word spans to remove, end exclusive); `prefix` goes before these names.
 
     A window is `window` consecutive words of an item; a shorter item is one window. Words are runs of
     a-z, 0-9 and characters outside ASCII, after A-Z are lower-cased. Null or empty texts have no words,
@@ -287,7 +288,7 @@ def mark(
     spark = docs.sparkSession
     folder = folder_for(spark, "benchmark")
     paths = write_blocks(benchmark, item_id, item_text, window, folder)
-    names = ["n_words", "n_hit", "items", "spans"]
+    names = [prefix + name for name in _NEW]
     kept = docs.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
@@ -296,7 +297,7 @@ def mark(
             for batch in text_slices(whole, text, SHARD_BYTES):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *_judge(batch, text, paths)], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, f"{schema}, {_NEW}")
+    return kept.mapInArrow(run, f"{schema}, " + ", ".join(f"`{prefix}{name}` {kind}" for name, kind in _NEW.items()))
 
 
 def is_contaminated(n_words="n_words", n_hit="n_hit"):

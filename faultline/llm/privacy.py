@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultline.llm.common import unused
+
 ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among: up to 2099-11-12.
 DAYS = (250, 292)
@@ -244,16 +246,17 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", counted: str | N
     digits. What looks like a number of some kind but fails its check (a card's check digit, an octet over
     255, a day that no month has) stays as it is. Null stays null, empty stays empty, all other columns and
     all rows stay; nothing is shuffled. Whole texts are read, however
-    long. Columns named `_matches` and `_new` are not kept.
+    long.
     """
     value = F.col(text)
-    held = docs.withColumn("_matches", F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)))
-    some = F.size("_matches") > 0
-    held = held.withColumn("_new", F.when(some, F.transform("_matches", lambda m: pseudonym(m, F.lit(key)))))
+    found, new = unused(docs, "_matches"), unused(docs, "_pseudonyms")
+    held = docs.withColumn(found, F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)))
+    some = F.size(found) > 0
+    held = held.withColumn(new, F.when(some, F.transform(found, lambda m: pseudonym(m, F.lit(key)))))
     # What lies between the matches, and the pseudonyms, in turns.
-    pieces = F.zip_with(F.split(value, PATTERN, -1), "_new", lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    pieces = F.zip_with(F.split(value, PATTERN, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     out = held.withColumn(text, F.when(some, F.array_join(pieces, "")).otherwise(value))
     if counted:
-        changed = F.filter(F.zip_with("_matches", "_new", lambda a, b: a != b), lambda x: x)
+        changed = F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)
         out = out.withColumn(counted, F.when(some, F.size(changed)).otherwise(0))
-    return out.drop("_matches", "_new")
+    return out.drop(found, new)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import LOWER, NOT_SPACE, Stages, partitions_for, text_bytes, text_slices, word_spans
+from faultline.llm.common import LOWER, NOT_SPACE, Stages, partitions_for, text_bytes, text_slices, unused, word_spans
 
 SLICE_BYTES = 1 << 20
 BLOCK_ROWS = 32_768
@@ -258,10 +258,15 @@ def _edges(blocks: DataFrame, radius: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` that stand for their component, one of each, with all columns of `docs`."""
-    mark = "_simhash_of_row"
-    heads = near_groups(docs, doc_id, text, shingle, radius)
-    heads = heads.select(F.col("keep_id").alias("_keep_id"), F.col("keep_fingerprint").alias("_keep_mark")).distinct()
-    marked = add_fingerprint(docs, text, shingle, mark)
-    same = marked[doc_id].eqNullSafe(heads["_keep_id"]) & (marked[mark] == heads["_keep_mark"])
-    return marked.join(heads, same, "left_semi").dropDuplicates([doc_id, mark]).drop(mark)
+    """The rows of `docs` that stand for their component, one of each, with all columns of `docs`.
+
+    The text is shuffled once, by id and fingerprint; rows that agree in both are copies of each other.
+    """
+    mark, key = unused(docs, "_fingerprint"), unused(docs, "_key")
+
+    def key_of(number: str, bits: str):
+        return F.concat_ws(":", F.coalesce(F.col(number).cast("string"), F.lit("null")), F.col(bits).cast("string"))
+
+    heads = near_groups(docs, doc_id, text, shingle, radius).select(key_of("keep_id", "keep_fingerprint").alias(key)).distinct()
+    marked = add_fingerprint(docs, text, shingle, mark).withColumn(key, key_of(doc_id, mark)).drop(mark)
+    return marked.join(heads, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

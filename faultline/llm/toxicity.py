@@ -199,10 +199,10 @@ def _occurring(codes: np.ndarray, borders: np.ndarray, find: Lookup) -> tuple[np
     return pairs // n, pairs % n
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of `docs`, all columns, with `toxicity` (0 to 1). Null and empty texts get the model's score of
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """Every row of `docs`, all columns, with a column `name`: the score, 0 to 1. Null and empty texts get the model's score of
     no features; texts are read whole. A column of `docs` named like the new one is replaced."""
-    kept = docs.drop("toxicity")
+    kept = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     find, weights, bias = Lookup(model.chosen), model.weights, model.bias
 
@@ -213,6 +213,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 row, feature = _occurring(codes, borders, find)
                 sums = np.bincount(row, weights[feature], batch.num_rows) + bias
                 scores = 1 / (1 + np.exp(-np.clip(sums, -40, 40)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, f"{schema}, toxicity double")
+    return kept.mapInArrow(run, f"{schema}, `{name}` double")
