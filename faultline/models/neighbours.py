@@ -1,15 +1,13 @@
 """Exact nearest neighbours in Euclidean distance, and votes over them.
 
-Equal training vectors are merged into one with a count. A training side that fits a stated size is
-broadcast; a larger one is cut into chunks around pivots, and a query visits only the chunks that
-the triangle inequality cannot rule out. Neither way ever emits pairs: a query leaves a chunk with
-its `k` best. Neighbours are ordered by (distance, label).
+Equal training vectors are merged into one with a count. Points and queries are dealt into blocks by
+hash, sized by what a worker holds; every pair of blocks of a group meets in one task, whose matrix
+product leaves each query its `k` best. Pairs of rows are never emitted: a block's answer is at most `k`
+rows per query, and only the k best of these are merged. Neighbours are ordered by (distance, label).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,12 +15,9 @@ from pyspark.sql import types as T
 
 from faultline.session import stage
 
-BROADCAST_BYTES = 64 << 20
-CHUNK_ROWS = 4096
-RINGS = 16
-MAX_CELLS = 8192
+#: Rows of a block of points and of queries: 30 features take about 50 MB and 12 MB.
+POINT_ROWS = 200_000
 QUERY_ROWS = 50_000
-SHARE = 10_000
 SLICE = 2_000_000
 
 _BEST = [
@@ -32,15 +27,6 @@ _BEST = [
 ]
 
 
-def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances, summed feature by feature so that no digits cancel."""
-    total = np.zeros((len(x), len(y)))
-    for f in range(x.shape[1]):
-        gap = x[:, f, None] - y[None, :, f]
-        total += gap * gap
-    return total
-
-
 def _slices(rows: int, width: int):
     step = max(1, SLICE // max(width, 1))
     return (slice(at, at + step) for at in range(0, rows, step))
@@ -97,265 +83,70 @@ def neighbours(
     keys: list[str],
     k: int,
     by: list[str] = ["round", "fold"],
-    broadcast_bytes: int = BROADCAST_BYTES,
-    chunk_rows: int = CHUNK_ROWS,
+    point_rows: int = POINT_ROWS,
+    query_rows: int = QUERY_ROWS,
+    max_train_rows: int | None = None,
 ) -> DataFrame:
     """(by, keys, y, d, label, copies): up to k rows per query, `copies` of equal points each.
 
-    `train` and `queries` share the `by` columns, whose combinations must be few. Stage `train`
-    first: it is counted, then read again.
+    `train` and `queries` share the `by` columns, whose combinations must be few. Work is points times
+    queries, as an exact search in many dimensions must be; `max_train_rows`, off by default, bounds it
+    by a hash sample of about so many distinct points per group. A group without points answers nothing.
     """
-    fitting = broadcast_bytes // ((len(features) + len(by) + 2) * 8)
-    points, rows = _merge_copies(train, features, by), train.count()
-    if rows > fitting:
-        points = stage(points)
-        rows = points.count()
     query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
-    if rows <= fitting:
-        found = _against_all(points, _spread(query), features, keys, k, by)
-    else:
-        found = _against_chunks(points, stage(query), features, keys, k, by, rows, chunk_rows)
-    flat = found.select(*by, *keys, "y", F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
-    return flat.select(*by, *keys, "y", "n.*")
-
-
-def _spread(query: DataFrame) -> DataFrame:
-    """Even tasks for every core: the table may be small while the work on it is not."""
+    points = stage(_merge_copies(train, features, by))
+    sizes = _sizes(points, by, "points").join(_sizes(query, by, "queries"), by)
+    if max_train_rows is not None:
+        share = max_train_rows / F.col("points")
+        even = F.pmod(F.xxhash64(F.lit(1), *features), F.lit(1 << 30)) / float(1 << 30)
+        points = points.join(F.broadcast(sizes), by).where(even < share).drop("points", "queries")
+    # Enough blocks for the rows they may hold; queries also for every core to have some.
     spark = query.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return query.repartition(max(tasks, spark.sparkContext.defaultParallelism))
-
-
-def _against_all(points, query, features, keys, k, by) -> DataFrame:
-    sides = {}
-    for at, part in points.toPandas().groupby(by, sort=False):
-        sides[at] = (
-            part[features].to_numpy(dtype=float),
-            part["label"].to_numpy(),
-            part["copies"].to_numpy(),
-        )
-    shared = query.sparkSession.sparkContext.broadcast(sides)
-    kept = [*by, *keys, "y"]
-
-    def search(batches):
-        for batch in batches:
-            for at, part in batch.groupby(by, sort=False):
-                side = shared.value.get(at)
-                if side is not None:
-                    best = _best(part[features].to_numpy(dtype=float), *side, k)
-                    yield part[kept].assign(**_columns(best))
-
-    return query.mapInPandas(search, T.StructType([query.schema[c] for c in kept] + _BEST))
-
-
-def _pivots(points: DataFrame, features, by, cells: int) -> dict[tuple, np.ndarray]:
-    """The points with the smallest hashes: a fixed-size even sample per group."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(*features), *features)
-    sample = points.select(*by, *features).distinct()
-    chosen = sample.withColumn("at", F.row_number().over(order)).where(F.col("at") <= cells)
-    return {
-        at: part[features].to_numpy(dtype=float)
-        for at, part in chosen.drop("at").toPandas().groupby(by, sort=False)
-    }
-
-
-def _attach(df: DataFrame, pivots, features, by) -> DataFrame:
-    """Add the nearest pivot's number `cell` and the distance to it, `reach`."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def nearest(batches):
-        for batch in batches:
-            for at, part in batch.groupby(by, sort=False):
-                centre = shared.value.get(at)
-                if centre is None:
-                    continue
-                x = part[features].to_numpy(dtype=float)
-                cell = np.empty(len(x), dtype="int32")
-                reach = np.empty(len(x))
-                for s in _slices(len(x), len(centre)):
-                    d2 = _squared(x[s], centre)
-                    cell[s] = d2.argmin(axis=1)
-                    reach[s] = np.sqrt(d2.min(axis=1))
-                yield part.assign(cell=cell, reach=reach)
-
-    extra = [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
-    return df.mapInPandas(nearest, T.StructType(df.schema.fields + extra))
-
-
-def _ring(reach: Column, edges: Column) -> Column:
-    return F.coalesce(F.size(F.filter(edges, lambda e: e < reach)), F.lit(0)).cast("int")
-
-
-def _against_chunks(points, query, features, keys, k, by, rows, chunk_rows) -> DataFrame:
-    groups = max(1, points.select(*by).distinct().count())
-    cells = int(min(max(1, MAX_CELLS // groups), max(1, math.ceil(2 * rows / groups / chunk_rows))))
-    pivots = _pivots(points, features, by, cells)
-    placed = stage(_attach(points, pivots, features, by))
-
-    # Cells over the chunk size are cut by distance from the pivot, and rings over it by hash.
-    fractions = F.lit([i / RINGS for i in range(1, RINGS)])
-    edges = placed.groupBy(*by, "cell").agg(
-        F.when(
-            F.count(F.lit(1)) > chunk_rows, F.percentile_approx("reach", fractions, F.lit(1000))
-        ).alias("edges")
-    )
-    ringed = placed.join(F.broadcast(edges), [*by, "cell"]).withColumn(
-        "ring", _ring(F.col("reach"), F.col("edges"))
-    )
-    ring_key = [*by, "cell", "ring"]
-    rings = stage(
-        ringed.groupBy(*ring_key).agg(
-            F.min("reach").alias("low"),
-            F.max("reach").alias("high"),
-            F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("parts"),
-        )
-    )
-    spread = F.pmod(F.xxhash64(*features), F.col("parts")).cast("int")
-    chunked = stage(
-        ringed.join(F.broadcast(rings.select(*ring_key, "parts")), ring_key)
-        .withColumn("part", spread)
-        .drop("edges", "parts", "reach")
-    )
-
-    table = {at: part for at, part in rings.toPandas().groupby(by, sort=False)}
-    kept = [*by, *keys, "y"]
-    first = stage(
-        _visit(chunked, _home(query, pivots, table, features, by, keys), features, kept, k, by)
-    )
-    bounded = query.join(
-        first.select(*by, *keys, _bound(k).alias("bound"), "cell", "ring", "part"), [*by, *keys]
-    )
-    onward = _onward(bounded, pivots, table, features, by)
-    rest = _visit(chunked, onward, features, kept, k, by)
-    return _combine(first.drop("cell", "ring", "part"), rest.drop("cell", "ring", "part"), kept, k)
-
-
-def _bound(k: int) -> Column:
-    """Distance within which k copies were met, infinite where fewer were."""
-    met = F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c)
-    return F.when(met >= k, F.element_at("d", -1)).otherwise(float("inf"))
-
-
-def _route_schema(query: DataFrame) -> T.StructType:
-    return T.StructType(
-        query.schema.fields + [T.StructField(c, T.IntegerType()) for c in ("cell", "ring", "part")]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    groups = Window.partitionBy(F.lit(0))
+    cut = sizes.select(
+        *by,
+        F.ceil(F.col("points") / point_rows).cast("int").alias("point_blocks"),
+        F.greatest(F.ceil(F.col("queries") / query_rows), F.ceil(tasks / F.count(F.lit(1)).over(groups)))
+        .cast("int")
+        .alias("query_blocks"),
     )
+    cut = F.broadcast(stage(cut))  # one row per group
 
+    def dealt(df: DataFrame, own: str, other: str, on: list[str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*on), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return df.join(cut, by).select(*df.columns, mine, each)
 
-def _home(query, pivots, table, features, by, keys) -> DataFrame:
-    """Send every query to one chunk of its nearest pivot, at its own distance from it."""
-    shared = query.sparkSession.sparkContext.broadcast((pivots, table))
-
-    def route(batches):
-        centres, rings = shared.value
-        for batch in batches:
-            for at, part in batch.groupby(by, sort=False):
-                if at not in centres:
-                    continue
-                x = part[features].to_numpy(dtype=float)
-                own = rings[at]
-                cell_of, ring_of = own["cell"].to_numpy(), own["ring"].to_numpy()
-                low, high = own["low"].to_numpy(), own["high"].to_numpy()
-                pick = np.empty(len(x), dtype=int)
-                for s in _slices(len(x), max(len(centres[at]), len(own))):
-                    d = np.sqrt(_squared(x[s], centres[at]))
-                    gap = np.maximum(d[:, cell_of] - high, low - d[:, cell_of])
-                    elsewhere = cell_of[None, :] != d.argmin(axis=1)[:, None]
-                    pick[s] = (np.maximum(gap, 0) + np.where(elsewhere, 1e300, 0)).argmin(axis=1)
-                spread = pd.util.hash_pandas_object(part[keys], index=False).to_numpy()
-                parts = own["parts"].to_numpy()[pick].astype("uint64")
-                yield part.assign(
-                    cell=cell_of[pick].astype("int32"),
-                    ring=ring_of[pick].astype("int32"),
-                    part=(spread % parts).astype("int32"),
-                )
-
-    return query.mapInPandas(route, _route_schema(query))
-
-
-def _onward(bounded, pivots, table, features, by) -> DataFrame:
-    """Send every query to all other chunks that may hold a point within its bound."""
-    shared = bounded.sparkSession.sparkContext.broadcast((pivots, table))
-    home = ["cell", "ring", "part"]
-    schema = T.StructType([f for f in bounded.schema.fields if f.name != "bound"])
-    names = schema.names
-
-    def route(batches):
-        centres, rings = shared.value
-        for batch in batches:
-            for at, part in batch.groupby(by, sort=False):
-                own = rings[at]
-                cell_of, low, high = (own[c].to_numpy() for c in ("cell", "low", "high"))
-                x = part[features].to_numpy(dtype=float)
-                bound = part["bound"].to_numpy()
-                for s in _slices(len(x), max(len(centres[at]), len(own)) * 8):
-                    d = np.sqrt(_squared(x[s], centres[at]))[:, cell_of]
-                    gap = np.maximum(np.maximum(d - high, low - d), 0)
-                    # The slack covers rounding in the distances compared.
-                    row, ring = np.nonzero(gap <= bound[s][:, None] + 1e-9 * (1 + d))
-                    repeat = own["parts"].to_numpy()[ring]
-                    row, ring = np.repeat(row, repeat), np.repeat(ring, repeat)
-                    piece = np.arange(len(row)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                    sent = part.iloc[s].iloc[row]
-                    cell, at_ring = cell_of[ring], own["ring"].to_numpy()[ring]
-                    new = ~(
-                        (sent["cell"].to_numpy() == cell)
-                        & (sent["ring"].to_numpy() == at_ring)
-                        & (sent["part"].to_numpy() == piece)
-                    )
-                    sent = sent.drop(columns=home).assign(cell=cell, ring=at_ring, part=piece)
-                    yield sent.loc[new, names].astype({c: "int32" for c in home})
-
-    return bounded.mapInPandas(route, schema)
-
-
-def _visit(chunked, routed, features, kept, k, by) -> DataFrame:
-    """Best neighbours of each query inside each chunk it was sent to.
-
-    Chunks with more than their share of queries are copied, and their queries spread over the
-    copies; there are fewer than SHARE such chunks, so the list of them is broadcast.
-    """
-    routed = stage(routed)
-    chunk = [*by, "cell", "ring", "part"]
-    loads = routed.groupBy(*chunk).agg(F.count(F.lit(1)).alias("load"))
-    fair = F.greatest(F.lit(QUERY_ROWS), loads.agg(F.ceil(F.sum("load") / SHARE)).scalar())
-    crowded = F.broadcast(
-        loads.withColumn("fair", fair)
-        .where(F.col("load") > F.col("fair"))
-        .select(*chunk, F.ceil(F.col("load") / F.col("fair")).cast("int").alias("blocks"))
-    )
-    blocks = F.coalesce("blocks", F.lit(1))
-    block = F.pmod(F.xxhash64(*kept), blocks).cast("int")
-    left = (
-        chunked.join(crowded, chunk, "left")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .drop("blocks")
-    )
-    right = routed.join(crowded, chunk, "left").withColumn("block", block).drop("blocks")
-    key = [*chunk, "block"]
-    home = ["cell", "ring", "part"]
+    block = [*by, "point_block", "query_block"]
+    left = dealt(points, "point", "query", features).groupBy(*block)
+    right = dealt(query, "query", "point", keys).groupBy(*block)
+    kept = [*by, *keys, "y"]
 
-    def search(points: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or query.empty:
-            return pd.DataFrame(columns=[*kept, *home, "d", "label", "copies"])
+    def search(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if near.empty or asked.empty:
+            return pd.DataFrame(columns=[*kept, "d", "label", "copies"])
         best = _best(
-            query[features].to_numpy(dtype=float),
-            points[features].to_numpy(dtype=float),
-            points["label"].to_numpy(),
-            points["copies"].to_numpy(),
+            asked[features].to_numpy(dtype=float),
+            near[features].to_numpy(dtype=float),
+            near["label"].to_numpy(),
+            near["copies"].to_numpy(),
             k,
         )
-        return query[[*kept, *home]].assign(**_columns(best))
+        return asked[kept].assign(**_columns(best))
 
-    schema = T.StructType([routed.schema[c] for c in [*kept, *home]] + _BEST)
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
+    schema = T.StructType([query.schema[c] for c in kept] + _BEST)
+    merged = _combine(left.cogroup(right).applyInPandas(search, schema), kept, k)
+    return merged.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n")).select(*kept, "n.*")
 
 
-def _combine(first: DataFrame, rest: DataFrame, kept: list[str], k: int) -> DataFrame:
-    """The k best of all chunks' best; ranks are limited before the shuffle."""
-    near = first.unionByName(rest).select(
-        *kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n")
-    )
+def _sizes(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
+
+def _combine(found: DataFrame, kept: list[str], k: int) -> DataFrame:
+    """The k best of all blocks' best; ranks are limited before the shuffle."""
+    near = found.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
     order = Window.partitionBy(*kept).orderBy("n.d", "n.label")
     ranked = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
     whole = F.sort_array(F.collect_list("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from faultline.operators.ordering import ORDER, PIECE_ROWS, in_pieces
+from faultline.operators.ordering import ORDER, ordered
 from faultline.schema import RECORDING, VARIABLES
 
 
@@ -12,37 +12,29 @@ def forward_fill(
     readings: DataFrame,
     variables: list[str] = VARIABLES,
     order: list[str] = ORDER,
-    piece_rows: int = PIECE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Replace a missing value by the last present one before it in the recording.
 
-    Values are carried inside a piece by a window; between the pieces of a long recording the last
-    present value of each piece travels through a small broadcast table.
+    Values are carried inside a piece by a window; between the pieces of a recording the last present
+    value of each piece travels through a table of one row per piece.
     """
-    cut, offsets = in_pieces(readings, RECORDING, order[0], piece_rows)
+    placed = ordered(readings, RECORDING, order, parts)
     unit = RECORDING + ["piece"]
-    inside = Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = cut.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in variables})
-
-    key = F.struct(*order)
+    inside = Window.partitionBy(*unit).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in variables})
     last_seen = [
-        F.max_by(v, F.when(F.col(v).isNotNull(), key)).alias(f"last_{v}") for v in variables
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col("at"))).alias(f"last_{v}") for v in variables
     ]
     earlier = Window.partitionBy(*RECORDING).orderBy("piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = (
-        cut.where(F.col("long_n").isNotNull())
-        .join(F.broadcast(offsets.select(*unit)), unit)
-        .groupBy(*unit)
-        .agg(*last_seen)
-        .select(
-            *unit,
-            *(F.last(f"last_{v}", ignorenulls=True).over(earlier).alias(f"last_{v}") for v in variables),
-        )
+    carried = placed.groupBy(*unit).agg(*last_seen).select(
+        *unit,
+        *(F.last(f"last_{v}", ignorenulls=True).over(earlier).alias(f"last_{v}") for v in variables),
     )
     return (
-        filled.join(F.broadcast(carried), unit, "left")
+        filled.join(carried, unit)
         .withColumns({v: F.coalesce(v, f"last_{v}") for v in variables})
-        .drop("long_n", "piece", *(f"last_{v}" for v in variables))
+        .drop("piece", "at", *(f"last_{v}" for v in variables))
     )

@@ -2,8 +2,9 @@
 
 Three devices, all exact:
 
-* a recording that holds more than its share of rows is cut into time pieces, so a row number is
-  only ever taken inside one piece (`in_pieces`, `positions`);
+* readings are dealt out once by ranges of (recording, order) and staged sorted, so a recording of any
+  length is cut wherever a range ends, within one time stamp too (`ordered`); positions follow from the
+  row counts of these pieces (`positions`);
 * a running sum over many small units is taken inside order cells and carried between at most a
   few hundred cells (`exclusive_sum`);
 * a rank by digest is taken inside digest-prefix cells (`digest_rank`).
@@ -18,86 +19,55 @@ from faultline.session import stage
 
 ORDER = ["ts", "seq"]
 
-# Long recordings are the LONGEST largest ones among those over PIECE_ROWS rows. Any other holds
-# less than one part in LONGEST of the table. Both tables below are broadcast: the first has at
-# most LONGEST rows, the second one row per PIECE_ROWS readings of long recordings.
-PIECE_ROWS = 4_000_000
-LONGEST = 10_000
-
-
-def clock_seconds(df: DataFrame, name: str) -> Column:
-    """The clock as a number that grows with it; zone-free clocks are read field by field."""
-    ts = F.col(name)
-    if df.schema[name].dataType.typeName() != "timestamp_ntz":
-        return ts.cast("double")
-    day = F.unix_date(ts.cast("date")).cast("double")
-    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def _long_recordings(df: DataFrame, keys: list[str], clock: Column, piece_rows: int) -> DataFrame:
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("long_n"), F.min(clock).alias("t0"), F.max(clock).alias("t1")
-    )
-    return (
-        sizes.where(F.col("long_n") > piece_rows)
-        .orderBy(F.desc("long_n"), *keys)
-        .limit(LONGEST)
-        .withColumn("pieces", F.ceil(F.col("long_n") / piece_rows))
-    )
 
+def ordered(
+    df: DataFrame, keys: list[str] = RECORDING, order: list[str] = ORDER, parts: int | None = None
+) -> DataFrame:
+    """`df` staged in ranges of (keys, order): `piece` numbers the range, `at` grows with the order.
 
-def _piece(clock: Column) -> Column:
-    """Equal time steps over the recording; 0 for a recording that is not long."""
-    c = F.col
-    step = (c("t1") - c("t0")) / c("pieces")
-    index = F.least(F.floor((clock - c("t0")) / F.nullif(step, F.lit(0.0))), c("pieces") - 1)
-    return F.coalesce(index, F.lit(0)).cast("bigint")
+    Range borders are sampled, so ranges are about even however long a recording is.
+    """
+    spark = df.sparkSession
+    if parts is None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    return stage(sorted_.withColumns({"piece": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
 
 
-def in_pieces(
-    df: DataFrame, keys: list[str] = RECORDING, clock: str = "ts", piece_rows: int = PIECE_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Add `piece` to `df`; also return the long recordings' pieces with their running offsets.
+def pieces(placed: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
+    """One row per (keys, piece) of an `ordered` table: its first `at` and its rows, `piece_n`.
 
-    Piece numbers grow with time, so ordering by (piece, order) equals ordering by (order) as long
-    as the order starts with `clock`. Rows that share one time stamp stay in one piece.
+    A range cuts at most two recordings, so there are at most two rows more per range than recordings.
     """
-    seconds = clock_seconds(df, clock)
-    long_ = F.broadcast(_long_recordings(df, keys, seconds, piece_rows))
-    cut = df.join(long_, keys, "left").withColumn("piece", _piece(seconds))
-    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.select(*keys, clock)
-        .join(long_, keys)
-        .withColumn("piece", _piece(seconds))
-        .groupBy(*keys, "piece", F.col("long_n").alias("whole_n"))
-        .agg(F.count(F.lit(1)).alias("piece_n"))
-        .withColumn("before", F.coalesce(F.sum("piece_n").over(before), F.lit(0)))
-        .drop("piece_n")
+    return placed.groupBy(*keys, "piece").agg(
+        F.min("at").alias("first_at"), F.count(F.lit(1)).alias("piece_n")
     )
-    return cut.drop("t0", "t1", "pieces"), offsets
 
 
 def positions(
     df: DataFrame,
     keys: list[str] = RECORDING,
     order: list[str] = ORDER,
-    piece_rows: int = PIECE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the 0-based `pos` of a row in its recording and the recording's `n_rows`.
 
-    One shuffle, by (recording, piece); the small tables are broadcast.
+    The rows are shuffled once, by range; the piece counts are then joined to them.
     """
-    cut, offsets = in_pieces(df, keys, order[0], piece_rows)
-    inside = Window.partitionBy(*keys, "piece")
-    placed = (
-        cut.withColumn("rank", F.row_number().over(inside.orderBy(*order)) - 1)
-        .withColumn("piece_n", F.count(F.lit(1)).over(inside))
-        .join(F.broadcast(offsets), keys + ["piece"], "left")
-        .withColumn("pos", F.col("rank") + F.coalesce("before", F.lit(0)))
-        .withColumn("n_rows", F.coalesce("long_n", "whole_n", "piece_n"))
+    placed = ordered(df, keys, order, parts)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces(placed, keys).select(
+        *keys,
+        "piece",
+        (F.coalesce(F.sum("piece_n").over(before), F.lit(0)) - F.col("first_at")).alias("shift"),
+        F.sum("piece_n").over(whole).alias("n_rows"),
+    )
+    return (
+        placed.join(starts, [*keys, "piece"])
+        .withColumn("pos", F.col("at") + F.col("shift"))
+        .drop("piece", "at", "shift")
     )
-    return placed.drop("long_n", "whole_n", "piece_n", "before", "rank", "piece")
 
 
 def exclusive_sum(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.operators.ordering import ORDER, PIECE_ROWS, exclusive_sum, in_pieces, positions
+from faultline.operators.ordering import ORDER, exclusive_sum, ordered, pieces, positions
 from faultline.schema import RECORDING, VARIABLES
 
 # Statistic name -> aggregate, in feature order. Pass a longer dict to add your own.
@@ -63,7 +63,7 @@ def summarise(
     statistics=STATISTICS,
     missing: bool = True,
 ) -> DataFrame:
-    """Statistics of every variable per group, partly aggregated before the shuffle.
+    """Statistics of every variable per group, in one shuffle of the values (medians need them all).
 
     With `missing`, a window with an absent value of a variable has no statistics of it; callers
     that dropped incomplete rows switch the check off.
@@ -87,11 +87,17 @@ def window_features(
     order: list[str] = ORDER,
     drop_last: bool = True,
     missing: bool = False,
-    piece_rows: int = PIECE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Features of windows inside each recording; `keep` names columns fixed per recording."""
-    narrow = readings.select(*RECORDING, *keep, *order, *variables)
-    placed = positions(narrow, RECORDING, order, piece_rows)
+    """Features of windows inside each recording; `keep` names columns fixed per recording.
+
+    Readings that carry `pos` and `n_rows` already are used as they are.
+    """
+    if {"pos", "n_rows"} <= set(readings.columns):
+        placed = readings.select(*RECORDING, *keep, "pos", "n_rows", *variables)
+    else:
+        narrow = readings.select(*RECORDING, *keep, *order, *variables)
+        placed = positions(narrow, RECORDING, order, parts)
     assigned = assign_windows(placed, size, step, drop_last=drop_last)
     return summarise(assigned, RECORDING + list(keep) + ["w"], variables, statistics, missing)
 
@@ -102,31 +108,32 @@ def concat_positions(
     fixed: list[str],
     expand: Callable[[DataFrame], DataFrame] = lambda df: df,
     order: list[str] = ORDER,
-    piece_rows: int = PIECE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Position of each row in its group's recordings laid end to end, and the group's `n_rows`.
 
     Recordings follow each other by (class, recording). `fixed` names columns constant per
     recording; `expand` turns a table of recordings with them into one with the `group` columns,
     repeating recordings that belong to several groups. Groups must be few. Rows are shuffled once,
-    by (recording, piece); where a recording goes is worked out on the small table of pieces.
+    by range; where a recording goes is worked out on the small table of pieces.
     """
     unit = RECORDING + ["piece"]
-    cut, _ = in_pieces(readings, RECORDING, order[0], piece_rows)
-    units = expand(cut.groupBy(*unit, *fixed).agg(F.count(F.lit(1)).alias("unit_n")))
+    placed = ordered(readings, RECORDING, order, parts)
+    firsts = pieces(placed).select(*unit, "first_at")
+    units = expand(placed.groupBy(*unit, *fixed).agg(F.count(F.lit(1)).alias("unit_n")))
     starts = exclusive_sum(units, group, unit, "unit_n", "start", "n_rows")
-    places = starts.groupBy(*unit).agg(
-        F.collect_list(F.struct(*group, "start", "n_rows")).alias("places")
+    places = (
+        starts.groupBy(*unit)
+        .agg(F.collect_list(F.struct(*group, "start", "n_rows")).alias("places"))
+        .join(firsts, unit)
     )
-    inside = Window.partitionBy(*unit).orderBy(*order)
     return (
-        cut.drop("long_n", *fixed)
-        .withColumn("rank", F.row_number().over(inside) - 1)
+        placed.drop(*fixed)
         .join(places, unit)
         .withColumn("place", F.explode("places"))
         .select("*", "place.*")
-        .withColumn("pos", F.col("start") + F.col("rank"))
-        .drop("places", "place", "start", "rank", "piece")
+        .withColumn("pos", F.col("start") + F.col("at") - F.col("first_at"))
+        .drop("places", "place", "start", "at", "first_at", "piece")
     )
 
 
@@ -142,12 +149,12 @@ def window_features_concat(
     order: list[str] = ORDER,
     drop_last: bool = True,
     missing: bool = False,
-    piece_rows: int = PIECE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Features of windows over each group's recordings laid end to end."""
     fixed = group if fixed is None else fixed
     narrow = readings.select(*RECORDING, *fixed, *order, *variables)
-    placed = concat_positions(narrow, group, fixed, expand, order, piece_rows)
+    placed = concat_positions(narrow, group, fixed, expand, order, parts)
     assigned = assign_windows(placed, size, step, drop_last=drop_last)
     return summarise(assigned, group + ["w"], variables, statistics, missing)
 

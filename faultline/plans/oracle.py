@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from faultline.models import grid
 from faultline.operators import windows
-from faultline.plans.queries import ENTROPY_M, JOB, K, SKIPPED, SLIDE, TOLERANCE
+from faultline.plans.queries import ENTROPY_M, EXACT, JOB, K, SKIPPED, SLIDE, TOLERANCE
 from faultline.schema import FLOAT32_MAX, TEST_WELLS, VARIABLES
 
 FEATURES = windows.feature_names()
@@ -361,12 +361,10 @@ _RESULT_ORDER = """experiment, round, fold, classifier, config, round(f1binp, 6)
 # ---- statements ----------------------------------------------------------------------------------
 
 
-def _fold_summary(step: str) -> str:
+def _fold_rows(step: str) -> str:
     return (
         _with(step, extra={"both_sides": _expand(step)})
-        + """SELECT round, fold, split, label, count(*) AS n, round(avg(v1_mean), 7) AS v1_mean,
-             round(avg(v2_median), 7) AS v2_median, round(max(v5_max), 7) AS v5_max
-             FROM both_sides GROUP BY ALL"""
+        + f"SELECT round, fold, split, {_KEYS}, label, {_rounded()} FROM both_sides"
     )
 
 
@@ -501,7 +499,14 @@ def statements() -> dict[str, str]:
         f"SELECT {_LINE}, label, {_V} FROM lab_rows WHERE class_id IN (0, 4)"
     )
     sql["cast_float"] = _with("clean") + (
-        f"SELECT {_LINE}, CAST(CAST(v2 AS FLOAT) AS DOUBLE) AS v2 FROM clean"
+        f"SELECT {_LINE}, "
+        + ", ".join(f"CAST(CAST({v} AS FLOAT) AS DOUBLE) AS {v}" for v in VARIABLES)
+        + " FROM clean"
+    )
+    sql["cast_float_features"] = _with("feats") + (
+        f"SELECT {_KEYS}, "
+        + ", ".join(f"CAST(printf('%.4e', CAST(CAST({c} AS FLOAT) AS DOUBLE)) AS DOUBLE) AS {c}" for c in EXACT)
+        + " FROM feats"
     )
     dirty = f"WITH dirty AS ({_DIRTY}) "
     sql["mask_nonfinite"] = dirty + f"SELECT * FROM dirty WHERE NOT ({_ANY_BAD})"
@@ -645,10 +650,10 @@ def statements() -> dict[str, str]:
             {_rounded()} FROM sides WHERE fold = 2"""
     )
     for case, step in {"1a": "fold_a", "1b": "fold_b", "2a": "well_a", "2b": "well_b"}.items():
-        sql[f"folds_{case}"] = _fold_summary(step)
+        sql[f"folds_{case}"] = _fold_rows(step)
 
     sql["scaler_fit"] = _with("scaler") + (
-        "SELECT round, fold, feature, n, round(mean, 6) AS mean, round(scale, 6) AS scale FROM scaler"
+        "SELECT round, fold, feature, n, round(mean, 9) AS mean, round(scale, 6) AS scale FROM scaler"
     )
     sql["standardize"] = _with("z") + (
         f"SELECT round, fold, split, {_KEYS}, label, "
@@ -699,6 +704,30 @@ def statements() -> dict[str, str]:
            FROM results"""
     )
     sql["experiment_results"] = _with("z", extra=run) + f'SELECT "case", {_RESULT_ORDER} FROM results'
+    absent = {
+        "kept": "SELECT * FROM lab_a WHERE well_id <> 7",
+        "drawn": _wells("kept"),
+        "sides": _expand("drawn"),
+        "scaler_row": "SELECT round, fold, " + _SCALING + " FROM sides WHERE split = 'train' GROUP BY ALL",
+        "z": f"SELECT round, fold, split, {_KEYS}, label, "
+        + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES)
+        + " FROM sides JOIN scaler_row USING (round, fold)",
+        **_bayes_steps("z"),
+        "zero": zero,
+        "found": """SELECT 'ZERORULE' AS classifier, round, fold, y, p FROM zero
+            UNION ALL SELECT 'GNB', round, fold, y, p FROM bayes""",
+        "counts": _counts("found", "classifier, round, fold"),
+        "size": _sizes("sides", "round, fold"),
+        "results": f"""SELECT 'experiment2a' AS experiment, '2a' AS "case", *, 0 AS config,
+            {_measures(digits=None)} FROM counts JOIN size USING (round, fold)""",
+        "due": "SELECT *, unnest(['ZERORULE', 'GNB']) AS classifier FROM size",
+    }
+    sql["experiment_absent_well"] = _with("lab_a", extra=absent) + (
+        f"""SELECT * FROM (SELECT "case", {_RESULT_ORDER}, false AS empty_test, false AS empty_train FROM results)
+        UNION ALL BY NAME SELECT '2a' AS "case", 'experiment2a' AS experiment, round, fold, classifier, 0 AS config,
+            train_neg, train_pos, test_neg, test_pos, true AS empty_test, false AS empty_train FROM due
+            WHERE test_neg + test_pos = 0"""
+    )
     both = _with("lab_a", "lab_b", extra=_all_cases(2))
     sql["pivot_report"] = both + _pivot("fold >= 0")
     sql["pivot_round1"] = both + _pivot("fold >= 0 AND round = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, zero_rule
 from faultline.operators import clean, folds, metrics, report, windows
@@ -32,14 +32,14 @@ def folds_of(features: DataFrame, scenario: Scenario, job: Job) -> DataFrame:
     if job.skip_wells:
         routed = folds.skip_wells(labelled, list(job.skip_wells))
         labelled = routed.where(F.col("split") == "train").drop("split")
-    return scenario.fold_rule(labelled, job).withColumn("case", F.lit(scenario.case))
+    return scenario.fold_rule(labelled, job, scenario).withColumn("case", F.lit(scenario.case))
 
 
 def holdout_of(features: DataFrame, scenario: Scenario, job: Job) -> DataFrame:
     """Windows of skipped wells, once per (case, round, fold), for that fold's models to score."""
     labelled = clean.labelled(features, scenario.positive, scenario.negative)
     routed = folds.skip_wells(labelled, list(job.skip_wells)).where(F.col("split") == "test")
-    each = F.explode(F.sequence(F.lit(0), F.lit(job.k - 1)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(scenario.folds(job) - 1)))
     return (
         folds.with_rounds(routed, job.rounds)
         .withColumn("fold", each)
@@ -81,12 +81,20 @@ class Folds:
 
     `rows` holds a window once per (case, round) with the fold validating it. The scaled sides
     repeat windows per fold and are built, and staged, only when a classifier asks for them.
+    `limits` gives a case's number of folds where it is not `job.k`.
     """
 
     def __init__(
-        self, folded: DataFrame, features: list[str], job: Job, holdout: DataFrame | None = None
+        self,
+        folded: DataFrame,
+        features: list[str],
+        job: Job,
+        holdout: DataFrame | None = None,
+        limits: dict[str, int] | None = None,
     ):
         self.features, self.job = features, job
+        self.limits = limits or {}
+        self.k = max([*self.limits.values()] or [job.k])
         self.rows = stage(clean.mask_nonfinite(folded, features))
         self.holdout = None if holdout is None else clean.mask_nonfinite(holdout, features)
         self._sides: DataFrame | None = None
@@ -108,41 +116,49 @@ class Folds:
     def sides(self) -> DataFrame:
         if self._sides is None:
             narrow = self.rows.select(*FOLD, *WINDOW, "label", *self.features)
-            both = folds.expand_folds(narrow, self.job.k)
+            both = folds.expand_folds(narrow, self.k).where(F.col("fold") < self.limit())
             if self.holdout is not None:
                 both = both.unionByName(
                     self.holdout.select(*FOLD, *WINDOW, "label", *self.features).withColumn(
                         "split", F.lit("test")
                     )
                 )
-            scaler = scaler_fit(narrow, self.features, self.job.k, BY)
+            scaler = scaler_fit(narrow, self.features, self.k, BY)
             self._sides = stage(standardize(both, scaler, self.features, FOLD))
         return self._sides
 
     def cells(self) -> list[tuple]:
         drawn = self.rows.select(*BY).distinct().collect()
-        return sorted((c, r, f) for c, r in drawn for f in range(self.job.k))
+        return sorted((c, r, f) for c, r in drawn for f in range(self.limits.get(c, self.k)))
+
+    def limit(self) -> Column:
+        """How many folds the row's case has."""
+        return reduce(
+            lambda other, case: F.when(F.col("case") == case, self.limits[case]).otherwise(other),
+            self.limits,
+            F.lit(self.k),
+        )
 
 
 KEYS = ["split", *WINDOW]
 
 
 def _zero_rule(data: Folds, config: dict) -> DataFrame:
-    return zero_rule.predict(data.valid, zero_rule.fit(data.rows, data.job.k, BY), KEYS, BY)
+    return zero_rule.predict(data.valid, zero_rule.fit(data.rows, data.k, BY), KEYS, BY)
 
 
 def _bayes(data: Folds, config: dict) -> DataFrame:
-    model = bayes.fit(data.rows, data.features, data.job.k, BY)
+    model = bayes.fit(data.rows, data.features, data.k, BY)
     return bayes.predict(data.valid, model, data.features, KEYS, BY)
 
 
 def _linear(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_linear(data.rows, data.features, data.job.k, BY)
+    model = discriminant.fit_linear(data.rows, data.features, data.k, BY)
     return discriminant.predict_linear(data.valid, model, data.features, KEYS, BY)
 
 
 def _quadratic(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_quadratic(data.rows, data.features, data.job.k, BY)
+    model = discriminant.fit_quadratic(data.rows, data.features, data.k, BY)
     return discriminant.predict_quadratic(data.valid, model, data.features, KEYS, BY)
 
 
@@ -200,9 +216,9 @@ def predictions(data: Folds, classifier: str, config: dict | None = None) -> Dat
 def inner_tables(data: Folds, inner: int = 4) -> DataFrame:
     """The outer training sides, scaled, cut into inner folds: (case, round, fold, inner, ...)."""
     by_fold = folds.inner_folds(
-        data.rows.select(*FOLD, *WINDOW, "label", *data.features), data.job.k, inner
+        data.rows.select(*FOLD, *WINDOW, "label", *data.features), data.k, inner
     )
-    scaler = scaler_fit(data.rows, data.features, data.job.k, BY)
+    scaler = scaler_fit(data.rows, data.features, data.k, BY)
     return standardize(by_fold, scaler, data.features)
 
 
@@ -281,8 +297,10 @@ def score(found: DataFrame, classifier: str) -> DataFrame:
 def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job) -> DataFrame:
     """Result rows of every (case, classifier, round, fold), and of the hold-out wells if any.
 
-    Row counts of the sides are taken before the mask, scores after it. Hold-out rows carry
-    fold -1 and the number of the fold whose model scored them in `model_fold`.
+    Row counts of the sides are taken before the mask, scores after it. Every fold has its row: where
+    its validation side holds no scored row, or its training side none, scores are NULL; `empty_test`
+    says that a label is missing from the validation side, `empty_train` from the training side.
+    Hold-out rows carry fold -1 and the number of the fold whose model scored them in `model_fold`.
     """
     names = list(job.variables)
     columns = windows.feature_names(names)
@@ -292,8 +310,11 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
 
     folded = stage(every(folds_of))
     holdout = every(holdout_of) if job.skip_wells else None
-    data = Folds(folded, columns, job, holdout)
-    health = folds.fold_health(folded, job.k, BY).drop("empty_test", "more_positives")
+    data = Folds(folded, columns, job, holdout, {s.case: s.folds(job) for s in scenarios})
+    health = folds.fold_health(folded, data.k, BY).drop("more_positives")
+    health = health.where(F.col("fold") < data.limit()).withColumn(
+        "empty_train", (F.col("train_neg") == 0) | (F.col("train_pos") == 0)
+    )
     parts = []
     for classifier in job.classifiers:
         found = (
@@ -303,7 +324,13 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
         )
         parts.append(score(found, classifier))
     scored = reduce(lambda a, b: a.unionByName(b), parts)
-    sized = scored.join(F.broadcast(health), FOLD)
+    sides = ["valid"] if holdout is None else ["valid", "test"]
+    due = health.withColumn("classifier", F.explode(F.lit(list(job.classifiers)))).withColumn(
+        "split", F.explode(F.lit(sides))
+    )
+    sized = due.join(scored, [*FOLD, "classifier", "split"], "left").withColumn(
+        "config", F.coalesce("config", F.lit(0))
+    )
     held = F.col("split") == "test"
     total_neg = F.col("tn") + F.col("fp")
     total_pos = F.col("tp") + F.col("fn")
@@ -334,4 +361,6 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
         "tn",
         "fp",
         "fn",
+        "empty_test",
+        "empty_train",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: int | str = "*", name: str = "faultline", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
     settings = {
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="faultline-"),
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",
@@ -28,13 +30,16 @@ def local_session(cores: int | str = "*", name: str = "faultline", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach, as `spark.checkpoint.dir` or the context names it.
 
-    Only where the session names none (tests) does a temporary folder stand in.
+    A session on a single machine that names none gets a temporary one; on a cluster executors would
+    write to their own disks there, so it must be named.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
         folder = context.getCheckpointDir()
     return folder

@@ -154,9 +154,8 @@ def brute_near(train, query, k):
 
 
 @pytest.mark.parametrize("k", [1, 5])
-@pytest.mark.parametrize("chunked", [False, True])
-def test_neighbours_against_brute_force(spark, monkeypatch, k, chunked):
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 40)
+@pytest.mark.parametrize("blocked", [False, True])
+def test_neighbours_against_brute_force(spark, k, blocked):
     pdf, df = cloud(spark)
     train, query = pdf[pdf["id"] % 3 > 0], pdf[pdf["id"] % 3 == 0]
     found = neighbours.neighbours(
@@ -166,8 +165,8 @@ def test_neighbours_against_brute_force(spark, monkeypatch, k, chunked):
         ["id"],
         k,
         ["g"],
-        broadcast_bytes=0 if chunked else neighbours.BROADCAST_BYTES,
-        chunk_rows=60,
+        point_rows=60 if blocked else neighbours.POINT_ROWS,
+        query_rows=25 if blocked else neighbours.QUERY_ROWS,
     ).toPandas()
     got = {}
     for at, part in found.sort_values(["d", "label"]).groupby("id"):
@@ -176,6 +175,26 @@ def test_neighbours_against_brute_force(spark, monkeypatch, k, chunked):
     assert got == brute_near(train, query, k)
 
 
+def test_neighbours_in_thirty_dimensions(spark):
+    rng = np.random.default_rng(8)
+    names = [f"f{i}" for i in range(30)]
+    pdf = pd.DataFrame(rng.normal(size=(500, 30)).round(2), columns=names)
+    pdf["label"], pdf["id"] = rng.integers(0, 2, 500).astype("int32"), np.arange(500)
+    pdf["g"] = 0
+    df = spark.createDataFrame(pdf)
+    found = neighbours.neighbours(
+        df.where("id >= 100"), df.where("id < 100"), names, ["id"], 3, ["g"], point_rows=70, query_rows=30
+    ).toPandas()
+    x = pdf[names].to_numpy()
+    d = np.sqrt(((x[:100, None] - x[None, 100:]) ** 2).sum(axis=2))
+    for at, part in found.groupby("id"):
+        assert np.allclose(np.sort(part["d"])[:3], np.sort(d[at])[:3])
+    fewer = neighbours.neighbours(
+        df.where("id >= 100"), df.where("id < 100"), names, ["id"], 1, ["g"], max_train_rows=50
+    )
+    assert fewer.select("id").distinct().count() == 100
+
+
 def test_votes(spark):
     rows = [
         (1, 0, 0.0, 1, 1), (1, 0, 0.1, 0, 5),

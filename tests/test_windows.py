@@ -83,40 +83,45 @@ def skewed(spark, folder):
     return rows.withColumn("instance_id", hot)
 
 
-def test_pieces_change_nothing(spark, folder):
+def test_ranges_change_nothing(spark, folder):
     rows = clean.drop_incomplete(skewed(spark, folder))
-    whole, cut = ordering.positions(rows), ordering.positions(rows, piece_rows=50)
+    whole, cut = ordering.positions(rows, parts=1), ordering.positions(rows, parts=40)
     assert whole.exceptAll(cut).count() == 0 and cut.count() == rows.count()
-    pieces, offsets = ordering.in_pieces(rows, piece_rows=50)
-    largest = pieces.groupBy("class_id", "instance_id", "piece").count().agg(F.max("count"))
-    assert largest.first()[0] < 200 and offsets.count() > 10
+    sizes = ordering.ordered(rows, parts=40).groupBy("piece").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < rows.count() / 8 and sizes[1] > 20
 
 
-def test_pieces_change_no_concatenation(spark, folder):
+def test_ranges_change_no_concatenation(spark, folder):
     rows = clean.labelled(clean.drop_incomplete(skewed(spark, folder)), [4], [0])
 
-    def made(piece_rows):
-        df = windows.window_features_concat(rows, 20, 20, ["label"], piece_rows=piece_rows)
+    def made(parts):
+        df = windows.window_features_concat(rows, 20, 20, ["label"], parts=parts)
         return df.orderBy("label", "w").toPandas()
 
-    whole, cut = made(10**6), made(50)
+    whole, cut = made(1), made(40)
     exact = ["label", "w", *(f"v{i}_{s}" for i in range(1, 6) for s in ("max", "min", "median"))]
     assert whole[exact].equals(cut[exact])
     assert np.allclose(whole, cut, rtol=1e-12, atol=1e-12)
 
 
-def test_fill_carries_between_pieces(spark, folder):
+def test_fill_carries_between_ranges(spark, folder):
     rows = skewed(spark, folder)
-    whole, cut = fill.forward_fill(rows), fill.forward_fill(rows, piece_rows=50)
+    whole, cut = fill.forward_fill(rows, parts=1), fill.forward_fill(rows, parts=40)
     assert whole.exceptAll(cut).count() == 0 and cut.count() == rows.count()
     filled = fill.forward_fill(recording(spark, [None, 1, None, None, 2, None]), ["v1"])
     assert [r.v1 for r in filled.orderBy("ts").collect()] == [None, 1, 1, 1, 2, 2]
 
 
-def test_equal_clocks_stay_in_order(spark):
-    df = recording(spark, range(100)).withColumn("ts", F.timestamp_seconds(F.lit(7)))
-    placed = ordering.positions(df, piece_rows=10)
+def test_one_recording_with_nearly_all_rows_in_one_second(spark):
+    hot = recording(spark, range(20_000)).withColumn("ts", F.timestamp_seconds(F.lit(7)))
+    df = hot.unionByName(recording(spark, range(200), 1, 5))
+    placed = ordering.positions(df, parts=16)
     assert placed.where(F.col("pos") != F.col("seq")).count() == 0
+    assert placed.groupBy("n_rows").count().count() == 2
+    spread = ordering.ordered(df, parts=16).groupBy("piece").count().agg(F.max("count")).first()[0]
+    assert spread < 5000
+    (a, b) = (windows.window_features(x, 50, 50, ["v1"], keep=()).count() for x in (df, placed))
+    assert a == b
 
 
 def test_exclusive_sum_with_many_cells(spark):
