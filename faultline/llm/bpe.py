@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from faultline.llm.common import per_process, strings, text_bytes, text_slices
+from faultline.llm.segments import SegmentIds
 
-SLICE_BYTES = 4 << 20
-CACHE_SEGMENTS = 300_000
+SLICE_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -55,30 +55,14 @@ class ByteCodec:
         self.at = np.zeros(len(by_id) + 1, np.int64)
         np.cumsum([len(t) for t in by_id], out=self.at[1:])
         self.table = np.frombuffer(b"".join(by_id), np.uint8)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode_segments(self, segments: list[str]) -> list[np.ndarray]:
-        new = [s for s in segments if s not in self.known]
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                fresh[s] = np.array(e.ids, np.uint32)
-        out = [fresh[s] if s in fresh else self.known[s] for s in segments]
-        if len(self.known) < CACHE_SEGMENTS:
-            self.known.update(fresh)
-        return out
+        self.segments = SegmentIds(self.tokenizer.encode_batch)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 borders of each row's ids. Each distinct segment is encoded once."""
         data, borders = text_bytes(text)
-        cuts = segment_starts(data, borders)
-        parts = strings(data, np.append(cuts, len(data))).dictionary_encode()
-        codes = parts.indices.to_numpy(zero_copy_only=False)
-        found = self._encode_segments(parts.dictionary.to_pylist())
-        ids, id_borders = gather(found, codes)
-        row_of_cut = np.searchsorted(cuts, borders)
-        return ids, id_borders[row_of_cut]
+        starts = segment_starts(data, borders)
+        ids, id_borders = self.segments.encode(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts)
+        return ids, id_borders[np.searchsorted(starts, borders)]
 
     def decode(self, ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all rows, and their n + 1 borders. A character split over ids comes whole again
@@ -130,19 +114,6 @@ def segment_starts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def gather(found: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lay found[c] end to end for each code; all values, and the len(codes) + 1 borders."""
-    sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-    starts = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(sizes, out=starts[1:])
-    pool = np.concatenate(found) if found else np.zeros(0, np.uint32)
-    each = sizes[codes]
-    borders = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(each, out=borders[1:])
-    where = np.arange(borders[-1]) + np.repeat(starts[codes] - borders[:-1], each)
-    return pool[where], borders
-
-
 def encode_decode(
     docs: DataFrame, text: str, rank_file: str, pattern: str, offsets: bool = False
 ) -> DataFrame:
