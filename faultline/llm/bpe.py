@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from faultline.llm.common import per_process, strings, text_bytes, text_slices
+from faultline.llm.common import per_process, strings, task, text_bytes, text_slices
 from faultline.llm.segments import SegmentIds
 
 SLICE_BYTES = 1 << 20
@@ -148,4 +148,4 @@ def encode_decode(
                     ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(task(run), schema)

@@ -26,6 +26,7 @@ from faultline.llm.common import (
     open_output,
     per_process,
     span_hashes,
+    task,
     text_bytes,
     text_slices,
     word_spans,
@@ -88,7 +89,7 @@ def write_blocks(items: DataFrame, item_id: str, text: str, window: int, folder:
                     yield pa.RecordBatch.from_pydict({"path": [path]})
 
     dealt = rows.repartition(max(1, -(-total // BLOCK_BYTES)), F.xxhash64("id", "text"))
-    return sorted(r.path for r in dealt.mapInArrow(run, "path string").collect())
+    return sorted(r.path for r in dealt.mapInArrow(task(run), "path string").collect())
 
 
 class Block:
@@ -297,7 +298,7 @@ def mark(
             for batch in text_slices(whole, text, SHARD_BYTES):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *_judge(batch, text, paths)], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, f"{schema}, " + ", ".join(f"`{prefix}{name}` {kind}" for name, kind in _NEW.items()))
+    return kept.mapInArrow(task(run), f"{schema}, " + ", ".join(f"`{prefix}{name}` {kind}" for name, kind in _NEW.items()))
 
 
 def is_contaminated(n_words="n_words", n_hit="n_hit"):

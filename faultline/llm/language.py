@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm.common import Stages, mix, text_slices
+from faultline.llm.common import Stages, grouped, mix, task, text_slices
 from faultline.llm.grams import Lookup, characters, hashes
 
 SIZES = range(1, 4)
@@ -94,8 +94,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
             names=["key", "n", "counts"],
         )
 
-    counted = rows.mapInArrow(lambda batches: _sums(batches, n), "bucket int, keys binary, counts binary")
-    best = counted.groupBy("bucket").applyInArrow(choose, "key bigint, n double, counts array<double>")
+    counted = rows.mapInArrow(task(lambda batches: _sums(batches, n)), "bucket int, keys binary, counts binary")
+    best = counted.groupBy("bucket").applyInArrow(grouped(choose), "key bigint, n double, counts array<double>")
     table = best.orderBy(F.desc("n"), "key").limit(FEATURES).toPandas()
     counts = np.array(table["counts"].tolist()).reshape(-1, n)
     logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(counts))))
@@ -143,7 +143,7 @@ def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
                 values = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel() * TEXT_WEIGHT), n).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*columns, values], names=[f.name for f in kept] + ["logs"])
 
-    return pages.select(*[f.name for f in kept], "text").mapInArrow(run, f"{schema}, logs array<double>")
+    return pages.select(*[f.name for f in kept], "text").mapInArrow(task(run), f"{schema}, logs array<double>")
 
 
 def _posterior(logs: Column) -> Column:

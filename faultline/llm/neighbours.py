@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from faultline.llm.common import Stages
+from faultline.llm.common import Stages, grouped, task
 
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 #: Queries whose candidate lists are merged in one group.
@@ -63,7 +63,7 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
         for size in list(held):
             yield block(size)
 
-    return vectors.mapInArrow(run, "block string, size int, ids binary, data binary")
+    return vectors.mapInArrow(task(run), "block string, size int, ids binary, data binary")
 
 
 class Quantized:
@@ -178,5 +178,5 @@ def search(
             names=["query_id", "rank", "vec_id", "score"],
         )
 
-    best = pairs.mapInArrow(multiply, "q string, part int, row int, query_id bigint, vec_id bigint, score double")
-    return best.groupBy("q", "part").applyInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
+    best = pairs.mapInArrow(task(multiply), "q string, part int, row int, query_id bigint, vec_id bigint, score double")
+    return best.groupBy("q", "part").applyInArrow(grouped(merge), "query_id bigint, rank int, vec_id bigint, score double")

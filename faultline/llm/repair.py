@@ -19,7 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from faultline.llm.common import LOWER, NOT_SPACE, Stages, open_input, open_output, per_process, strings, text_bytes, text_slices, word_spans
+from faultline.llm.common import (
+    LOWER,
+    NOT_SPACE,
+    Stages,
+    open_input,
+    open_output,
+    per_process,
+    strings,
+    task,
+    text_bytes,
+    text_slices,
+    word_spans,
+)
 from faultline.llm.segments import SegmentIds
 
 SHARD_BYTES = 4 << 20
@@ -238,7 +250,7 @@ def write_shards(
             )
             shard += 1
 
-    files = dealt.mapInArrow(run, "part int, shard int, path string, docs bigint, ids bigint")
+    files = dealt.mapInArrow(task(run), "part int, shard int, path string, docs bigint, ids bigint")
     return Stages(spark, "shards").keep(files, "files")
 
 
@@ -285,4 +297,4 @@ def read_shards(files: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                 )
 
     spread = placed.select("path", "base").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInArrow(run, f"`{doc_id}` bigint, start bigint, n_tokens bigint, ids binary")
+    return spread.mapInArrow(task(run), f"`{doc_id}` bigint, start bigint, n_tokens bigint, ids binary")

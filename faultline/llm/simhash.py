@@ -17,7 +17,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import LOWER, NOT_SPACE, Stages, partitions_for, text_bytes, text_slices, unused, word_spans
+from faultline.llm.common import (
+    LOWER,
+    NOT_SPACE,
+    Stages,
+    partitions_for,
+    task,
+    text_bytes,
+    text_slices,
+    unused,
+    word_spans,
+)
 
 SLICE_BYTES = 1 << 20
 BLOCK_ROWS = 32_768
@@ -70,7 +80,7 @@ def add_fingerprint(docs: DataFrame, text: str, shingle: int, name: str) -> Data
                 f = fingerprints(batch.column(batch.schema.get_field_index(text)), shingle)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.view(np.int64))], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, f"{schema}, `{name}` bigint")
+    return kept.mapInArrow(task(run), f"{schema}, `{name}` bigint")
 
 
 # ---- tiles ---------------------------------------------------------------------------------------
@@ -230,7 +240,7 @@ def _blocks(distinct: DataFrame, count: int) -> DataFrame:
             )
 
     dealt = distinct.select("f").repartitionByRange(count, ones, "f").sortWithinPartitions(ones, "f")
-    return dealt.mapInArrow(run, "block bigint, low int, high int, data binary")
+    return dealt.mapInArrow(task(run), "block bigint, low int, high int, data binary")
 
 
 def _edges(blocks: DataFrame, radius: int) -> DataFrame:
@@ -254,7 +264,7 @@ def _edges(blocks: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     spread = both.select("i", "j", "a", "b").repartition(partitions_for(blocks.sparkSession, 0, 1), "i", "j")
-    return spread.mapInArrow(run, "u bigint, v bigint")
+    return spread.mapInArrow(task(run), "u bigint, v bigint")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:

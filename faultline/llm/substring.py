@@ -28,10 +28,13 @@ from faultline.llm.common import (
     NOT_SPACE,
     Stages,
     chained,
+    cogrouped,
+    grouped,
     mix,
     partitions_for,
     span_hashes,
     strings,
+    task,
     text_bytes,
     text_slices,
     word_spans,
@@ -83,7 +86,7 @@ def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "chunk string, words bigint, data binary")
+    return rows.mapInArrow(task(run), "chunk string, words bigint, data binary")
 
 
 class Chunk:
@@ -317,15 +320,15 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     by = chunks.select("chunk", "data")
     buckets = partitions_for(spark, words, BUCKET_WORDS)
-    probes = by.mapInArrow(probe, _BLOBS).repartition(buckets, "bucket")
-    hits = stages.keep(probes.groupBy("bucket").applyInArrow(match, _MARKS), "hits")
+    probes = by.mapInArrow(task(probe), _BLOBS).repartition(buckets, "bucket")
+    hits = stages.keep(probes.groupBy("bucket").applyInArrow(grouped(match), _MARKS), "hits")
     stages.drop()
-    grouped = by.groupBy("chunk")
-    windows = grouped.cogroup(hits.groupBy("chunk")).applyInArrow(extend, _BLOBS).repartition(buckets, "bucket")
-    later = stages.keep(windows.groupBy("bucket").applyInArrow(earliest, _MARKS), "later")
+    by_chunk = by.groupBy("chunk")
+    windows = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(cogrouped(extend), _BLOBS).repartition(buckets, "bucket")
+    later = stages.keep(windows.groupBy("bucket").applyInArrow(grouped(earliest), _MARKS), "later")
     stages.drop()
     marks = hits.unionByName(later)
-    return grouped.cogroup(marks.groupBy("chunk")).applyInArrow(cut, _DOCS).withColumnRenamed("id", doc_id)
+    return by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(cogrouped(cut), _DOCS).withColumnRenamed("id", doc_id)
 
 
 _DOCS = "id bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<start:int,end:int>>"

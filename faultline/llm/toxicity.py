@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import Stages, mix, text_slices
+from faultline.llm.common import Stages, grouped, mix, task, text_slices
 from faultline.llm.grams import Lookup, characters, hashes
 
 SIZES = range(3, 7)
@@ -127,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return pa.table([pa.array(keys[best].view(np.int64)), pa.array(ratio[best]), pa.array(worth[best])], names=["key", "ratio", "worth"])
 
     dealt = rows.repartition(SAMPLE_TASKS, F.xxhash64("text"))
-    counted = dealt.mapInArrow(_counts, "bucket int, keys binary, counts binary")
-    best = counted.groupBy("bucket").applyInArrow(choose, "key bigint, ratio double, worth double")
+    counted = dealt.mapInArrow(task(_counts), "bucket int, keys binary, counts binary")
+    best = counted.groupBy("bucket").applyInArrow(grouped(choose), "key bigint, ratio double, worth double")
     best = best.orderBy(F.desc("worth"), "key").limit(FEATURES).toPandas()
     chosen, ratio = best["key"].to_numpy().view(np.uint64), best["ratio"].to_numpy()
     find = Lookup(chosen)
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 )
 
     # One short row per sampled document: bounded by the sample and the feature count.
-    table = rows.mapInArrow(features, "label int, has binary").toPandas()
+    table = rows.mapInArrow(task(features), "label int, has binary").toPandas()
     x = np.zeros((len(table), len(chosen)), np.float32)
     for i, has in enumerate(table["has"]):
         at = np.frombuffer(has, np.int32)
@@ -215,4 +215,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
                 scores = 1 / (1 + np.exp(-np.clip(sums, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, f"{schema}, `{name}` double")
+    return kept.mapInArrow(task(run), f"{schema}, `{name}` double")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import Stages, open_input, open_output
+from faultline.llm.common import Stages, open_input, open_output, task
 
 LEAST_BYTES = 1000
 FILE_BYTES = 64 << 20
@@ -113,7 +113,7 @@ def write_archives(
         if out is not None:
             yield listed()
 
-    files = placed.mapInArrow(run, "path string, records bigint, bytes bigint")
+    files = placed.mapInArrow(task(run), "path string, records bigint, bytes bigint")
     return Stages(pages.sparkSession, "archives").keep(files, "files")
 
 
@@ -218,7 +218,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     spread = files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInArrow(run, _SCHEMA)
+    return spread.mapInArrow(task(run), _SCHEMA)
 
 
 _SCHEMA = (
