@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from faultline.models import grid
 from faultline.operators import windows
-from faultline.plans.queries import ENTROPY_M, EXACT, JOB, K, SKIPPED, SLIDE, TOLERANCE
+from faultline.plans.queries import ENTROPY_M, EXACT, SEPARABLE, JOB, K, SKIPPED, SLIDE, TOLERANCE
 from faultline.schema import FLOAT32_MAX, TEST_WELLS, VARIABLES
 
 FEATURES = windows.feature_names()
@@ -527,6 +527,9 @@ def statements() -> dict[str, str]:
         )
         + " FROM raw"
     )
+    sql["clean_table"] = _with("placed") + (
+        f"SELECT {_LINE}, well_id, pos, n_rows, {_V} FROM placed"
+    )
     sql["row_positions"] = _with("placed") + f"SELECT {_LINE}, pos, n_rows FROM placed"
     sql["instance_offsets"] = _with("lab_recs") + (
         """SELECT label, class_id, instance_id, n, CAST(coalesce(sum(n) OVER (PARTITION BY label
@@ -676,6 +679,11 @@ def statements() -> dict[str, str]:
     sql["score_knn1"] = _scored("one_nn", _with("z", extra=one_nn))
     sql["score_gnb"] = _scored("bayes", _with("z", extra=_bayes_steps("z")))
 
+    for name in SEPARABLE:
+        sql[name] = _with("fold_a") + (
+            f"SELECT round, fold, {_KEYS}, label AS y, label AS p FROM fold_a WHERE fold IS NOT NULL"
+        )
+
     judged = f"WITH judged AS ({_JUDGED}), counts AS ({_counts('judged', 'l_suppkey')}) "
     base = "l_suppkey, tn, fp, fn, tp, pred_pos, pred_neg"
     sql["confusion"] = judged + f"SELECT {base} FROM counts"
@@ -737,6 +745,11 @@ def statements() -> dict[str, str]:
             FROM e_results WHERE classifier = 'ZERORULE' AND exp IN ('1a', '2b')"""
     )
 
+    sql["stored_results"] = _with("lab_a", "lab_b", extra=_all_cases(1)) + (
+        f"""SELECT exp AS "case", {_RESULT_ORDER} FROM e_results
+            WHERE classifier = 'ZERORULE' AND exp IN ('1a', '2b')"""
+    )
+
     held = {
         "kept": f"SELECT * FROM lab_a WHERE well_id NOT IN ({skipped})",
         "drawn": _kfold("kept"),

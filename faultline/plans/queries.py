@@ -23,7 +23,7 @@ from faultline.operators import (
 from faultline.plans import workflow
 from faultline.plans.scenarios import SCENARIOS, Job
 from faultline.schema import RECORDING, TEST_WELLS, VARIABLES, WINDOW
-from faultline.session import stage
+from faultline.session import new_folder, stage
 from faultline.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,6 +252,14 @@ def row_positions(spark, folder):
     return ordering.positions(_clean(spark, folder)).select(*_line_keys(), "pos", "n_rows")
 
 
+@query
+def clean_table(spark, folder):
+    """Write the clean readings with their positions, partitioned by class, and read them back."""
+    path = new_folder(spark, "clean")
+    tables.write_partitioned(workflow.clean_table(_raw(spark, folder), VARIABLES), path, ["class_id"])
+    return spark.read.parquet(path).select(*_line_keys(), "well_id", "pos", "n_rows", *VARIABLES)
+
+
 @query
 def instance_offsets(spark, folder):
     s = SCENARIOS["1b"]
@@ -433,9 +441,10 @@ def sample_order(spark, folder):
 @query
 def fold_slice(spark, folder):
     """Write a fold table, partitioned, then read one fold of it back."""
-    s = SCENARIOS["1a"]
-    staged = stage(folds.expand_folds(workflow.folds_of(_features(spark, folder), s, JOB), K))
-    part = staged.where((F.col("case") == "1a") & (F.col("round") == 1) & (F.col("fold") == 2))
+    path = new_folder(spark, "folds")
+    both = folds.expand_folds(workflow.folds_of(_features(spark, folder), SCENARIOS["1a"], JOB), K)
+    tables.write_partitioned(both, path, ["case", *FOLD])
+    part = tables.read_fold(spark, path, "1a", 1, 2)
     return _rounded(part, ["case", *FOLD, "split", *RECORDING, "well_id", "w", "label"], FEATURES)
 
 
@@ -536,24 +545,44 @@ def knn_uniform(spark, folder):
     return voted.select(*FOLD, *WINDOW, "config", "k", "y", "p")
 
 
-def _fitted(classifier: str, config: dict) -> Query:
-    """A library model on its own settings; small sizes keep one pass of all folds short."""
+for _name, _classifier in {
+    "tree_predict": "DT",
+    "forest_predict": "RF",
+    "gbt_predict": "GBOOST",
+    "adaboost_predict": "ADA",
+    "mlp_predict": "MLP",
+    "svc_linear_predict": "SVM",
+}.items():
+    QUERIES[_name] = _classified(_classifier)
+
+
+def _separable(spark: SparkSession, folder: str) -> DataFrame:
+    """The readings with all variables of the fault class raised: every window can be told apart."""
+    raised = F.when(F.col("class_id") == 4, 1000.0).otherwise(0.0)
+    rows = _raw(spark, folder).withColumns({v: F.col(v) + raised for v in VARIABLES})
+    return workflow.features_of(workflow.clean_readings(rows, VARIABLES), JOB)
+
 
+def _told_apart(classifier: str) -> Query:
     def run(spark, folder):
-        return _predicted(workflow.predictions(_data(spark, folder), classifier, config))
+        folded = workflow.folds_of(_separable(spark, folder), SCENARIOS["1a"], JOB)
+        return _predicted(workflow.predictions(workflow.Folds(folded, FEATURES, JOB), classifier))
 
     return run
 
 
-for _name, _classifier, _config in [
-    ("tree_predict", "DT", {"max_depth": 5}),
-    ("forest_predict", "RF", {"n_estimators": 10, "max_depth": 5}),
-    ("gbt_predict", "GBOOST", {"n_estimators": 5, "max_depth": 3}),
-    ("adaboost_predict", "ADA", {"n_estimators": 5}),
-    ("mlp_predict", "MLP", {"hidden_layer_sizes": 16, "max_iter": 50}),
-    ("svc_linear_predict", "SVM", {}),
-]:
-    QUERIES[_name] = _fitted(_classifier, _config)
+SEPARABLE = {
+    "tree_separable": "DT",
+    "forest_separable": "RF",
+    "gbt_separable": "GBOOST",
+    "adaboost_separable": "ADA",
+    "mlp_separable": "MLP",
+    "svc_linear_separable": "SVM",
+    "lda_separable": "LDA",
+    "qda_separable": "QDA",
+}
+for _name, _classifier in SEPARABLE.items():
+    QUERIES[_name] = _told_apart(_classifier)
 
 
 def _scored(classifier: str) -> Query:
@@ -676,6 +705,25 @@ def merge_results(spark, folder):
     return _round_scores(merged.select(*columns, "case", "scenario", "welltest"))
 
 
+@query
+def stored_results(spark, folder):
+    """Write the results of two cases one after the other, one of them twice, and read all back."""
+    path, made = new_folder(spark, "results"), _features(spark, folder)
+    job = Job(size=20, step=20, classifiers=("ZERORULE",))
+    for case in ("1a", "2b", "2b"):
+        results = workflow.experiment_results(made, [SCENARIOS[case]], job)
+        tables.write_partitioned(results, path, ["case"])
+    stored = spark.read.parquet(path)
+    return _round_scores(stored.select(*_RESULT_COLUMNS))
+
+
+@query
+def default_run(spark, folder):
+    """The six classifiers that a run takes if nothing else is said."""
+    results = workflow.experiment_results(_features(spark, folder), [SCENARIOS["1a"]], Job(size=20, step=20))
+    return _round_scores(results.select(*_RESULT_COLUMNS))
+
+
 @query
 def score_holdout(spark, folder):
     job = Job(size=20, step=20, classifiers=("ZERORULE", "1NN"), skip_wells=tuple(SKIPPED))

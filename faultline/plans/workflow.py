@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultline.functions import names
 from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, zero_rule
-from faultline.operators import clean, folds, metrics, report, windows
+from faultline.operators import clean, folds, metrics, ordering, report, windows
 from faultline.operators.scaling import scaler_fit, standardize
 from faultline.plans.scenarios import Job, Scenario
 from faultline.schema import TEST_WELLS, WINDOW
@@ -22,6 +23,16 @@ def clean_readings(readings: DataFrame, variables: list[str]) -> DataFrame:
     return clean.drop_incomplete(readings, variables)
 
 
+def clean_table(readings: DataFrame, variables: list[str], real_only: bool = False) -> DataFrame:
+    """Complete readings with `pos` and `n_rows`; write it once, and windows need no ordering again.
+
+    `real_only` leaves out recordings whose name is not that of a real well.
+    """
+    if real_only:
+        readings = readings.where(names.is_real(F.col("instance_id")))
+    return ordering.positions(clean_readings(readings, variables))
+
+
 def features_of(readings: DataFrame, job: Job) -> DataFrame:
     return windows.window_features(readings, job.size, job.step, list(job.variables))
 
@@ -302,8 +313,7 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
     says that a label is missing from the validation side, `empty_train` from the training side.
     Hold-out rows carry fold -1 and the number of the fold whose model scored them in `model_fold`.
     """
-    names = list(job.variables)
-    columns = windows.feature_names(names)
+    columns = windows.feature_names(list(job.variables))
 
     def every(make: Callable[..., DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), (make(features, s, job) for s in scenarios))

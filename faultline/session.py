@@ -45,6 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder name below the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -52,6 +57,6 @@ def stage(df: DataFrame) -> DataFrame:
     push filters, and lost executors cost a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

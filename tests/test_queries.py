@@ -5,8 +5,7 @@ from check_queries import compare, connection
 
 import __spark_entry__ as entry
 
-SLOW = {"gbt_predict", "svc_linear_predict", "forest_predict", "mlp_predict", "grid_search_knn"}
-CHECKED = sorted(set(entry.queries()) - SLOW)
+CHECKED = sorted(entry.queries())
 
 
 @pytest.fixture(scope="module")
