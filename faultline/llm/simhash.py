@@ -29,7 +29,7 @@ from faultline.llm.common import (
     word_spans,
 )
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BLOCK_ROWS = 32_768
 TILE_ROWS = 256
 SEED = 42
@@ -101,8 +101,10 @@ class Tiles:
         self.low = np.minimum.reduceat(q, self.cuts, axis=0)
         self.high = np.maximum.reduceat(q, self.cuts, axis=0)
 
-    def rows(self, t: int) -> np.ndarray:
-        return self.x[self.cuts[t] : self.cuts[t] + TILE_ROWS]
+        self.upper = (self.x >> np.uint64(32)).astype(np.uint32)
+
+    def rows(self, t: int) -> slice:
+        return slice(self.cuts[t], self.cuts[t] + TILE_ROWS)
 
 
 class Groups:
@@ -133,17 +135,27 @@ def star_edges(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     base = 0 if b is None else len(a)
     nodes = left.x if b is None else np.concatenate([left.x, right.x])
     groups = Groups(len(nodes))
+    buffers = np.empty(TILE_ROWS * TILE_ROWS, np.uint32), np.empty(TILE_ROWS * TILE_ROWS, np.uint8)
     for t in range(len(left.cuts)):
         gap = np.maximum(0, np.maximum(right.low - left.high[t], left.low[t] - right.high)).sum(axis=1)
         near = np.flatnonzero(gap <= radius)
         if b is None:
             near = near[near >= t]
-        mine = left.rows(t)
+        mine = left.upper[left.rows(t), None]
         for r in near:
-            i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ right.rows(r)[None, :]) <= radius)
-            i, j = i + left.cuts[t], j + right.cuts[r] + base
-            if len(i) and not (i == j).all():
-                groups.add(i, j)
+            theirs = right.upper[None, right.rows(r)]
+            shape = (len(mine), theirs.shape[1])
+            x, ones = (b[: shape[0] * shape[1]].reshape(shape) for b in buffers)
+            np.bitwise_xor(mine, theirs, out=x)
+            np.bitwise_count(x, out=ones)
+            at = np.flatnonzero(ones <= radius)
+            if len(at):
+                # The upper halves are near: the whole fingerprints decide.
+                i, j = at // shape[1] + left.cuts[t], at % shape[1] + right.cuts[r]
+                link = np.bitwise_count(left.x[i] ^ right.x[j]) <= radius
+                i, j = i[link], j[link] + base
+                if not (i == j).all():
+                    groups.add(i, j)
     linked = np.flatnonzero(groups.label != np.arange(len(nodes)))
     return nodes[linked], nodes[groups.label[linked]]
 
