@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, types as T
 from faultline.llm.common import per_process, strings, task, text_bytes, text_slices
 from faultline.llm.segments import SegmentIds
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+CACHE_SEGMENTS = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -55,7 +56,7 @@ class ByteCodec:
         self.at = np.zeros(len(by_id) + 1, np.int64)
         np.cumsum([len(t) for t in by_id], out=self.at[1:])
         self.table = np.frombuffer(b"".join(by_id), np.uint8)
-        self.segments = SegmentIds(self.tokenizer.encode_batch)
+        self.segments = SegmentIds(self.tokenizer.encode_batch, CACHE_SEGMENTS)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 borders of each row's ids. Each distinct segment is encoded once."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -80,16 +81,24 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
+def _held() -> dict:
+    """What this worker process keeps from task to task."""
+    name = "_faultline_held"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("held", {"task": None, "kept": {}, "used": set()})
+
+
 def per_process(kind: str, key, make: Callable):
-    """A value kept for the life of the worker process: the last one of its kind, made anew for another key.
+    """A value kept by the worker process: the last one of its kind, made anew for another key.
 
     Tasks bring copies of this package's functions along; a module's own globals would not outlive a task.
+    What a whole task did not ask for is dropped before the next one.
     """
-    held = sys.modules.setdefault("_faultline_held", types.ModuleType("_faultline_held")).__dict__
-    if kind not in held or held[kind][0] != key:
-        held.pop(kind, None)
-        held[kind] = (key, make())
-    return held[kind][1]
+    held = _held()
+    held["used"].add(kind)
+    if kind not in held["kept"] or held["kept"][kind][0] != key:
+        held["kept"].pop(kind, None)
+        held["kept"][kind] = (key, make())
+    return held["kept"][kind][1]
 
 
 def tidy() -> None:
@@ -101,15 +110,19 @@ def tidy() -> None:
     """
     from pyspark import TaskContext
 
-    context = TaskContext.get()
+    context, held = TaskContext.get(), _held()
     now = context.taskAttemptId() if context else -1
-    held = sys.modules.setdefault("_faultline_held", types.ModuleType("_faultline_held")).__dict__
-    if held.get("task") != now:
-        gc.collect()
-        if "task" not in held:
-            gc.freeze()
-        pa.default_memory_pool().release_unused()
-        held["task"] = now
+    if held["task"] == now:
+        return
+    held["kept"] = {k: v for k, v in held["kept"].items() if k in held["used"]}
+    held["used"] = set()
+    gc.collect()
+    if held["task"] is None:
+        gc.freeze()
+    held["task"] = now
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def task(run: Callable) -> Callable:

@@ -32,7 +32,7 @@ from faultline.llm.common import (
     word_spans,
 )
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
 #: Every so many text positions the suffix position is kept.
 SAMPLE = 8

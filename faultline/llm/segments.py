@@ -15,8 +15,8 @@ CACHE_SEGMENTS = 1_500_000
 class SegmentIds:
     """Ids of segments by their hash, length and first bytes, as `encode_batch` gave them."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list]):
-        self.encode_batch = encode_batch
+    def __init__(self, encode_batch: Callable[[list[str]], list], most: int = CACHE_SEGMENTS):
+        self.encode_batch, self.most = encode_batch, most
         self.hash = np.zeros(0, np.uint64)
         self.head = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
@@ -44,7 +44,7 @@ class SegmentIds:
             fresh = np.array([i for x in found for i in x], np.uint32)
             size[new], start[new] = sizes, np.cumsum(sizes) - sizes + len(pool)
             pool = np.concatenate([pool, fresh if len(fresh) and fresh.max() > 0xFFFF else fresh.astype(pool.dtype)])
-            if len(self.hash) + len(new) <= CACHE_SEGMENTS:
+            if len(self.hash) + len(new) <= self.most:
                 into = np.searchsorted(self.hash, keys[new])
                 # Of two segments with one hash the first stays; the other is told apart by its head.
                 self.hash, self.head, self.start, self.size = (
