@@ -15,14 +15,20 @@ from pyspark.sql import types as T
 
 def fold_moments(folded: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     """(by, own, label, feature): row count, mean and sum of squared deviations."""
-    long_ = folded.withColumnRenamed("fold", "own").unpivot(
-        [*by, "own", "label"], features, "feature", "x"
-    )
-    return long_.groupBy(*by, "own", "label", "feature").agg(
-        F.count("x").alias("n"),
-        F.avg("x").alias("mean"),
-        (F.var_pop("x") * F.count("x")).alias("m2"),
+    # One wide aggregate per group; only its few rows are turned into one row per feature.
+    wide = folded.groupBy(*by, F.col("fold").alias("own"), "label").agg(
+        *(
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count(c).alias("n"),
+                F.avg(c).alias("mean"),
+                (F.var_pop(c) * F.count(c)).alias("m2"),
+            ).alias(f"moments_{at}")
+            for at, c in enumerate(features)
+        )
     )
+    each = F.explode(F.array(*(f"moments_{at}" for at in range(len(features))))).alias("each")
+    return wide.select(*by, "own", "label", each).select(*by, "own", "label", "each.*")
 
 
 def train_moments(
@@ -48,7 +54,7 @@ def train_moments(
 def fold_products(folded: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     """(by, own, label, i, j): row count and summed products of features i <= j, centred.
 
-    Products are formed per Arrow batch inside tasks and summed over the shuffle. Features are
+    Products are summed inside each task, which hands on one matrix per group. Features are
     centred on their overall means first, so sums keep their digits. Also carries `shift_i`,
     `shift_j`; index -1 stands for the constant 1, so (-1, j) holds plain sums and (-1, -1) counts.
     """
@@ -60,17 +66,21 @@ def fold_products(folded: DataFrame, features: list[str], by: list[str]) -> Data
     upper_i, upper_j = np.triu_indices(size)
 
     def multiply(batches):
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, rows in batch.groupby(keys, dropna=False, sort=False):
                 x = np.empty((len(rows), size))
                 x[:, 0] = 1.0
                 x[:, 1:] = rows[features].to_numpy(dtype=float) - shift
+                # A missing fold number makes the column's whole numbers floats.
+                whole = tuple(
+                    None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in key
+                )
                 product = (x.T @ x)[upper_i, upper_j]
-                out = pd.DataFrame({"i": upper_i - 1, "j": upper_j - 1, "s": product})
-                for name, value in zip(keys, key):
-                    whole = isinstance(value, float) and not pd.isna(value)
-                    out[name] = None if pd.isna(value) else int(value) if whole else value
-                yield out[[*keys, "i", "j", "s"]]
+                sums[whole] = sums[whole] + product if whole in sums else product
+        for key, product in sums.items():
+            out = pd.DataFrame({"i": upper_i - 1, "j": upper_j - 1, "s": product})
+            yield out.assign(**dict(zip(keys, key)))[[*keys, "i", "j", "s"]]
 
     schema = T.StructType(
         [narrow.schema[c] for c in keys]

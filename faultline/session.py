@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", name: str = "faultline", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
+    folder = tempfile.mkdtemp(prefix="faultline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     settings = {
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="faultline-"),
+        "spark.checkpoint.dir": folder,
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",
