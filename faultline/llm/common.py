@@ -84,17 +84,19 @@ def _uri(path: str) -> str:
 def _held() -> dict:
     """What this worker process keeps from task to task."""
     name = "_faultline_held"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("held", {"task": None, "kept": {}, "used": set()})
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("held", {"task": None, "kept": {}, "used": set(), "lasting": set()})
 
 
-def per_process(kind: str, key, make: Callable):
+def per_process(kind: str, key, make: Callable, lasting: bool = False):
     """A value kept by the worker process: the last one of its kind, made anew for another key.
 
     Tasks bring copies of this package's functions along; a module's own globals would not outlive a task.
-    What a whole task did not ask for is dropped before the next one.
+    What a whole task did not ask for is dropped before the next one, unless it is `lasting`.
     """
     held = _held()
     held["used"].add(kind)
+    if lasting:
+        held["lasting"].add(kind)
     if kind not in held["kept"] or held["kept"][kind][0] != key:
         held["kept"].pop(kind, None)
         held["kept"][kind] = (key, make())
@@ -114,7 +116,7 @@ def tidy() -> None:
     now = context.taskAttemptId() if context else -1
     if held["task"] == now:
         return
-    held["kept"] = {k: v for k, v in held["kept"].items() if k in held["used"]}
+    held["kept"] = {k: v for k, v in held["kept"].items() if k in held["used"] | held["lasting"]}
     held["used"] = set()
     gc.collect()
     if held["task"] is None:

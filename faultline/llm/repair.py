@@ -165,7 +165,7 @@ class Shard:
 def _words(tokenizer_file: str) -> SegmentIds:
     from tokenizers import Tokenizer
 
-    return per_process("word ids", tokenizer_file, lambda: SegmentIds(Tokenizer.from_file(tokenizer_file).encode_batch))
+    return per_process("word ids", tokenizer_file, lambda: SegmentIds(Tokenizer.from_file(tokenizer_file).encode_batch), lasting=True)
 
 
 _B = np.arange(256)
