@@ -32,7 +32,8 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}"
+AMERICAN = r"(?:\+[0-9]{1,3}[ .\-]?|1[ .\-]|1(?=\())?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+PHONE = AMERICAN + r"|\+[0-9](?:(?: ?\(0\) ?|[ .\-]?)[0-9]){7,14}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
 _KINDS = {
     "mail": MAIL, "key": KEY, "secret": SECRET, "iban": IBAN, "address": ADDRESS,
@@ -205,17 +206,26 @@ def _social(v: Column, key: Column) -> Column:
 def _phone(v: Column, key: Column) -> Column:
     digits = _only_digits(v)
     plus = v.startswith("+")
-    # North America: country code 1 or none, area and exchange 200 to 999.
+    # North America: country code 1 or none. Areas and exchanges are 200 to 999; numbers without these are
+    # as many as 60,000 x 60,000 and are permuted among themselves, so that the others stay valid.
     local = F.substring(digits, -10, 10)
     head = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    american = (F.length(digits) == F.when(plus, 11).otherwise(10)) & (~plus | (head == "1")) & local.rlike("^[2-9][0-9]{2}[2-9]")
+    american = ((F.length(digits) == 10) & ~plus) | ((F.length(digits) == 11) & (head == "1"))
     area, exchange, line = (F.substring(local, s, n).cast("bigint") for s, n in ((1, 3), (4, 3), (7, 4)))
     new = _number_feistel(key, "phone", ((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000)
     upper = F.floor(new / 10_000).cast("bigint")
-    shown = F.concat(F.when(plus, head).otherwise(""), _padded(F.floor(upper / 800).cast("bigint") + 200, 3), _padded(F.pmod(upper, F.lit(800)) + 200, 3), _padded(F.pmod(new, F.lit(10_000)), 4))
+    valid = F.concat(_padded(F.floor(upper / 800).cast("bigint") + 200, 3), _padded(F.pmod(upper, F.lit(800)) + 200, 3), _padded(F.pmod(new, F.lit(10_000)), 4))
+    # First all numbers of areas below 200, then those of other areas with exchanges below 200.
+    low = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    new = _number_feistel(key, "phone low", low * 10_000 + line, 60_000, 60_000)
+    upper = F.floor(new / 10_000).cast("bigint")
+    rest = upper - 200_000
+    upper = F.when(rest < 0, upper).otherwise((F.floor(rest / 200).cast("bigint") + 200) * 1000 + F.pmod(rest, F.lit(200)))
+    other = F.concat(_padded(upper, 6), _padded(F.pmod(new, F.lit(10_000)), 4))
+    shown = F.concat(head, F.when(local.rlike("^[2-9][0-9]{2}[2-9]"), valid).otherwise(other))
     # Elsewhere: the first two digits stay, the others are permuted.
     abroad = F.concat(F.substring(digits, 1, 2), _string_feistel(key, "phone", F.substring(digits, F.lit(3), F.length(digits))))
-    foreign = plus & (head != "1") & F.length(digits).between(8, 15)
+    foreign = plus & F.length(digits).between(8, 15)
     return F.when(american, _filled(v, shown)).when(foreign, _filled(v, abroad))
 
 

@@ -115,3 +115,44 @@ def test_clashing_names_empty_table_and_long_text(spark):
 def test_native_plan(documents):
     plan = op.pseudonymize(documents, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+PHONES = [
+    "+1 (058) 555-3468", "+1 (132) 555-1352", "+1 (743) 155-3824", "1-743-555-3824", "1 (743) 555-3824", "743 555 3824", "043-155-3824",
+    "743.055.3824", "(743)-555-3824", "+33 1 42 68 53 00", "+44 (0)20 7946 0958",
+]
+
+
+def test_every_phone_number_is_replaced(spark):
+    out = hide(spark, [f"call {p}, now" for p in PHONES])
+    for p, new in zip(PHONES, out):
+        assert re.fullmatch("call " + re.sub(r"\\?\d", r"\\d", re.escape(p)) + ", now", new) and p not in new, (p, new)
+    digits = [re.sub(r"\D", "", x)[-10:] for x in out]
+    assert digits[3] == digits[4] == digits[5] and re.match("[2-9]..[2-9]", digits[3])
+    # Numbers outside the numbering plan go to such numbers, one to one.
+    df = spark.range(6000).select(F.expr("format_string('%03d-%03d-%04d', id % 400, id % 200, id)").alias("text")).repartition(8)
+    new = [r.text for r in op.pseudonymize(df, "k").collect()]
+    assert len(set(new)) == 6000 and all(re.fullmatch(r"([01]\d\d-\d{3}|\d{3}-[01]\d\d)-\d{4}", x) for x in new)
+
+
+SEEN = {
+    "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])", "address": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])",
+    "token": r'token = "([0-9a-f]{40})"', "mail": r"[\w.]+@[\w.]+\.\w+",
+}
+
+
+def test_nothing_of_the_documents_survives(spark, documents):
+    # The smallest table has no token.
+    token = "SELECT -1L AS doc_id, 'token = \"11acdfb36bb72224148e6160f674b4be45601bff\"' AS text"
+    old = documents.where("text IS NOT NULL").select("doc_id", "text").union(spark.sql(token))
+    new = {r.doc_id: r.text for r in op.pseudonymize(old, "k").collect()}
+    found = dict.fromkeys(SEEN, 0)
+    for r in old.collect():
+        for kind, pattern in SEEN.items():
+            for value in re.findall(pattern, r.text):
+                digits = re.sub(r"\D", "", value)
+                if kind == "card" and not luhn(digits) or kind == "address" and max(map(int, value.split("."))) > 255:
+                    continue
+                found[kind] += 1
+                assert value not in new[r.doc_id], (kind, value)
+    assert all(found.values()), found
