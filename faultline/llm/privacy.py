@@ -243,6 +243,24 @@ _RULES = {
 }
 
 
+def valued(match: Column) -> Column:
+    """The match, or where it is a card or account number with further groups behind it, its longest valid
+    prefix that ends at a separator."""
+    cards = F.array(*(F.regexp_extract(match, rf"^[0-9](?:[ \-]?[0-9]){{{n - 1}}}(?=[ \-])", 0) for n in range(18, 12, -1)))
+    groups = F.split(match, " ")
+    ibans = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+
+    def card_holds(v: Column) -> Column:
+        return (v != "") & (F.pmod(_luhn_sum(_only_digits(v)), F.lit(10)) == 0)
+
+    def iban_holds(v: Column) -> Column:
+        plain = F.regexp_replace(v, " ", "")
+        return v.rlike(f"^(?:{IBAN})$") & (F.length(plain) >= 15) & (_mod97(plain) == 1)
+
+    shorter = F.when(match.rlike(f"^(?:{CARD})$") & ~card_holds(match), F.get(F.filter(cards, card_holds), F.lit(0)))
+    return F.coalesce(shorter, F.when(match.rlike(f"^(?:{IBAN})$"), F.get(F.filter(ibans, iban_holds), F.lit(0))), match)
+
+
 def pseudonym(match: Column, key: Column) -> Column:
     """The pseudonym of one match: of the first kind that it is valid of, else the match itself."""
     return F.coalesce(*(F.when(match.rlike(f"^(?:{_KINDS[name]})$"), rule(match, key)) for name, rule in _RULES.items()), match)
@@ -262,7 +280,9 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", counted: str | N
     found, new = unused(docs, "_matches"), unused(docs, "_pseudonyms")
     held = docs.withColumn(found, F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)))
     some = F.size(found) > 0
-    held = held.withColumn(new, F.when(some, F.transform(found, lambda m: pseudonym(m, F.lit(key)))))
+    # What stands behind a valid prefix stays.
+    made = F.zip_with(found, F.transform(found, valued), lambda m, v: F.concat(pseudonym(v, F.lit(key)), F.substring(m, F.length(v) + 1, F.length(m))))
+    held = held.withColumn(new, F.when(some, made))
     # What lies between the matches, and the pseudonyms, in turns.
     pieces = F.zip_with(F.split(value, PATTERN, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     out = held.withColumn(text, F.when(some, F.array_join(pieces, "")).otherwise(value))

@@ -156,3 +156,19 @@ def test_nothing_of_the_documents_survives(spark, documents):
                 found[kind] += 1
                 assert value not in new[r.doc_id], (kind, value)
     assert all(found.values()), found
+
+
+def test_numbers_beside_other_groups_are_replaced(spark):
+    card, amex, spain, phone = "4785 3805 9239 1139", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332", "743 555 3824"
+    plain, german = "4785380592391139", "DE89 3704 0044 0532 0130 00"
+    new = dict(zip((card, amex, spain, phone, plain, german), hide(spark, [card, amex, spain, phone, plain, german])))
+    forms = [
+        "{card} 12/27", "{plain} 123", "{plain} 12 3", "{spain} BIC", "{spain} AND", "{spain} AND BANK OF", "{german} AND", "{amex} 12",
+        "{spain} A@b", "{card} 31/12", "{card} " * 40 + "x", "{card}, {phone}", "{card} {card} {card}",
+    ]
+    names = {"card": card, "amex": amex, "spain": spain, "phone": phone, "plain": plain, "german": german}
+    out = hide(spark, [f.format(**names) for f in forms])
+    for f, got in zip(forms, out):
+        assert got == f.format(**{k: new[v] for k, v in names.items()}), f
+    left = ["4785 3805 9239 1138 12", "DE88 3704 0044 0532 0130 00 BIC", "1 " * 3000]
+    assert hide(spark, left) == left
