@@ -24,10 +24,10 @@ DAYS = (250, 292)
 
 # Fixed formats, as Java patterns; each alternative is judged again by its rule below. Quantifiers that end
 # before a character outside their class do not backtrack.
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,8}[A-Za-z]{2,24}"
+MAIL = r"[.%+\-]*+[A-Za-z0-9_][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,8}[A-Za-z]{2,24}"
 KEY = r"A[KS]IA[A-Z0-9]{16}"
 SECRET_NAME = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?[\"']?"
-SECRET = SECRET_NAME + r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,128}+"
+SECRET = SECRET_NAME + r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}+"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"
@@ -39,9 +39,11 @@ _KINDS = {
     "mail": MAIL, "key": KEY, "secret": SECRET, "iban": IBAN, "address": ADDRESS,
     "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD,
 }
-#: A match stands alone: no letter, digit or further part of a number before or after it.
+#: A match stands alone: no letter, digit or further part of a number before or after it. A mail address ends where
+#: no character of one follows: letters of a script without blanks may stand beside it.
 PATTERN = (
-    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:" + "|".join(f"(?:{p})" for p in _KINDS.values()) + r")(?![\p{L}\p{N}_])(?![.\-][0-9])"
+    rf"(?<![A-Za-z0-9._%+\-]){MAIL}(?![A-Za-z0-9_])(?![.\-][0-9])|"
+    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:" + "|".join(f"(?:{p})" for k, p in _KINDS.items() if k != "mail") + r")(?![\p{L}\p{N}_])(?![.\-][0-9])"
 )
 
 
@@ -140,8 +142,10 @@ def _padded(number: Column, width: int) -> Column:
 
 def _mail(v: Column, key: Column) -> Column:
     at = F.instr(v, "@")
-    name = F.substring(v, F.lit(1), at - 1)
-    return F.concat(_string_feistel(key, "mail", name), F.substring(v, at, F.length(v)))
+    # Marks before the name are not part of it.
+    lead = F.regexp_extract(v, "^[.%+\\-]*", 0)
+    name = F.substring(v, F.length(lead) + 1, at - 1 - F.length(lead))
+    return F.concat(lead, _string_feistel(key, "mail", name), F.substring(v, at, F.length(v)))
 
 
 def _cloud_key(v: Column, key: Column) -> Column:

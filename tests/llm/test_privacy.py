@@ -172,3 +172,13 @@ def test_numbers_beside_other_groups_are_replaced(spark):
         assert got == f.format(**{k: new[v] for k, v in names.items()}), f
     left = ["4785 3805 9239 1138 12", "DE88 3704 0044 0532 0130 00 BIC", "1 " * 3000]
     assert hide(spark, left) == left
+
+
+def test_long_secrets_and_mail_in_any_script(spark):
+    secret = "token = " + "k3Y" * 100
+    texts = [secret, "_john.doe@x.org", "日本語john.doe@x.orgです", "-john.doe@x.org", f"{'n' * 80}.doe@x.org"]
+    out = hide(spark, [*texts, "john.doe@x.org"])
+    assert re.fullmatch(r"token = (\d[a-z][A-Z]|[a-z]\d[A-Z]){100}", out[0]) and out[0] != texts[0]
+    assert re.fullmatch(r"_[a-z]{4}\.[a-z]{3}@x\.org", out[1]) and "john" not in out[1]
+    assert out[2] == f"日本語{out[5]}です" and out[3] == f"-{out[5]}" and "john" not in out[5]
+    assert "nnnn" not in out[4]
