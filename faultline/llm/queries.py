@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, language, neighbours, privacy, repair, simhash, substring, toxicity, warc
+from faultline.llm import bpe, decontaminate, language, neighbours, privacy, repair, sharding, simhash, substring, toxicity, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,22 @@ SELECT p.page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN holder IS NULL OR holder IS NOT DISTINCT FROM p.page_id THEN NULL ELSE holder END AS refers_to
 FROM p LEFT JOIN h ON p.n >= 1000 AND p.html = h.html
 """
+
+
+SHARDS = 40
+
+
+@query
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    shards = sharding.write_shards(docs, folder_for(spark, "shards"), [1.0] * SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return sharding.with_slots(shards).select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(16)).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        sharding.rendezvous(F.col("doc_id"), [1.0] * (SHARDS + 1)).alias("grown_shard"),
+    )
