@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, language, neighbours, privacy, repair, sharding, simhash, substring, toxicity, warc
+from faultline.llm import bpe, decontaminate, language, neighbours, phrases, privacy, repair, sharding, simhash, substring, toxicity, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,46 @@ FROM p LEFT JOIN h ON p.n >= 1000 AND p.html = h.html
 """
 
 
+@query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"), least=100, top=2000)
+
+
+SQL["op11_phrases"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), totals AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS gram
+  FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+), counts AS (
+  SELECT lang, k, gram, array_to_string(gram, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, k, gram HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, k, gram, phrase, f AS a, unnest(range(1, k)) AS cut FROM counts WHERE k >= 2
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, t.n,
+    (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.gram[1:c.cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.gram[c.cut + 1:c.k], ' ')
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+  SELECT * FROM least s WHERE NOT EXISTS (
+    SELECT 1 FROM counts longer WHERE longer.lang = s.lang AND longer.f >= s.a AND longer.phrase <> s.phrase
+      AND contains(' ' || longer.phrase || ' ', ' ' || s.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 SHARDS = 40
 
 
