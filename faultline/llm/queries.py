@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import bpe, decontaminate, language, neighbours, phrases, privacy, repair, sharding, simhash, substring, toxicity, warc
+from faultline.llm import bpe, conversations, decontaminate, language, neighbours, phrases, privacy, repair, sharding, simhash, substring, toxicity, warc
 from faultline.llm.common import folder_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +187,12 @@ FROM ranked WHERE rank <= 2000
 """
 
 
+@query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversations.repaired(rows, conversations.damage(rows))
+
+
 SHARDS = 40
 
 
