@@ -8,6 +8,7 @@ a merge, in rank order. Bytes are mapped to printable characters for the library
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from faultline.llm.common import per_process, strings, task, text_bytes, text_slices
-from faultline.llm.segments import SegmentIds
+from faultline.llm.segments import SegmentIds, one_by_one
 
 SLICE_BYTES = 1 << 19
 CACHE_SEGMENTS = 500_000
@@ -56,7 +57,11 @@ class ByteCodec:
         self.at = np.zeros(len(by_id) + 1, np.int64)
         np.cumsum([len(t) for t in by_id], out=self.at[1:])
         self.table = np.frombuffer(b"".join(by_id), np.uint8)
-        self.segments = SegmentIds(self.tokenizer.encode_batch, CACHE_SEGMENTS)
+        self.forget(None)
+
+    def forget(self, run: str | None) -> None:
+        """Start a run with no encoded segments."""
+        self.run, self.segments = run, SegmentIds(one_by_one(self.tokenizer), CACHE_SEGMENTS)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 borders of each row's ids. Each distinct segment is encoded once."""
@@ -91,8 +96,12 @@ class ByteCodec:
         return heads[starts] - inside[starts] - base, heads[ends] - base
 
 
-def codec(rank_file: str, pattern: str) -> ByteCodec:
-    return per_process("byte codec", (rank_file, pattern), lambda: ByteCodec(rank_file, pattern))
+def codec(rank_file: str, pattern: str, run: str | None = None) -> ByteCodec:
+    """The worker's tables; segments are kept for one run of the operator only."""
+    held = per_process("byte codec", (rank_file, pattern), lambda: ByteCodec(rank_file, pattern))
+    if held.run != run:
+        held.forget(run)
+    return held
 
 
 def segment_starts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -130,8 +139,10 @@ def encode_decode(
     kinds = [T.BinaryType(), T.LongType(), T.BinaryType(), *[T.ArrayType(T.IntegerType())] * 2]
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))])
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(rank_file, pattern)
+        bpe = codec(rank_file, pattern, name)
         for whole in batches:
             for batch in text_slices(whole, text, SLICE_BYTES):
                 ids, borders = bpe.encode(batch.column(batch.schema.get_field_index(text)))

@@ -12,12 +12,17 @@ each document and the end (int64), rules (two uint32 each), ids per rule (int64)
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 from faultline.llm.common import (
     LOWER,
@@ -32,25 +37,24 @@ from faultline.llm.common import (
     text_slices,
     word_spans,
 )
-from faultline.llm.segments import SegmentIds
+from faultline.llm.segments import Encode, SegmentIds, many_at_once
 
 SHARD_BYTES = 4 << 20
 #: Text that is encoded at once.
 SLICE_BYTES = 1 << 20
 MAGIC = b"RePair01"
 MARK_EVERY = 4096
-#: A pair is frequent if it makes up one in so many of a shard's symbols (and occurs 16 times).
-FREQUENT = 10_000
+#: A pair is frequent if it occurs so often in a shard, whatever the shard's size.
+FREQUENT = 16
 
 
 # ---- the grammar ---------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
-    """(first new symbol, rules as (left, right) rows, symbols)."""
+def compress(ids: np.ndarray, least: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first new symbol, rules as (left, right) rows, symbols); in the end no pair occurs `least` times."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.uint32)
-    least = max(16, len(ids) // frequent)
     rules: list[np.ndarray] = []
     free = base
     while len(seq) > 1:
@@ -162,10 +166,54 @@ class Shard:
 # ---- the operator --------------------------------------------------------------------------------
 
 
-def _words(tokenizer_file: str) -> SegmentIds:
+def _words(tokenizer_file: str, run: str | None) -> SegmentIds:
+    """Encoded words of one run of the operator: another run encodes its own."""
     from tokenizers import Tokenizer
 
-    return per_process("word ids", tokenizer_file, lambda: SegmentIds(Tokenizer.from_file(tokenizer_file).encode_batch), lasting=True)
+    return per_process("word ids", (tokenizer_file, run), lambda: SegmentIds(word_ids(Tokenizer.from_file(tokenizer_file))))
+
+
+#: Lower-case letters that no normal form changes and no split pattern cuts.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+
+
+def word_ids(tokenizer: Tokenizer) -> Encode:
+    """Ids of words: those of plain letters skip the tokenizer's normalizer and split pattern, which leave
+    them as they are, and end where an id with the model's word end stands."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    suffix, general = tokenizer.model.end_of_word_suffix, many_at_once(tokenizer)
+    if not suffix:
+        return general
+    short = Tokenizer(tokenizer.model)
+    short.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((_PLAIN.fullmatch(t) is not None for t in texts), bool, len(texts))
+        if not plain.any():
+            return general(texts)
+        simple = [t for t, is_plain in zip(texts, plain) if is_plain]
+        found = short.encode_batch_fast([" ".join(simple[i : i + 64]) for i in range(0, len(simple), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        last = np.flatnonzero(ends_word[ids])
+        if len(last) != len(simple):
+            raise ValueError("the tokenizer's words do not end in its word end")
+        sizes = np.zeros(len(texts), np.int32)
+        sizes[plain] = np.diff(last, prepend=-1)
+        if plain.all():
+            return ids, sizes
+        other_ids, sizes[~plain] = general([t for t, is_plain in zip(texts, plain) if not is_plain])
+        of_plain = np.repeat(plain, sizes)
+        out = np.empty(len(of_plain), np.uint32)
+        out[of_plain], out[~of_plain] = ids, other_ids
+        return out, sizes
+
+    return encode
 
 
 _B = np.arange(256)
@@ -206,10 +254,11 @@ def _lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
-def encode_words(text: pa.Array, tokenizer_file: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(text: pa.Array, tokenizer_file: str, end_id: int, run: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, each with `end_id` after it, and the borders. For tokenizers that lower-case, drop
-    white space and join neither words over it nor letters with marks: each distinct piece is encoded once."""
-    words, parts, sizes = _words(tokenizer_file), [], []
+    white space and join neither words over it nor letters with marks: each distinct piece is encoded once in a
+    `run`, in a worker."""
+    words, parts, sizes = _words(tokenizer_file, run), [], []
     for batch in text_slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SLICE_BYTES):
         data, borders = text_bytes(batch.column(0))
         starts, ends, row = word_pieces(data, borders)
@@ -237,12 +286,14 @@ def write_shards(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
         for batch in _regroup(batches):
-            ids, borders = encode_words(batch.column(1), tokenizer_file, end_id)
+            ids, borders = encode_words(batch.column(1), tokenizer_file, end_id, name)
             path = f"{folder}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.ids"
             write_shard(path, batch.column(0), ids, borders)
             yield pa.RecordBatch.from_pydict(
