@@ -12,6 +12,7 @@ GRIDS: dict[str, dict[str, list]] = {
     "ADA": {"n_estimators": [5, 25, 50, 75, 100, 250, 500, 1000], "algorithm": ["SAMME"]},
     "DT": {
         "criterion": ["gini", "entropy"],
+        "splitter": ["best", "random"],
         "max_depth": [None, 5, 10, 50],
         "min_samples_split": [2, 5, 10],
     },

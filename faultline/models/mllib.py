@@ -1,8 +1,9 @@
-"""Trees, forests, boosting, perceptron and linear SVM from Spark's ML library.
+"""Perceptron, linear SVM, and boosted trees of large folds, from Spark's ML library.
 
 These fit one model per (round, fold); the fits of several cells run side
-by side over one staged table of standardised rows. Depths above 30 become 30, the most Spark allows. `min_samples_split` is held
-as instances per node, the nearest Spark setting. Hidden units are sigmoid.
+by side over one staged table of standardised rows. Hidden units are sigmoid. Trees come from here only where a
+fold is too large for `trees.boost`; depths above 30 become 30, the most Spark allows, and `min_samples_split`
+is held as instances per node.
 """
 
 from __future__ import annotations
@@ -14,13 +15,7 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,22 +32,6 @@ def _per_node(min_samples_split: int) -> int:
 
 def estimator(name: str, config: dict, features: int, rows: int, seed: int) -> Estimator:
     shared = {"featuresCol": "x", "labelCol": "label"}
-    if name == "DT":
-        return DecisionTreeClassifier(
-            impurity=config["criterion"],
-            maxDepth=_depth(config["max_depth"]),
-            minInstancesPerNode=_per_node(config["min_samples_split"]),
-            seed=seed,
-            **shared,
-        )
-    if name == "RF":
-        return RandomForestClassifier(
-            featureSubsetStrategy="sqrt",
-            numTrees=config["n_estimators"],
-            maxDepth=_depth(config["max_depth"]),
-            seed=seed,
-            **shared,
-        )
     if name == "GBOOST":
         return GBTClassifier(
             maxIter=config["n_estimators"],

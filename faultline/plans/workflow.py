@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import names
-from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, zero_rule
+from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, trees, zero_rule
 from faultline.operators import clean, folds, metrics, ordering, report, windows
 from faultline.operators.scaling import scaler_fit, standardize
 from faultline.plans.scenarios import Job, Scenario
@@ -109,6 +109,7 @@ class Folds:
         self.rows = stage(clean.mask_nonfinite(folded, features))
         self.holdout = None if holdout is None else clean.mask_nonfinite(holdout, features)
         self._sides: DataFrame | None = None
+        self._binned: DataFrame | None = None
 
     @property
     def valid(self) -> DataFrame:
@@ -138,6 +139,19 @@ class Folds:
             self._sides = stage(standardize(both, scaler, self.features, FOLD))
         return self._sides
 
+    @property
+    def binned(self) -> DataFrame:
+        """Rows of every fold and side for the tree models: binned once, copied per fold only as they are read."""
+        columns = [*FOLD, *WINDOW, "label", *self.features]
+        if self._binned is None:
+            rows = self.rows.select(*columns, F.lit("own").alias("split"))
+            if self.holdout is not None:
+                rows = rows.unionByName(self.holdout.select(*columns, F.lit("test").alias("split")))
+            self._binned = trees.binned(rows, self.features, ["round", *WINDOW])
+        own = folds.expand_folds(self._binned.where(F.col("split") == "own").drop("split"), self.k)
+        own = own.where(F.col("fold") < self.limit())
+        return own if self.holdout is None else own.unionByName(self._binned.where(F.col("split") == "test"))
+
     def cells(self) -> list[tuple]:
         drawn = self.rows.select(*BY).distinct().collect()
         return sorted((c, r, f) for c, r in drawn for f in range(self.limits.get(c, self.k)))
@@ -194,6 +208,15 @@ def _library(name: str) -> Predict:
     )
 
 
+def _trees(name: str) -> Predict:
+    def run(data: Folds, config: dict) -> DataFrame:
+        if name == "GBOOST" and not trees.boosts(data.binned, FOLD):
+            return _library(name)(data, config)
+        return trees.fit_predict(data.binned, WINDOW, trees.settings(name, config, len(data.features)), FOLD)
+
+    return run
+
+
 def _boosted(data: Folds, config: dict) -> DataFrame:
     return adaboost.fit_predict(data.sides, data.features, WINDOW, config["n_estimators"], FOLD)
 
@@ -208,14 +231,17 @@ CLASSIFIERS: dict[str, Predict] = {
     "GNB": _bayes,
     "LDA": _linear,
     "QDA": _quadratic,
-    "DT": _library("DT"),
-    "RF": _library("RF"),
-    "GBOOST": _library("GBOOST"),
+    "DT": _trees("DT"),
+    "RF": _trees("RF"),
+    "GBOOST": _trees("GBOOST"),
     "MLP": _library("MLP"),
     "SVM": _library("SVM"),
     "ADA": _boosted,
 }
 
+#: Grown by `trees`, on binned rows.
+TREES = ("DT", "RF", "GBOOST")
+
 PREDICTION = [*FOLD, "split", *WINDOW, "y", "p"]
 
 
@@ -224,11 +250,13 @@ def predictions(data: Folds, classifier: str, config: dict | None = None) -> Dat
     return CLASSIFIERS[classifier](data, settings)
 
 
+def _inner_folds(data: Folds, inner: int) -> DataFrame:
+    return folds.inner_folds(data.rows.select(*FOLD, *WINDOW, "label", *data.features), data.k, inner)
+
+
 def inner_tables(data: Folds, inner: int = 4) -> DataFrame:
     """The outer training sides, scaled, cut into inner folds: (case, round, fold, inner, ...)."""
-    by_fold = folds.inner_folds(
-        data.rows.select(*FOLD, *WINDOW, "label", *data.features), data.k, inner
-    )
+    by_fold = _inner_folds(data, inner)
     scaler = scaler_fit(data.rows, data.features, data.k, BY)
     return standardize(by_fold, scaler, data.features)
 
@@ -253,13 +281,20 @@ def search_library(
     data: Folds, classifier: str, configs: list[dict], inner: int = 4
 ) -> DataFrame:
     """The same for a library model or boosting: configurations and inner folds in a loop."""
-    cut = stage(folds.expand_folds(inner_tables(data, inner), inner, "inner"))
     by = [*FOLD, "inner"]
+    if classifier in TREES:
+        rows = trees.binned(_inner_folds(data, inner), data.features, ["round", *WINDOW])
+        cut = folds.expand_folds(rows, inner, "inner")
+    else:
+        cut = stage(folds.expand_folds(inner_tables(data, inner), inner, "inner"))
     cells = [(*c, i) for c in data.cells() for i in range(inner)]
     parts = []
     for at, config in enumerate(configs):
         settings = grid.DEFAULTS.get(classifier, {}) | config
-        if classifier == "ADA":
+        if classifier in TREES:
+            choice = trees.settings(classifier, settings, len(data.features))
+            found = trees.fit_predict(cut, WINDOW, choice, by)
+        elif classifier == "ADA":
             found = adaboost.fit_predict(cut, data.features, WINDOW, settings["n_estimators"], by)
         else:
             found = mllib.fit_predict(classifier, settings, cut, data.features, WINDOW, cells, by)
@@ -285,9 +320,13 @@ def searched_predictions(data: Folds, classifier: str) -> DataFrame:
     parts = []
     for row in best:
         cell = tuple(row[c] for c in FOLD)
-        own = data.sides.where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(FOLD, cell))))
+        here = reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(FOLD, cell)))
         settings = grid.DEFAULTS.get(classifier, {}) | configs[row["config"]]
-        if classifier == "ADA":
+        own = (data.binned if classifier in TREES else data.sides).where(here)
+        if classifier in TREES:
+            choice = trees.settings(classifier, settings, len(data.features))
+            found = trees.fit_predict(own, WINDOW, choice, FOLD)
+        elif classifier == "ADA":
             found = adaboost.fit_predict(own, data.features, WINDOW, settings["n_estimators"], FOLD)
         else:
             found = mllib.fit_predict(classifier, settings, own, data.features, WINDOW, [cell], FOLD)
