@@ -5,11 +5,12 @@ up to five words begins exactly one window wherever it occurs, so counts of long
 Spark's ROLLUP over the window's columns sums them to those of ever shorter prefixes. No text is taken apart into
 pairs, triples and so on, and the total of a language falls out of the same ROLLUP.
 
-Only phrases of `least` occurrences matter, and these consist of words and pairs that have as many. A first pass
-counts hashes of words and pairs; a bit filter of fixed size holds the frequent ones. A window then ends where the
-next pair is not in the filter, and is left out, but for its language's total, where its first word is not. The
-filter lets a rare one through at worst, which costs a row and changes no result: what is counted is judged exactly.
-Where frequent pairs outgrow the filter it spares less, down to every window being counted whole.
+Only phrases of `least` occurrences matter, and these consist of words, pairs and triples that have as many. Two
+passes count hashes, of words and pairs, then of triples of frequent pairs; a bit filter of fixed size holds the
+frequent ones. A window then ends before the first word that makes no frequent pair or triple with those before,
+and is left out, but for its language's total, where its first word is rare. The filter lets a rare one through
+at worst, which costs a row and changes no result: what is counted is judged exactly. Where frequent ones
+outgrow the filter it spares less, down to every window being counted whole.
 
 Text is lower-cased from A to Z alone, split at `[.,;:!?\\x0A-\\x0D]` into pieces and those at spaces and tabs into
 words. Edge cases: null and empty texts have no words, a null language is `und`; repeated rows count as often as they
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm.common import LOWER, Stages, mix, per_process, span_hashes, strings, task, text_bytes, text_slices, word_spans
 
@@ -33,7 +34,7 @@ LONGEST = 5
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 #: No word is empty, so an empty text pads a window.
 PAD = ""
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1 << 21
 #: Bits of the filter at most: 16 MB in every worker.
 FILTER_BITS = 1 << 27
 _PAGE_BITS = 1 << 15
@@ -65,9 +66,18 @@ class _Words:
         self.leads[:-1] = passed[self.starts[1:]] == passed[self.starts[:-1]]
         self.leads[firsts[1:][firsts[1:] > 0] - 1] = False
 
-    def pair_hashes(self) -> np.ndarray:
-        """Hash of each word with the next, whether it leads to it or not."""
-        return mix(self.hashes * _RADIX + np.append(self.hashes[1:], np.uint64(0)))
+        #: Hash of each word with the next, whether it leads to it or not.
+        self.pair_hashes = mix(self.hashes * _RADIX + np.append(self.hashes[1:], np.uint64(0)))
+
+    def passing(self, bits: np.ndarray) -> np.ndarray:
+        """Which words lead to the next one by a pair that the filter holds."""
+        out = self.leads.copy()
+        out[out] = _passes(bits, self.pair_hashes[out])
+        return out
+
+    def triple_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hash of each word of `at` with the next two."""
+        return mix(self.pair_hashes[at] * _RADIX + self.hashes[at + 2])
 
     def texts(self, chosen: np.ndarray, is_pad: np.ndarray) -> pa.Array:
         """The chosen words, pads where told so."""
@@ -101,7 +111,13 @@ def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(hash, n) of the words and of the pairs of every slice."""
     for words in _slices(batches):
         yield _sums(words.hashes)
-        yield _sums(words.pair_hashes()[words.leads])
+        yield _sums(words.pair_hashes[words.leads])
+
+
+def _triples(words: _Words, bits: np.ndarray) -> np.ndarray:
+    """The words that begin a triple of two pairs in the filter."""
+    pairs = words.passing(bits)
+    return np.flatnonzero(pairs[:-1] & pairs[1:])
 
 
 # ---- the filter ----------------------------------------------------------------------------------
@@ -138,11 +154,32 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpacked(pages: list[tuple[int, bytes]], bits: int) -> np.ndarray:
-    out = np.zeros(bits // 8, np.uint8)
-    for page, mask in pages:
-        out[page * _PAGE_BITS // 8 : (page + 1) * _PAGE_BITS // 8] = np.frombuffer(mask, np.uint8)
-    return out
+class _Filter:
+    """The filter on its way to the workers: pages of bits, of one or more sets of hashes."""
+
+    def __init__(self, spark: SparkSession, pages: list[tuple[int, bytes]], bits: int):
+        self.name, self.bits, self.pages = uuid.uuid4().hex, bits, pages
+        self.shared = spark.sparkContext.broadcast(pages)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "pages"}
+
+    def held(self) -> np.ndarray:
+        """The filter's bits in a task."""
+        return per_process("phrase filter", self.name, self._unpacked)
+
+    def _unpacked(self) -> np.ndarray:
+        out = np.zeros(self.bits // 8, np.uint8)
+        for page, mask in self.shared.value:
+            out[page * _PAGE_BITS // 8 : (page + 1) * _PAGE_BITS // 8] |= np.frombuffer(mask, np.uint8)
+        return out
+
+
+def _filter(hashes: DataFrame, least: int, bits: int, more: list[tuple[int, bytes]]) -> _Filter:
+    """Of the (hash, n) rows that sum to `least` and more, and of `more` pages."""
+    frequent = hashes.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pages = [(r.page, bytes(r.mask)) for r in _filter_pages(frequent, bits).collect()]
+    return _Filter(hashes.sparkSession, more + pages, bits)
 
 
 # ---- windows and counts --------------------------------------------------------------------------
@@ -151,14 +188,16 @@ def _unpacked(pages: list[tuple[int, bytes]], bits: int) -> np.ndarray:
 def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
     """(lang, w1 .. w5, n): the padded windows of a slice; words that begin none are a window of pads."""
     n = len(words.starts)
-    reaches = words.leads.copy()
-    reaches[reaches] = _passes(bits, words.pair_hashes()[reaches])
+    pairs, triples, at = words.passing(bits), np.zeros(n, bool), _triples(words, bits)
+    triples[at] = _passes(bits, words.triple_hashes(at))
     begins = _passes(bits, words.hashes)
     length = begins.astype(np.int64)
     key = words.hashes.copy()
     on = begins.copy()
     for k in range(1, LONGEST):
-        on[: max(0, n - k)] &= reaches[k - 1 : max(0, n - 1)]
+        # The pair, then the triple, that the k-th next word ends.
+        reached = pairs if k == 1 else triples[k - 2 :]
+        on[: max(0, n - k)] &= reached[: max(0, n - k)]
         on[max(0, n - k) :] = False
         at = np.flatnonzero(on)
         key[at] = mix(key[at] * _RADIX + words.hashes[at + k])
@@ -180,17 +219,19 @@ def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
 
 def windows(texts: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, w1 .. w5, n): how often each padded window occurs; `texts` has text and language alone."""
-    spark = texts.sparkSession
-    hashes = texts.mapInArrow(_count_hashes, "hash bigint, n bigint")
-    frequent = hashes.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pages = [(r.page, bytes(r.mask)) for r in _filter_pages(frequent, filter_bits).collect()]
-    shared, bits, name = spark.sparkContext.broadcast(pages), filter_bits, uuid.uuid4().hex
+    pairs = _filter(texts.mapInArrow(_count_hashes, "hash bigint, n bigint"), least, filter_bits, [])
+
+    @task
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _slices(batches):
+            yield _sums(words.triple_hashes(_triples(words, pairs.held())))
+
+    both = _filter(texts.mapInArrow(count_triples, "hash bigint, n bigint"), least, filter_bits, pairs.pages)
 
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = per_process("phrase filter", name, lambda: _unpacked(shared.value, bits))
         for words in _slices(batches):
-            yield _windows_of(words, held)
+            yield _windows_of(words, both.held())
 
     schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "n bigint"])
     return texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
