@@ -24,26 +24,49 @@ DAYS = (250, 292)
 
 # Fixed formats, as Java patterns; each alternative is judged again by its rule below. Quantifiers that end
 # before a character outside their class do not backtrack.
-MAIL = r"[.%+\-]*+[A-Za-z0-9_][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,8}[A-Za-z]{2,24}"
+#: Letters of scripts that put blanks between words: those of other scripts may stand right beside an address.
+SPACED = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
+MAIL = rf"[.%+\-]*+[{SPACED}0-9_][{SPACED}\p{{M}}0-9._%+'\-]*+@(?:[{SPACED}0-9][{SPACED}0-9\-]{{0,62}}+\.)+[{SPACED}]{{2,24}}"
 KEY = r"A[KS]IA[A-Z0-9]{16}"
-SECRET_NAME = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?[\"']?"
-SECRET = SECRET_NAME + r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}+"
+#: Makers' prefixes of tokens, and the three parts of a signed one; what follows the prefix is replaced.
+TOKEN_NAME = r"gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|pk_live_|sk_live_|rk_live_|hf_|npm_|AIza|eyJ"
+TOKEN = rf"(?:{TOKEN_NAME})[A-Za-z0-9_\-]{{16,}}+(?:\.[A-Za-z0-9_\-]+)*+"
+SECRET_NAME = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Aa]pi_?[Kk]ey|API_?KEY)"
+#: A value with a digit, or any value that is given without blanks or in quotation marks.
+SECRET = (
+    SECRET_NAME + r"(?: ?[=:] ?[\"']?(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}+|=[A-Za-z0-9+/_\-]{8,}+|[=:] ?[\"'][A-Za-z0-9+/_\-]{8,}+[\"'])"
+)
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: In small letters every group but the bank's has a digit, or else words would be taken in.
+SMALL_IBAN = r"[a-z]{2}[0-9]{2} ?[a-z0-9]{4}(?: ?(?=[a-z]{0,3}[0-9])[a-z0-9]{4}){1,6}(?: ?[0-9]{1,3})?"
 ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+ADDRESS6 = rf"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?"
+DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}|" + "|".join(
+    rf"[0-9]{{1,2}}{mark}[0-9]{{1,2}}{mark}[0-9]{{4}}" for mark in ("/", r"\.", "-")
+)
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+SOCIAL_NAME = r"(?:SSN|ssn|[Ss]ocial [Ss]ecurity(?: [Nn]umber)?)[ :#=]{0,3}"
+NAMED_SOCIAL = SOCIAL_NAME + "[0-9]{9}"
 AMERICAN = r"(?:\+[0-9]{1,3}[ .\-]?|1[ .\-]|1(?=\())?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
-PHONE = AMERICAN + r"|\+[0-9](?:(?: ?\(0\) ?|[ .\-]?)[0-9]){7,14}"
+#: Within a country: a leading 0 and its area, in brackets or set apart.
+NATIONAL = r"(?:\(0[0-9]{1,4}\)[ .\-/]?|0[0-9]{1,4}[ .\-/])[0-9]{2,8}(?:[ .\-][0-9]{2,8}){0,4}"
+BARE = r"[2-9][0-9]{2}[2-9][0-9]{6}"
+PHONE = AMERICAN + r"|\+[0-9](?:(?: ?\(0\) ?|[ .\-]?)[0-9]){7,14}|" + NATIONAL + "|" + BARE
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
+#: Short groups, then a card in its usual groups.
+LEAD = r"(?:[0-9]{1,3}[ \-]){1,3}"
+LED_CARD = LEAD + r"(?:(?:[0-9]{4}[ \-]?){3}[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})"
 _KINDS = {
-    "mail": MAIL, "key": KEY, "secret": SECRET, "iban": IBAN, "address": ADDRESS,
-    "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD,
+    "mail": MAIL, "key": KEY, "token": TOKEN, "secret": SECRET, "iban": IBAN, "small iban": SMALL_IBAN, "address": ADDRESS, "address6": ADDRESS6,
+    "date": DATE, "social": SOCIAL, "named social": NAMED_SOCIAL, "phone": PHONE, "led card": LED_CARD, "card": CARD,
 }
 #: A match stands alone: no letter, digit or further part of a number before or after it. A mail address ends where
-#: no character of one follows: letters of a script without blanks may stand beside it.
+#: no character of one follows.
 PATTERN = (
-    rf"(?<![A-Za-z0-9._%+\-]){MAIL}(?![A-Za-z0-9_])(?![.\-][0-9])|"
-    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:" + "|".join(f"(?:{p})" for k, p in _KINDS.items() if k != "mail") + r")(?![\p{L}\p{N}_])(?![.\-][0-9])"
+    rf"(?<![{SPACED}\p{{M}}0-9._%+'\-]){MAIL}(?![{SPACED}0-9_])(?![.\-][0-9])|"
+    r"(?<![\p{L}\p{N}_:])(?<![0-9][.\-])(?:(?:" + ADDRESS6 + r")(?![\p{L}\p{N}_:]))|"
+    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:" + "|".join(f"(?:{p})" for k, p in _KINDS.items() if k not in ("mail", "address6")) + r")(?![\p{L}\p{N}_])(?![.\-][0-9])"
 )
 
 
@@ -68,20 +91,32 @@ def _number_feistel(key: Column, label: str, value: Column, a: int, b: int) -> C
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: s["left"] * b + s["right"])
 
 
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+def _letters(first: int, last: int, without: str = "") -> str:
+    return "".join(ch for ch in map(chr, range(first, last + 1)) if ch not in without)
+
+
+#: Characters move within one of these: digits, and letters of one script and case.
+_ALPHABETS = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _letters(0xE0, 0xFF, "\u00f7"), _letters(0xC0, 0xDE, "\u00d7"),
+    _letters(0x101, 0x17E)[::2], _letters(0x100, 0x17E)[::2], _letters(0x3B1, 0x3C9), _letters(0x430, 0x44F), _letters(0x410, 0x42F),
+)
 _HEX = ("0123456789abcdef", "ABCDEF")
 
 
 def _shifted(text: Column, digest: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character moved within its alphabet by two hexadecimal digits of the digest; others stay."""
 
+    def put(letters: Column, ch: Column, step: Column) -> Column:
+        return F.substring(letters, F.pmod(F.instr(letters, ch) - 1 + step, F.length(letters)) + 1, F.lit(1))
+
     def move(ch: Column, i: Column) -> Column:
         step = F.conv(F.substring(digest, F.pmod(i, F.lit(31)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        out = ch
-        for letters in alphabets:
-            at = F.instr(F.lit(letters), ch)
-            out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + step, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-        return out
+        common, others = alphabets[:3], F.lit(list(alphabets[3:])).cast("array<string>")
+        found = F.get(F.filter(others, lambda letters: F.instr(letters, ch) > 0), F.lit(0))
+        out = F.when(ch > "\x7f", F.coalesce(put(found, ch, step), ch)).otherwise(ch)
+        for letters in reversed(common):  # the first is tried first
+            out = F.when(F.instr(F.lit(letters), ch) > 0, put(F.lit(letters), ch, step)).otherwise(out)
+        return F.when(ch == "", ch).otherwise(out)
 
     return F.array_join(F.transform(F.split(text, ""), move), "")
 
@@ -152,11 +187,36 @@ def _cloud_key(v: Column, key: Column) -> Column:
     return F.concat(F.substring(v, 1, 4), _string_feistel(key, "key", F.substring(v, F.lit(5), F.length(v))))
 
 
+def _token(v: Column, key: Column) -> Column:
+    name = F.regexp_extract(v, f"^(?:{TOKEN_NAME})", 0)
+    return F.concat(name, _string_feistel(key, "token", F.substring(v, F.length(name) + 1, F.length(v))))
+
+
+def _named_social(v: Column, key: Column) -> Column:
+    name = F.substring(v, F.lit(1), F.length(v) - 9)
+    digits = F.right(v, F.lit(9))
+    whole = F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4))
+    return F.concat(name, _only_digits(_social(whole, key)))
+
+
+def _address6(v: Column, key: Column) -> Column:
+    """Groups in hexadecimal digits, either eight or with some left out; fewer than three are no address."""
+    groups = F.filter(F.split(v, ":"), lambda g: g != "")
+    small = F.lower(v) == v
+    new = F.when(small, _string_feistel(key, "address6", v, _HEX)).otherwise(F.upper(_string_feistel(key, "address6", F.lower(v), _HEX)))
+    return F.when(v.rlike("[0-9]") & (F.size(groups) >= 3), new)
+
+
+def _small_iban(v: Column, key: Column) -> Column:
+    return F.lower(_iban(F.upper(v), key))
+
+
 def _secret(v: Column, key: Column) -> Column:
-    name = F.regexp_extract(v, f"^{SECRET_NAME}", 0)
-    value = F.substring(v, F.length(name) + 1, F.length(v))
+    name = F.regexp_extract(v, f"^{SECRET_NAME} ?[=:] ?[\"']?", 0)
+    end = F.regexp_extract(v, "[\"']$", 0)
+    value = F.substring(v, F.length(name) + 1, F.length(v) - F.length(name) - F.length(end))
     hexadecimal = value.rlike("^[0-9a-f]+$")
-    return F.concat(name, F.when(hexadecimal, _string_feistel(key, "secret", value, _HEX)).otherwise(_string_feistel(key, "secret", value)))
+    return F.concat(name, F.when(hexadecimal, _string_feistel(key, "secret", value, _HEX)).otherwise(_string_feistel(key, "secret", value)), end)
 
 
 def _iban(v: Column, key: Column) -> Column:
@@ -187,12 +247,24 @@ def _address(v: Column, key: Column) -> Column:
 
 
 def _date(v: Column, key: Column) -> Column:
-    iso, mark = v.rlike("^[0-9]{4}-"), F.substring(v, 3, 1)
-    day = F.when(iso, F.try_to_date(v, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(v, "[.]", "/"), "dd/MM/yyyy"))
+    """Year first, or day first, or month first where the day cannot come first. Fields of one digit stay unpadded."""
+    parts, mark = F.split(v, "[/.-]"), F.regexp_extract(v, "[/.-]", 0)
+    first, second, third = (parts[i] for i in range(3))
+    iso = F.length(first) == 4
+
+    def day_of(year: Column, month: Column, day: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    day_first = day_of(third, second, first)
+    day = F.when(iso, day_of(first, second, third)).otherwise(F.coalesce(day_first, day_of(third, first, second)))
     number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("bigint")
     a, b = DAYS
     new = F.date_add(F.lit("1900-01-01").cast("date"), _number_feistel(key, "date", number, a, b).cast("int"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    short = (F.length(second) == 1) | (F.length(F.when(iso, third).otherwise(first)) == 1)
+    month, date = (F.when(short, F.date_format(new, one)).otherwise(F.date_format(new, one * 2)) for one in ("M", "d"))
+    year = F.date_format(new, "yyyy")
+    around = F.when(day_first.isNotNull(), F.concat(date, mark, month)).otherwise(F.concat(month, mark, date))
+    shown = F.when(iso, F.concat(year, mark, month, mark, date)).otherwise(F.concat(around, mark, year))
     return F.when((number >= 0) & (number < a * b), shown)
 
 
@@ -204,7 +276,11 @@ def _social(v: Column, key: Column) -> Column:
     head = F.floor(new / 9999).cast("bigint")
     place = F.floor(head / 99).cast("bigint")
     area = place + 1 + (place >= 665).cast("bigint")
-    return F.when(valid, F.concat_ws("-", _padded(area, 3), _padded(F.pmod(head, F.lit(99)) + 1, 2), _padded(F.pmod(new, F.lit(9999)) + 1, 4)))
+    shown = F.concat_ws("-", _padded(area, 3), _padded(F.pmod(head, F.lit(99)) + 1, 2), _padded(F.pmod(new, F.lit(9999)) + 1, 4))
+    # Taxpayers' numbers have areas from 900 on, and are permuted among themselves.
+    digits = _padded(_number_feistel(key, "taxpayer", F.pmod(_only_digits(v).cast("bigint"), F.lit(10**8)), 10**4, 10**4), 8)
+    taxpayer = F.concat(F.lit("9"), F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 2), F.lit("-"), F.substring(digits, 5, 4))
+    return F.when(valid, shown).when(v.startswith("9") & (group >= 1) & (serial >= 1), taxpayer)
 
 
 def _phone(v: Column, key: Column) -> Column:
@@ -230,7 +306,14 @@ def _phone(v: Column, key: Column) -> Column:
     # Elsewhere: the first two digits stay, the others are permuted.
     abroad = F.concat(F.substring(digits, 1, 2), _string_feistel(key, "phone", F.substring(digits, F.lit(3), F.length(digits))))
     foreign = plus & F.length(digits).between(8, 15)
-    return F.when(american, _filled(v, shown)).when(foreign, _filled(v, abroad))
+    # Within a country the 0 stays. Three groups as in North America are taken for one of its numbers.
+    inland = F.concat(F.lit("0"), _string_feistel(key, "inland", F.substring(digits, F.lit(2), F.length(digits))))
+    national = v.rlike(f"^(?:{NATIONAL})$") & ~v.rlike(f"^(?:{AMERICAN}|{SOCIAL})$")
+    return (
+        F.when(national, F.when(F.length(digits).between(9, 12), _filled(v, inland)))
+        .when(american, _filled(v, shown))
+        .when(foreign, _filled(v, abroad))
+    )
 
 
 def _card(v: Column, key: Column) -> Column:
@@ -242,14 +325,14 @@ def _card(v: Column, key: Column) -> Column:
 
 
 _RULES = {
-    "mail": _mail, "key": _cloud_key, "secret": _secret, "iban": _iban, "address": _address,
-    "date": _date, "social": _social, "phone": _phone, "card": _card,
+    "mail": _mail, "key": _cloud_key, "token": _token, "secret": _secret, "iban": _iban, "small iban": _small_iban, "address": _address,
+    "address6": _address6, "date": _date, "social": _social, "named social": _named_social, "phone": _phone, "card": _card,
 }
 
 
 def valued(match: Column) -> Column:
-    """The match, or where it is a card or account number with further groups behind it, its longest valid
-    prefix that ends at a separator."""
+    """Where in the match its value stands, as (lead, value): a card behind short groups, or the longest valid
+    part of a card or account number that ends at a separator; else all of the match."""
     cards = F.array(*(F.regexp_extract(match, rf"^[0-9](?:[ \-]?[0-9]){{{n - 1}}}(?=[ \-])", 0) for n in range(18, 12, -1)))
     groups = F.split(match, " ")
     ibans = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
@@ -258,11 +341,19 @@ def valued(match: Column) -> Column:
         return (v != "") & (F.pmod(_luhn_sum(_only_digits(v)), F.lit(10)) == 0)
 
     def iban_holds(v: Column) -> Column:
-        plain = F.regexp_replace(v, " ", "")
-        return v.rlike(f"^(?:{IBAN})$") & (F.length(plain) >= 15) & (_mod97(plain) == 1)
+        plain = F.regexp_replace(F.upper(v), " ", "")
+        return v.rlike(f"^(?:{IBAN}|{SMALL_IBAN})$") & (F.length(plain) >= 15) & (_mod97(plain) == 1)
 
+    def part(lead: Column, value: Column) -> Column:
+        return F.struct(lead.alias("lead"), value.alias("value"))
+
+    lead = F.regexp_extract(match, f"^{LEAD}(?=[0-9]{{4}})", 0)
+    led = F.substring(match, F.length(lead) + 1, F.length(match))
+    is_led = match.rlike(f"^(?:{LED_CARD})$") & card_holds(led)
     shorter = F.when(match.rlike(f"^(?:{CARD})$") & ~card_holds(match), F.get(F.filter(cards, card_holds), F.lit(0)))
-    return F.coalesce(shorter, F.when(match.rlike(f"^(?:{IBAN})$"), F.get(F.filter(ibans, iban_holds), F.lit(0))), match)
+    in_card = F.when(is_led, part(lead, led)).when(shorter.isNotNull(), part(F.lit(""), shorter))
+    in_iban = F.when(match.rlike(f"^(?:{IBAN}|{SMALL_IBAN})$"), F.get(F.filter(ibans, iban_holds), F.lit(0)))
+    return F.coalesce(in_card, F.when(in_iban.isNotNull(), part(F.lit(""), in_iban)), part(F.lit(""), match))
 
 
 def pseudonym(match: Column, key: Column) -> Column:
@@ -284,8 +375,12 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", counted: str | N
     found, new = unused(docs, "_matches"), unused(docs, "_pseudonyms")
     held = docs.withColumn(found, F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)))
     some = F.size(found) > 0
-    # What stands behind a valid prefix stays.
-    made = F.zip_with(found, F.transform(found, valued), lambda m, v: F.concat(pseudonym(v, F.lit(key)), F.substring(m, F.length(v) + 1, F.length(m))))
+    # What stands beside the value stays.
+    def put(m: Column, v: Column) -> Column:
+        behind = F.substring(m, F.length(v["lead"]) + F.length(v["value"]) + 1, F.length(m))
+        return F.concat(v["lead"], pseudonym(v["value"], F.lit(key)), behind)
+
+    made = F.zip_with(found, F.transform(found, valued), put)
     held = held.withColumn(new, F.when(some, made))
     # What lies between the matches, and the pseudonyms, in turns.
     pieces = F.zip_with(F.split(value, PATTERN, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
