@@ -64,23 +64,36 @@ def open_input(path: str):
     """A file of the shared folder as a stream, inside a task, whatever its scheme."""
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path if "://" in path else _uri(path))
+    where, name = fs.FileSystem.from_uri(_uri(path))
     return where.open_input_stream(name)
 
 
 def open_output(path: str):
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path if "://" in path else _uri(path))
+    where, name = fs.FileSystem.from_uri(_uri(path))
     where.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return where.open_output_stream(name)
 
 
 def _uri(path: str) -> str:
-    # Hadoop prints local paths as file:/x.
+    """The path as Arrow names it: Hadoop prints local ones as file:/x, and has names of its own for S3."""
+    if "://" in path:
+        scheme, rest = path.split("://", 1)
+        return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}"
     return "file://" + path.removeprefix("file:")
 
 
+def write_file(path: str, data: bytes) -> None:
+    with open_output(path) as out:
+        out.write(data)
+
+
+def read_file(path: str) -> bytes:
+    with open_input(path) as source:
+        return source.read()
+
+
 def _held() -> dict:
     """What this worker process keeps from task to task."""
     name = "_faultline_held"

@@ -10,6 +10,7 @@ are joined to components by alternating large and small stars over staged tables
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,16 @@ from faultline.llm.common import (
     LOWER,
     NOT_SPACE,
     Stages,
+    folder_for,
     partitions_for,
+    per_process,
+    read_file,
     task,
     text_bytes,
     text_slices,
     unused,
     word_spans,
+    write_file,
 )
 
 SLICE_BYTES = 1 << 19
@@ -233,8 +238,8 @@ def near_groups(
 
 
 def _blocks(distinct: DataFrame, count: int) -> DataFrame:
-    """Rows (block, low, high, data): runs of fingerprints in order of population count."""
-    ones = F.bit_count("f")
+    """Rows (block, low, high, path): runs of fingerprints in order of population count, each in a file."""
+    ones, folder = F.bit_count("f"), folder_for(distinct.sparkSession, "fingerprint-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.column(0).to_numpy() for b in batches]
@@ -242,17 +247,19 @@ def _blocks(distinct: DataFrame, count: int) -> DataFrame:
         for at in range(0, len(x), BLOCK_ROWS):
             part = x[at : at + BLOCK_ROWS]
             pops = np.bitwise_count(part.view(np.uint64))
+            path = f"{folder}/{uuid.uuid4().hex}.bin"
+            write_file(path, part.tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([int(part[0])], pa.int64()),
                     "low": pa.array([int(pops.min())], pa.int32()),
                     "high": pa.array([int(pops.max())], pa.int32()),
-                    "data": pa.array([part.tobytes()], pa.binary()),
+                    "path": pa.array([path], pa.string()),
                 }
             )
 
     dealt = distinct.select("f").repartitionByRange(count, ones, "f").sortWithinPartitions(ones, "f")
-    return dealt.mapInArrow(task(run), "block bigint, low int, high int, data binary")
+    return dealt.mapInArrow(task(run), "block bigint, low int, high int, path string")
 
 
 def _edges(blocks: DataFrame, radius: int) -> DataFrame:
@@ -263,19 +270,20 @@ def _edges(blocks: DataFrame, radius: int) -> DataFrame:
     held = spans.select(c("block").alias("j"), F.explode(F.sequence("low", "high")).alias("ones"))
     # A pair is found from the block whose counts begin no higher, or from both; each is kept once.
     pairs = reach.join(held, "ones").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    data = blocks.select("block", "data")
-    both = pairs.join(data.select(c("block").alias("i"), c("data").alias("a")), "i")
-    both = both.join(data.select(c("block").alias("j"), c("data").alias("b")), "j")
+    # Tasks get names alone and read the blocks; pairs of one block follow each other, which stays in hand.
+    paths = blocks.select("block", "path")
+    both = pairs.join(paths.select(c("block").alias("i"), c("path").alias("a")), "i")
+    both = both.join(paths.select(c("block").alias("j"), c("path").alias("b")), "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                u, v = star_edges(
-                    np.frombuffer(a, np.uint64), None if i == j else np.frombuffer(b, np.uint64), radius
-                )
+            for a, b in zip(*(batch.column(k).to_pylist() for k in ("a", "b"))):
+                first = per_process("fingerprint block", a, lambda: np.frombuffer(read_file(a), np.uint64))  # noqa: B023
+                u, v = star_edges(first, None if a == b else np.frombuffer(read_file(b), np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    spread = both.select("i", "j", "a", "b").repartition(partitions_for(blocks.sparkSession, 0, 1), "i", "j")
+    parts = partitions_for(blocks.sparkSession, 0, 1)
+    spread = both.select("i", "j", "a", "b").repartitionByRange(parts, "i", "j").sortWithinPartitions("i", "j")
     return spread.mapInArrow(task(run), "u bigint, v bigint")
 
 
