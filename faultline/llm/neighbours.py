@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from faultline.llm.common import Stages, grouped, task
+from faultline.llm.common import Stages, folder_for, grouped, per_process, read_file, task, write_file
 
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 #: Queries whose candidate lists are merged in one group.
@@ -43,15 +43,19 @@ def _usable(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def pack(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows (block, size, ids, data) of up to `rows` vectors of one dimension."""
+    """Rows (block, size, n, path): files of up to `rows` ids and vectors of one dimension."""
+    folder = folder_for(vectors.sparkSession, "vector-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def block(size: int) -> pa.RecordBatch:
             ids, data = (np.concatenate(x) for x in zip(*held.pop(size)))
+            name = uuid.uuid4().hex
+            path = f"{folder}/{name}.bin"
+            write_file(path, ids.astype(np.int64).tobytes() + data.tobytes())
             return pa.RecordBatch.from_pydict(
-                {"block": [uuid.uuid4().hex], "size": pa.array([size], pa.int32()), "ids": [ids.tobytes()], "data": [data.tobytes()]}
+                {"block": [name], "size": pa.array([size], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "path": [path]}
             )
 
         for batch in batches:
@@ -63,7 +67,13 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
         for size in list(held):
             yield block(size)
 
-    return vectors.mapInArrow(task(run), "block string, size int, ids binary, data binary")
+    return vectors.mapInArrow(task(run), "block string, size int, n bigint, path string")
+
+
+def unpack(path: str, size: int, n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the vectors of a block's file."""
+    data = read_file(path)
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, kind, n * size, 8 * n).reshape(n, size)
 
 
 class Quantized:
@@ -137,16 +147,17 @@ def search(
     q = stages.keep(blocks(queries.repartition(max(1, parts // 4), vec_id), QUERY_BLOCK), "queries")
     # Which blocks meet: all of one dimension. These lists hold block names only.
     pairs = q.select(c("block").alias("q"), "size").join(x.select(c("block").alias("x"), "size"), "size")
-    pairs = pairs.join(q.select(c("block").alias("q"), c("ids").alias("q_ids"), c("data").alias("q_data")), "q")
-    pairs = pairs.join(x.select(c("block").alias("x"), c("ids").alias("x_ids"), c("data").alias("x_data")), "x")
-    pairs = pairs.select("q", "size", "q_ids", "q_data", "x_ids", "x_data", "x").repartition(parts, "q", "x")
+    pairs = pairs.join(q.select(c("block").alias("q"), c("n").alias("q_n"), c("path").alias("q_path")), "q")
+    pairs = pairs.join(x.select(c("block").alias("x"), c("n").alias("x_n"), c("path").alias("x_path")), "x")
+    pairs = pairs.select("q", "size", "q_n", "q_path", "x_n", "x_path", "x")
+    # Tasks get names alone and read the blocks; one block of vectors stays in hand for the queries that meet it.
+    pairs = pairs.repartitionByRange(parts, "x", "q").sortWithinPartitions("x", "q").drop("x")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                name, size = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                q_ids, x_ids = (np.frombuffer(batch.column(k)[row].as_buffer(), np.int64) for k in (2, 4))
-                q_data, x_data = (np.frombuffer(batch.column(k)[row].as_buffer(), kind).reshape(-1, size) for k in (3, 5))
+            for name, size, q_n, q_path, x_n, x_path in zip(*(x.to_pylist() for x in batch.columns)):
+                q_ids, q_data = unpack(q_path, size, q_n, kind)
+                x_ids, x_data = per_process("vector block", x_path, lambda: unpack(x_path, size, x_n, kind))  # noqa: B023
                 i, j, score = nearest(q_ids, q_data, x_ids, x_data, k)
                 yield pa.RecordBatch.from_pydict(
                     {
