@@ -11,6 +11,7 @@ shuffled, and no task holds more than one shard and one block.
 from __future__ import annotations
 
 import io
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -236,18 +237,39 @@ _NEW = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spans
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def _judge(batch: pa.RecordBatch, text: str, paths: list[str]) -> list[pa.Array]:
-    words, row, count = _words(batch.column(batch.schema.get_field_index(text)))
-    edges = np.zeros(len(words) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in count]
+#: Slices that are judged against one benchmark block before the next is read.
+SLICES = 8
+
+
+class _Slice:
+    """A shard's words and what has been found in them."""
+
+    def __init__(self, batch: pa.RecordBatch, text: str):
+        self.words, self.row, self.count = _words(batch.column(batch.schema.get_field_index(text)))
+        self.edges = np.zeros(len(self.words) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in self.count]
+
+    def search(self, block: Block) -> None:
+        at, window = occurrences(self.words, self.row, block)
+        np.add.at(self.edges, at, 1)
+        np.add.at(self.edges, at + block.length[window], -1)
+        doc = np.searchsorted(self.row, at, side="right") - 1
+        for d, w in np.unique(np.stack([doc, window]), axis=1).T.tolist():
+            self.items[d].update(block.ids[i] for i in block.items[block.borders[w] : block.borders[w + 1]])
+
+
+def _judged(batches: list[pa.RecordBatch], text: str, paths: list[str]) -> Iterator[list[pa.Array]]:
+    """The new columns of some slices: each block is read once for all of them."""
+    slices = [_Slice(batch, text) for batch in batches]
     for path in paths:
         block = _block(path)
-        at, window = occurrences(words, row, block)
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + block.length[window], -1)
-        doc = np.searchsorted(row, at, side="right") - 1
-        for d, w in np.unique(np.stack([doc, window]), axis=1).T.tolist():
-            items[d].update(block.ids[i] for i in block.items[block.borders[w] : block.borders[w + 1]])
+        for one in slices:
+            one.search(block)
+    for one in slices:
+        yield _columns(one.words, one.row, one.count, one.edges, one.items)
+
+
+def _columns(words: np.ndarray, row: np.ndarray, count: np.ndarray, edges: np.ndarray, items: list[set[str]]) -> list[pa.Array]:
     hit = np.cumsum(edges[:-1]) > 0
     total = np.zeros(len(words) + 1, np.int64)
     np.cumsum(hit, out=total[1:])
@@ -294,9 +316,12 @@ def mark(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, text, SHARD_BYTES):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_judge(batch, text, paths)], names=[*batch.schema.names, *names])
+        # One block stays with the worker; only where there are more do slices wait for each other.
+        most = SLICES if len(paths) > 1 else 1
+        slices = (batch for whole in batches for batch in text_slices(whole, text, SHARD_BYTES))
+        while held := list(itertools.islice(slices, most)):
+            for batch, new in zip(held, _judged(held, text, paths)):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     return kept.mapInArrow(task(run), f"{schema}, " + ", ".join(f"`{prefix}{name}` {kind}" for name, kind in _NEW.items()))
 
