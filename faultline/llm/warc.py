@@ -79,14 +79,16 @@ def write_archives(
         F.coalesce(c(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    # Only payloads that occur twice need a join; small ones get a key of their own, which matches nothing.
-    large = rows.where(c("size") >= LEAST_BYTES)
+    # Who holds a payload is found without the payloads; these then meet it by digest and id, so that a page that
+    # many rows repeat is no single key.
+    large = rows.where(c("size") >= LEAST_BYTES).select("page_id", "digest")
     holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where(c("n") > 1)
-    holders = holders.select(c("digest").alias("key"), "holder")
-    own = F.concat(F.lit("small-"), F.xxhash64("digest", "page_id", "url").cast("string"))
-    keyed = rows.withColumn("key", F.when(c("size") >= LEAST_BYTES, c("digest")).otherwise(own))
-    placed = keyed.join(holders, "key", "left")
-    revisit = c("holder").isNotNull() & ~c("holder").eqNullSafe(c("page_id"))
+    key = F.concat_ws(":", "digest", c("page_id").cast("string"))
+    held = large.distinct().join(holders.drop("n"), "digest").where(c("holder").isNotNull() & ~c("holder").eqNullSafe(c("page_id")))
+    # Small payloads get a key that matches nothing.
+    keyed = rows.withColumn("key", F.when(c("size") >= LEAST_BYTES, key).otherwise(F.concat(F.lit("small-"), key)))
+    placed = keyed.join(held.select(key.alias("key"), "holder"), "key", "left")
+    revisit = c("holder").isNotNull()
     placed = placed.select(
         "page_id", "url", F.when(~revisit, c("payload")).alias("payload"), "size", "digest", F.when(revisit, c("holder")).alias("refers_to")
     )
