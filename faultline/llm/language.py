@@ -65,10 +65,11 @@ def _sums(batches: Iterator[pa.RecordBatch], languages: int) -> Iterator[pa.Reco
         )
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
-    """The text model of a bounded sample of the labelled documents, chosen by a hash of the text."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> TextModel:
+    """The text model of a bounded sample of the labelled documents, chosen and dealt out by a hash of id and
+    text, so that of a text's copies some are chosen like of any others."""
     c = F.col
-    labelled = docs.select(c(lang).alias("lang"), c(text).cast("string").alias("text")).where(c("lang").isNotNull() & c("text").isNotNull())
+    labelled = docs.select(c(lang).alias("lang"), c(text).cast("string").alias("text"), F.xxhash64(c(doc_id).cast("string"), c(text)).alias("draw")).where(c("lang").isNotNull() & c("text").isNotNull())
     # One row per language.
     size = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(size)
@@ -78,8 +79,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
     for k, name in enumerate(languages):
         share = F.when(c("lang") == name, min(1.0, LANGUAGE_ROWS / size[name])).otherwise(share)
         number = F.when(c("lang") == name, k).otherwise(number)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = chosen.select(number.alias("label"), "text").repartition(SAMPLE_TASKS, F.xxhash64("text", F.lit(1)))
+    chosen = labelled.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    rows = chosen.select(number.alias("label"), "text", "draw").repartition(SAMPLE_TASKS, "draw").drop("draw")
     n = len(languages)
 
     def choose(table: pa.Table) -> pa.Table:

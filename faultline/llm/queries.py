@@ -38,7 +38,7 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
-    model = language.train(_table(spark, folder, "documents").select("text", "lang"))
+    model = language.train(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
     found = language.identify(_table(spark, folder, "pages"), model)
     return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
 
