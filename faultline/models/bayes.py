@@ -14,10 +14,13 @@ SMOOTHING = 1e-9
 ABSENT = 1e300
 
 
-def fit(folded: DataFrame, features: list[str], k: int, by: list[str] = ["round"]) -> DataFrame:
+def fit(
+    folded: DataFrame, features: list[str], k: int, by: list[str] = ["round"], moments: DataFrame | None = None
+) -> DataFrame:
     """One row per (by, fold): `model`, per feature the scaling and both labels' mean and half
-    precision, and `constant`, what does not depend on the row."""
-    moments = fold_moments(folded, features, by)
+    precision, and `constant`, what does not depend on the row. `moments` are those of the rows, where they
+    are at hand."""
+    moments = fold_moments(folded, features, by) if moments is None else moments
     key = [*by, "fold"]
     scaler = scaler_from(train_moments(moments, k, by)).withColumnsRenamed(
         {"mean": "centre", "n": "n_all"}

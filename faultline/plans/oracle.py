@@ -505,7 +505,12 @@ def statements() -> dict[str, str]:
     )
     sql["cast_float_features"] = _with("feats") + (
         f"SELECT {_KEYS}, "
-        + ", ".join(f"CAST(printf('%.4e', CAST(CAST({c} AS FLOAT) AS DOUBLE)) AS DOUBLE) AS {c}" for c in EXACT)
+        + ", ".join(
+            f"CAST(printf('%.4e', CAST(CAST({c} AS FLOAT) AS DOUBLE)) AS DOUBLE) AS {c}"
+            if c in EXACT
+            else f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 3) AS {c}"
+            for c in FEATURES
+        )
         + " FROM feats"
     )
     dirty = f"WITH dirty AS ({_DIRTY}) "

@@ -36,7 +36,7 @@ SKIPPED = [3, 6]
 ENTROPY_M = 2
 TOLERANCE = {"v1": 10.0, "v2": 10.0, "v3": 0.0201, "v4": 0.0201, "v5": 1.0}
 FEATURES = windows.feature_names()
-#: Features that no rounding of a sum touches.
+#: Features that no rounding of a sum touches; the others are shown to fewer digits.
 EXACT = [c for c in FEATURES if c.endswith(("_max", "_min", "_median"))]
 FOLD = ["round", "fold"]
 
@@ -204,10 +204,14 @@ def cast_float(spark, folder):
 
 @query
 def cast_float_features(spark, folder):
-    """Every feature through float32, shown to 5 significant digits (float sums differ in the last)."""
+    """Every feature through float32, shown to 5 significant digits, those that hang on sums to 3 decimals."""
     made = clean.cast_float(_features(spark, folder), FEATURES)
-    shown = (F.format_string("%.4e", F.col(c).cast("double")).cast("double").alias(c) for c in EXACT)
-    return made.select(*WINDOW, *shown)
+
+    def shown(c: str):
+        wide = F.col(c).cast("double")
+        return F.format_string("%.4e", wide).cast("double") if c in EXACT else F.round(wide, 3)
+
+    return made.select(*WINDOW, *(shown(c).alias(c) for c in FEATURES))
 
 
 def _dirty(spark: SparkSession, folder: str) -> DataFrame:
@@ -692,6 +696,14 @@ def pivot_round1(spark, folder):
     return _round_pivot(report.pivot_report(report.round_results(_all_results(spark, folder, 2))))
 
 
+@query
+def default_report(spark, folder):
+    """The report of a run that nothing else is said for: six classifiers over all four cases."""
+    made = _features(spark, folder)
+    results = workflow.experiment_results(made, list(SCENARIOS.values()), Job(size=20, step=20))
+    return _round_pivot(report.pivot_report(report.outer_results(results)))
+
+
 @query
 def merge_results(spark, folder):
     job = Job(size=20, step=20, classifiers=("ZERORULE",))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
-from functools import reduce
+from datetime import datetime, timezone
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.functions import names
 from faultline.models import adaboost, bayes, discriminant, grid, mllib, neighbours, trees, zero_rule
 from faultline.operators import clean, folds, metrics, ordering, report, windows
-from faultline.operators.scaling import scaler_fit, standardize
+from faultline.operators.moments import fold_moments, train_moments
+from faultline.operators.scaling import scaler_fit, scaler_from, standardize
 from faultline.plans.scenarios import Job, Scenario
 from faultline.schema import TEST_WELLS, WINDOW
 from faultline.session import stage
+from faultline.sources import recordings, tables
 
 BY = ["case", "round"]
 FOLD = [*BY, "fold"]
@@ -135,7 +140,7 @@ class Folds:
                         "split", F.lit("test")
                     )
                 )
-            scaler = scaler_fit(narrow, self.features, self.k, BY)
+            scaler = scaler_from(train_moments(self.moments, self.k, BY))
             self._sides = stage(standardize(both, scaler, self.features, FOLD))
         return self._sides
 
@@ -152,9 +157,19 @@ class Folds:
         own = own.where(F.col("fold") < self.limit())
         return own if self.holdout is None else own.unionByName(self._binned.where(F.col("split") == "test"))
 
+    @cached_property
+    def moments(self) -> DataFrame:
+        """Moments of the rows, a few numbers per fold and feature: what scaler and naive Bayes start from."""
+        return stage(fold_moments(self.rows, self.features, BY))
+
+    @cached_property
+    def drawn(self) -> list[tuple]:
+        """Every (case, round, fold)."""
+        found = self.rows.select(*BY).distinct().collect()
+        return sorted((c, r, f) for c, r in found for f in range(self.limits.get(c, self.k)))
+
     def cells(self) -> list[tuple]:
-        drawn = self.rows.select(*BY).distinct().collect()
-        return sorted((c, r, f) for c, r in drawn for f in range(self.limits.get(c, self.k)))
+        return self.drawn
 
     def limit(self) -> Column:
         """How many folds the row's case has."""
@@ -168,23 +183,43 @@ class Folds:
 KEYS = ["split", *WINDOW]
 
 
+def _fitted(data: Folds, fit: Callable[[], DataFrame], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Predictions of a model that one job fits for all folds; it is staged, and `train_seconds` is a fold's share
+    of the job's time."""
+    began = time.monotonic()
+    model = stage(fit())
+    spent = (time.monotonic() - began) / max(1, len(data.drawn))
+    return predict(model).withColumn("train_seconds", F.lit(spent))
+
+
 def _zero_rule(data: Folds, config: dict) -> DataFrame:
-    return zero_rule.predict(data.valid, zero_rule.fit(data.rows, data.k, BY), KEYS, BY)
+    return _fitted(
+        data, lambda: zero_rule.fit(data.rows, data.k, BY), lambda model: zero_rule.predict(data.valid, model, KEYS, BY)
+    )
 
 
 def _bayes(data: Folds, config: dict) -> DataFrame:
-    model = bayes.fit(data.rows, data.features, data.k, BY)
-    return bayes.predict(data.valid, model, data.features, KEYS, BY)
+    return _fitted(
+        data,
+        lambda: bayes.fit(data.rows, data.features, data.k, BY, data.moments),
+        lambda model: bayes.predict(data.valid, model, data.features, KEYS, BY),
+    )
 
 
 def _linear(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_linear(data.rows, data.features, data.k, BY)
-    return discriminant.predict_linear(data.valid, model, data.features, KEYS, BY)
+    return _fitted(
+        data,
+        lambda: discriminant.fit_linear(data.rows, data.features, data.k, BY),
+        lambda model: discriminant.predict_linear(data.valid, model, data.features, KEYS, BY),
+    )
 
 
 def _quadratic(data: Folds, config: dict) -> DataFrame:
-    model = discriminant.fit_quadratic(data.rows, data.features, data.k, BY)
-    return discriminant.predict_quadratic(data.valid, model, data.features, KEYS, BY)
+    return _fitted(
+        data,
+        lambda: discriminant.fit_quadratic(data.rows, data.features, data.k, BY),
+        lambda model: discriminant.predict_quadratic(data.valid, model, data.features, KEYS, BY),
+    )
 
 
 def near(data: Folds, k: int) -> DataFrame:
@@ -193,13 +228,18 @@ def near(data: Folds, k: int) -> DataFrame:
     return neighbours.neighbours(train, query, data.features, KEYS, k, FOLD)
 
 
+def _unfitted(found: DataFrame) -> DataFrame:
+    """Neighbours keep the training side as it is: fitting takes no time."""
+    return found.withColumn("train_seconds", F.lit(0.0))
+
+
 def _nearest(k: int) -> Predict:
-    return lambda data, config: neighbours.vote_distance(near(data, k), k, KEYS, FOLD)
+    return lambda data, config: _unfitted(neighbours.vote_distance(near(data, k), k, KEYS, FOLD))
 
 
 def _nearest_uniform(data: Folds, config: dict) -> DataFrame:
     k = config["n_neighbors"]
-    return neighbours.vote_uniform(near(data, k), [k], KEYS, FOLD).drop("config", "k")
+    return _unfitted(neighbours.vote_uniform(near(data, k), [k], KEYS, FOLD).drop("config", "k"))
 
 
 def _library(name: str) -> Predict:
@@ -218,7 +258,10 @@ def _trees(name: str) -> Predict:
 
 
 def _boosted(data: Folds, config: dict) -> DataFrame:
-    return adaboost.fit_predict(data.sides, data.features, WINDOW, config["n_estimators"], FOLD)
+    """All folds are boosted together: `train_seconds` is a fold's share."""
+    sides, began = data.sides, time.monotonic()
+    found = adaboost.fit_predict(sides, data.features, WINDOW, config["n_estimators"], FOLD)
+    return found.withColumn("train_seconds", F.lit((time.monotonic() - began) / max(1, len(data.drawn))))
 
 
 # Classifier name -> function of the fold data and a configuration. Add your own here.
@@ -245,9 +288,25 @@ TREES = ("DT", "RF", "GBOOST")
 PREDICTION = [*FOLD, "split", *WINDOW, "y", "p"]
 
 
+def settings_of(job: Job, classifier: str, config: dict | None = None) -> dict:
+    return grid.DEFAULTS.get(classifier, {}) | job.configs.get(classifier, {}) | (config or {})
+
+
 def predictions(data: Folds, classifier: str, config: dict | None = None) -> DataFrame:
-    settings = grid.DEFAULTS.get(classifier, {}) | data.job.configs.get(classifier, {}) | (config or {})
-    return CLASSIFIERS[classifier](data, settings)
+    return CLASSIFIERS[classifier](data, settings_of(data.job, classifier, config))
+
+
+def config_texts(job: Job) -> Column:
+    """The settings of a result row as JSON text, by its classifier and configuration number."""
+    texts = {}
+    for classifier in job.classifiers:
+        configs = grid.configurations(classifier) if job.grid_search else [{}]
+        for at, config in enumerate(configs):
+            searched = job.grid_search and len(configs) > 1
+            settings = grid.DEFAULTS.get(classifier, {}) | config if searched else settings_of(job, classifier, config)
+            texts[f"{classifier}:{at}"] = json.dumps(settings, sort_keys=True)
+    found = F.map_from_arrays(F.lit(list(texts)), F.lit(list(texts.values())))
+    return F.try_element_at(found, F.concat_ws(":", "classifier", "config"))
 
 
 def _inner_folds(data: Folds, inner: int) -> DataFrame:
@@ -327,10 +386,13 @@ def searched_predictions(data: Folds, classifier: str) -> DataFrame:
             choice = trees.settings(classifier, settings, len(data.features))
             found = trees.fit_predict(own, WINDOW, choice, FOLD)
         elif classifier == "ADA":
+            began = time.monotonic()
             found = adaboost.fit_predict(own, data.features, WINDOW, settings["n_estimators"], FOLD)
+            found = found.withColumn("train_seconds", F.lit(time.monotonic() - began))
         else:
             found = mllib.fit_predict(classifier, settings, own, data.features, WINDOW, [cell], FOLD)
-        parts.append(found.select(*PREDICTION).withColumn("config", F.lit(row["config"])))
+        kept = [*PREDICTION, "train_seconds"] if "train_seconds" in found.columns else PREDICTION
+        parts.append(found.select(*kept).withColumn("config", F.lit(row["config"])))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -351,7 +413,9 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
     its validation side holds no scored row, or its training side none, scores are NULL; `empty_test`
     says that a label is missing from the validation side, `empty_train` from the training side.
     Hold-out rows carry fold -1 and the number of the fold whose model scored them in `model_fold`.
+    `seed` is the round's, `timestamp` the start of the run, `config_text` the classifier's settings.
     """
+    began = F.lit(datetime.now(timezone.utc).isoformat(timespec="seconds")).cast("timestamp")
     columns = windows.feature_names(list(job.variables))
 
     def every(make: Callable[..., DataFrame]) -> DataFrame:
@@ -412,4 +476,23 @@ def experiment_results(features: DataFrame, scenarios: list[Scenario], job: Job)
         "fn",
         "empty_test",
         "empty_train",
+        F.col("round").alias("seed"),
+        began.alias("timestamp"),
+        config_texts(job).alias("config_text"),
     )
+
+
+def run(spark: SparkSession, root: str, out: str, scenarios: list[Scenario], job: Job) -> DataFrame:
+    """A whole run from a tree of CSV files: typed and cleaned recordings, features, folds and results are tables
+    below `out`, each written before the next reads it, so a part can be run again from what is there."""
+    tables.write_partitioned(recordings.scan_csv(spark, root), f"{out}/recordings", ["class_id"])
+    readings = spark.read.parquet(f"{out}/recordings")
+    tables.write_partitioned(clean_table(readings, list(job.variables), real_only=True), f"{out}/clean", ["class_id"])
+    clean_rows = spark.read.parquet(f"{out}/clean")
+    tables.write_partitioned(features_of(clean_rows, job), f"{out}/features", ["class_id"])
+    features = spark.read.parquet(f"{out}/features")
+    for scenario in scenarios:
+        tables.write_partitioned(folds_of(features, scenario, job), f"{out}/folds", ["case", "round"])
+    results = experiment_results(features, scenarios, job)
+    tables.write_partitioned(results, f"{out}/results", ["case"])
+    return spark.read.parquet(f"{out}/results")
