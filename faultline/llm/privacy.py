@@ -25,8 +25,11 @@ DAYS = (250, 292)
 # Fixed formats, as Java patterns; each alternative is judged again by its rule below. Quantifiers that end
 # before a character outside their class do not backtrack.
 #: Letters of scripts that put blanks between words: those of other scripts may stand right beside an address.
-SPACED = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
-MAIL = rf"[.%+\-]*+[{SPACED}0-9_][{SPACED}\p{{M}}0-9._%+'\-]*+@(?:[{SPACED}0-9][{SPACED}0-9\-]{{0,62}}+\.)+[{SPACED}]{{2,24}}"
+#: Latin, Greek and Cyrillic, as ranges: script classes are looked up character by character.
+SPACED = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u03ff\u0400-\u04ff"
+#: Accents that stand behind their letter.
+ACCENTS = "\u0300-\u036f"
+MAIL = rf"[.%+\-]*+[{SPACED}0-9_][{SPACED}{ACCENTS}0-9._%+'\-]*+@(?:[{SPACED}0-9][{SPACED}0-9\-]{{0,62}}+\.)+[{SPACED}]{{2,24}}"
 KEY = r"A[KS]IA[A-Z0-9]{16}"
 #: Makers' prefixes of tokens, and the three parts of a signed one; what follows the prefix is replaced.
 TOKEN_NAME = r"gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|pk_live_|sk_live_|rk_live_|hf_|npm_|AIza|eyJ"
@@ -64,9 +67,13 @@ _KINDS = {
 #: A match stands alone: no letter, digit or further part of a number before or after it. A mail address ends where
 #: no character of one follows.
 PATTERN = (
-    rf"(?<![{SPACED}\p{{M}}0-9._%+'\-]){MAIL}(?![{SPACED}0-9_])(?![.\-][0-9])|"
-    r"(?<![\p{L}\p{N}_:])(?<![0-9][.\-])(?:(?:" + ADDRESS6 + r")(?![\p{L}\p{N}_:]))|"
-    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:" + "|".join(f"(?:{p})" for k, p in _KINDS.items() if k not in ("mail", "address6")) + r")(?![\p{L}\p{N}_])(?![.\-][0-9])"
+    rf"(?<![{SPACED}{ACCENTS}0-9._%+'\-]){MAIL}(?![{SPACED}0-9_])(?![.\-][0-9])|"
+    # No form but a token's, a secret's or an address's begins with a small letter: a look at the first character
+    # spares trying the others at every word.
+    r"(?<![\p{L}\p{N}_])(?<![0-9][.\-])(?:(?=[A-Z+(0-9])(?:"
+    + "|".join(f"(?:{p})" for k, p in _KINDS.items() if k not in ("mail", "small iban", "address6"))
+    + rf")|(?:{TOKEN})|(?:{SECRET})|(?:{NAMED_SOCIAL})|(?:{SMALL_IBAN})|(?<!:)(?:{ADDRESS6})(?!:))"
+    + r"(?![\p{L}\p{N}_])(?![.\-][0-9])"
 )
 
 
