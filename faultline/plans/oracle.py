@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from faultline.models import grid
 from faultline.operators import windows
 from faultline.plans.queries import ENTROPY_M, EXACT, SEPARABLE, JOB, K, SKIPPED, SLIDE, TOLERANCE
@@ -433,6 +435,21 @@ def _pearson(columns: str) -> str:
     return _with("sides", extra=extra) + f"SELECT round, fold, split, a, b, {columns} FROM pairs"
 
 
+def _p_value(nodes: int = 64) -> str:
+    """The two-sided p-value of r over n rows: a Gauss-Legendre sum over cos(t)^(n - 3), by lgamma."""
+    x, w = (np.polynomial.legendre.leggauss(nodes)[k].tolist() for k in (0, 1))
+    norm = "(lgamma(n / 2 - 0.5) - lgamma(n / 2 - 1) - lgamma(0.5) + ln(2.0))"
+    start = "asin(abs(r))"
+    floor = f"(ln(cos({start})) - 46.0 / greatest(n - 3, 1e-9))"
+    half = f"((least(pi() / 2, acos(exp(least({floor}, 0)))) - {start}) / 2)"
+    term = f"({w})[i] * exp((n - 3) * ln(cos({start} + {half} * (({x})[i] + 1))) + {norm})"
+    area = f"list_sum(list_transform(range(1, {nodes + 1}), lambda i: {term})) * {half}"
+    return f"CASE WHEN n <= 2 THEN 1.0 WHEN abs(r) >= 1 THEN 0.0 ELSE least(1.0, {area}) END"
+
+
+_P_VALUE = _p_value()
+
+
 def _search_steps() -> dict[str, str]:
     inner = f"""SELECT * EXCLUDE (split), CAST(ntile(4) OVER (PARTITION BY round, fold
         ORDER BY md5(concat_ws('|', round, fold, class_id, instance_id, w)), {_KEYS}) - 1 AS INTEGER) AS own
@@ -669,6 +686,7 @@ def statements() -> dict[str, str]:
         + " FROM z"
     )
     sql["pearson_matrix"] = _pearson("n, round(r, 6) AS r")
+    sql["pearson_p"] = _pearson(f"n, round(r, 6) AS r, round({_P_VALUE}, 6) AS p_value")
     sql["pearson_f"] = _pearson("round(r * r * (n - 2) / nullif(1 - r * r, 0), 4) AS f_stat")
 
     shown = f"round, fold, {_KEYS}, y, p"

@@ -68,18 +68,20 @@ def test_correlation(table):
         assert row.r == pytest.approx(want, abs=1e-9) and row.n == len(part)
 
 
-@pytest.mark.parametrize("r, n", [(0.1, 20), (0.5, 12), (0.9, 8), (0.02, 5000), (0.2, 5000), (0.3, 3)])
-def test_p_value(r, n):
-    """Against a fine sum over the density of r under independence, (1 - r^2)^((n - 4) / 2)."""
-    t = np.linspace(0, math.pi / 2, 400_001)
-    density = np.exp((n - 3) * np.log(np.maximum(np.cos(t), 1e-300)))
-    tail = np.trapezoid(np.where(t >= math.asin(r), density, 0), t) / np.trapezoid(density, t)
-    assert correlation.beta_tail(n / 2 - 1, r * r) == pytest.approx(tail, rel=2e-3, abs=1e-5)
-
-
-def test_p_value_ends():
-    assert correlation.beta_tail(5, 1.0) == 0.0
-    assert correlation.beta_tail(5, 0.0) == pytest.approx(1.0)
+def test_p_values(spark):
+    """Against a fine sum over the density of r under independence, (1 - r^2)^((n - 4) / 2), and at its ends."""
+    cases = [(0.1, 20), (-0.5, 12), (0.9, 8), (0.02, 5000), (0.2, 5000), (0.3, 3), (1e-5, 10**10), (1.0, 9), (-1.0, 9), (0.0, 50), (0.7, 2)]
+    df = spark.createDataFrame(cases, "r double, n bigint")
+    for row in correlation.pearson_p(df).collect():
+        if row.n == 2 or row.r == 0 or abs(row.r) == 1:
+            want = float(row.n == 2 or row.r == 0)
+        elif row.n == 10**10:  # r sqrt(n) is normal by then
+            want = math.erfc(row.r * math.sqrt(row.n) / math.sqrt(2))
+        else:
+            t = np.linspace(0, math.pi / 2, 400_001)
+            density = np.exp((row.n - 3) * np.log(np.maximum(np.cos(t), 1e-300)))
+            want = np.trapezoid(np.where(t >= math.asin(abs(row.r)), density, 0), t) / np.trapezoid(density, t)
+        assert row.p_value == pytest.approx(want, rel=2e-3, abs=1e-5), row
 
 
 def numpy_discriminants(train, test):
