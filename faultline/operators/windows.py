@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.operators.ordering import ORDER, exclusive_sum, ordered, pieces, positions
+from faultline.operators import pieces
+from faultline.operators.ordering import ORDER, exclusive_sum, ordered, pieces as recording_pieces, positions
 from faultline.schema import RECORDING, VARIABLES
 
 # Statistic name -> aggregate, in feature order. Pass a longer dict to add your own.
@@ -91,10 +93,17 @@ def window_features(
 ) -> DataFrame:
     """Features of windows inside each recording; `keep` names columns fixed per recording.
 
-    Readings that carry `pos` and `n_rows` already are used as they are.
+    Readings are exchanged once, by range, and windows are summarised where their rows lie (`pieces`).
+    Readings that carry `pos` and `n_rows` already are used as they are, and statistics other than those of
+    `STATISTICS` are left to Spark's aggregates; both move the values of every window to one place.
     """
     if {"pos", "n_rows"} <= set(readings.columns):
         placed = readings.select(*RECORDING, *keep, "pos", "n_rows", *variables)
+    elif all(STATISTICS.get(name) is aggregate for name, aggregate in statistics.items()):
+        return pieces.window_features(
+            readings, size, step, variables, keep, list(statistics), order, drop_last, missing, parts,
+            assign_windows, partial(summarise, statistics=statistics),
+        )
     else:
         narrow = readings.select(*RECORDING, *keep, *order, *variables)
         placed = positions(narrow, RECORDING, order, parts)
@@ -119,7 +128,7 @@ def concat_positions(
     """
     unit = RECORDING + ["piece"]
     placed = ordered(readings, RECORDING, order, parts)
-    firsts = pieces(placed).select(*unit, "first_at")
+    firsts = recording_pieces(placed).select(*unit, "first_at")
     units = expand(placed.groupBy(*unit, *fixed).agg(F.count(F.lit(1)).alias("unit_n")))
     starts = exclusive_sum(units, group, unit, "unit_n", "start", "n_rows")
     places = (

@@ -520,6 +520,24 @@ def statements() -> dict[str, str]:
         + ", ".join(f"CAST(CAST({v} AS FLOAT) AS DOUBLE) AS {v}" for v in VARIABLES)
         + " FROM clean"
     )
+    dense = [
+        f"round({form.format(v=v)} OVER near, {4 if name in ('std', 'var') else 7}) AS {v}_{name}"
+        for v in ("v1", "v2")
+        for name, form in (
+            ("max", "max({v})"), ("mean", "avg({v})"), ("median", "quantile_cont({v}, 0.5)"), ("min", "min({v})"),
+            ("std", "stddev_samp({v})"), ("var", "var_samp({v})"),
+        )
+    ]
+    sql["window_features_dense"] = f"""WITH placed AS (
+        SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS class_id,
+          l_quantity AS v1, l_extendedprice / 1000 AS v2,
+          row_number() OVER (PARTITION BY class_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS w,
+          count(*) OVER (PARTITION BY class_id) AS n
+        FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND nullif(l_discount, 0) IS NOT NULL
+          AND l_tax IS NOT NULL AND l_linenumber IS NOT NULL),
+      every AS (SELECT class_id, class_id AS instance_id, w, n, {", ".join(dense)} FROM placed
+        WINDOW near AS (PARTITION BY class_id ORDER BY w ROWS BETWEEN CURRENT ROW AND 899 FOLLOWING))
+      SELECT * EXCLUDE (n) FROM every WHERE w + 901 <= n OR w = 0"""
     sql["cast_float_features"] = _with("feats") + (
         f"SELECT {_KEYS}, "
         + ", ".join(

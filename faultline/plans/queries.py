@@ -294,6 +294,14 @@ def window_features_tumbling(spark, folder):
     return _rounded(made, [*RECORDING, "well_id", "w"])
 
 
+@query
+def window_features_dense(spark, folder):
+    """Windows of 900 rows at every row, each class one long recording."""
+    rows = _clean(spark, folder).withColumn("instance_id", F.col("class_id").cast("bigint"))
+    made = windows.window_features(rows, 900, 1, ["v1", "v2"], keep=())
+    return _rounded(made, WINDOW)
+
+
 @query
 def window_features_sliding(spark, folder):
     made = windows.window_features(_clean(spark, folder), JOB.size, SLIDE)
