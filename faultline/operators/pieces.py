@@ -146,7 +146,7 @@ def _running_squares(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _windowed(column: np.ndarray, begin: np.ndarray, size: int, step: int, names: list[str], missing: bool) -> dict[str, np.ndarray]:
     """Statistics of the windows that begin at the rows `begin`."""
-    if size >= DENSE * step and len(begin) >= len(column) // (2 * step) and np.isfinite(column).all():
+    if size >= DENSE * step and len(begin) >= len(column) // (4 * step) and np.isfinite(column).all():
         made = _rolling(column, size, names)
         return {name: x[begin] for name, x in made.items()}
     views = np.lib.stride_tricks.sliding_window_view(column, size)
@@ -277,9 +277,47 @@ def window_features(
     begin, extra = F.col("w") * step, step if drop_last else 0
     given: Column = (F.col("run_first") <= begin) & (F.col("ended") | (begin + size + extra <= F.col("run_stop")))
     crossing = summarise(assigned.where(~given), [*fixed, "w"], variables, missing=missing)
+    if size >= DENSE * step:
+        # A window of one row to the next: copies of rows per window are left to what no single end can settle.
+        inner = edges.where((F.col("run_first") > 0) & ~F.col("ended"))
+        shortest = inner.agg(F.min(F.col("run_stop") - F.col("run_first"))).first()[0]
+        if shortest is None or shortest >= size + extra:
+            whole = F.col("n_rows") >= size
+            met = _across_ends(joined.where(whole), shape, columns, T.StructType(schema.fields[: len(fixed) + 1 + len(features)]))
+            rest = assign(joined.where(~whole), size, step, drop_last=drop_last).where(~given)
+            brief = summarise(rest, [*fixed, "w"], variables, missing=missing)
+            crossing = met.unionByName(brief.select(*fixed, "w", *features))
     return inside.unionByName(crossing.select(*fixed, "w", *features))
 
 
+def _across_ends(edges: DataFrame, shape: tuple, columns: tuple, schema: T.StructType) -> DataFrame:
+    """The windows that cross the end of a run, summarised where the rows on its two sides meet.
+
+    Runs between two ends are at least a window and a step long, so a window crosses one end only.
+    """
+    size, step, drop_last, missing = shape
+    fixed, variables, names = columns
+    extra = step if drop_last else 0
+    pos, begin, stop = F.col("pos"), F.col("run_first"), F.col("run_stop")
+    after = F.when((begin > 0) & (pos < begin + size + extra), begin)
+    until = F.when(~F.col("ended") & (pos >= stop - size - extra), stop)
+    met = edges.withColumn("end", F.explode(F.array_compact(F.array(after, until))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        end, n, base = (table.column(c)[0].as_py() for c in ("end", "n_rows", "pos"))
+        last = max((n - size) // step - (1 if drop_last else 0), 0)
+        w = np.arange(max(-(-(end - size - extra + 1) // step), 0), min((end - 1) // step, last) + 1)
+        out = table.select(fixed).take(pa.array(np.zeros(len(w), np.int64))).append_column("w", pa.array(w, pa.int64()))
+        for v in variables:
+            made = _windowed(_floats(table.column(v)), w * step - base, size, step, names, missing) if len(w) else {}
+            for name in names:
+                out = out.append_column(f"{v}_{name}", pa.array(made.get(name, np.zeros(0)), pa.float64(), from_pandas=True))
+        return out
+
+    return met.groupBy(*RECORDING, "end").applyInArrow(run, schema)
+
+
 _PLAIN = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_()}
 
 

@@ -41,3 +41,30 @@ def test_recordings_are_summarised_together():
     assert got == [(0, 0, 3.0, 1.5), (0, 1, 5.0, 3.5), (1, 0, 8.0, 7.0), (2, 1, 12.0, 10.5), (2, 2, 14.0, 12.5)]
     assert set(edge.column("class_id").to_pylist()) == {2}
     assert edge.column("pos").to_pylist() == [2, 3, 4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("drop_last", [True, False])
+@pytest.mark.parametrize("parts", [3, 7, 40])
+def test_dense_windows_across_ranges(spark, monkeypatch, parts, drop_last):
+    """Windows at every row or two, over ranges longer and shorter than a window, against a plain loop."""
+    from faultline.operators import windows
+
+    crossed = []
+    plain = pieces._across_ends
+    monkeypatch.setattr(pieces, "_across_ends", lambda *a: crossed.append(1) or plain(*a))
+    rng = np.random.default_rng(parts)
+    values = {0: rng.normal(size=700), 1: rng.normal(size=20), 2: rng.normal(size=33), 3: rng.normal(size=32)}
+    rows = [(0, k, i, 0, float(x)) for k, v in values.items() for i, x in enumerate(v)]
+    readings = spark.createDataFrame(rows, "class_id int, instance_id long, ts long, seq int, v1 double").repartition(4)
+    for step in (1, 2):
+        made = windows.window_features(readings, 32, step, ["v1"], keep=(), drop_last=drop_last, parts=parts).toPandas()
+        want = {}
+        for k, v in values.items():
+            n = max((len(v) - 32) // step + (0 if drop_last else 1), 1)
+            want |= {(k, w): v[w * step : w * step + 32] for w in range(n)}
+        got = {(r.instance_id, r.w): r for r in made.itertuples()}
+        assert got.keys() == want.keys() and len(made) == len(want)
+        for at, x in want.items():
+            shown = [getattr(got[at], f"v1_{s}") for s in NAMES]
+            np.testing.assert_allclose(shown, [x.max(), x.mean(), np.median(x), x.min(), x.std(ddof=1), x.var(ddof=1)], rtol=1e-9)
+    assert crossed or parts == 40
