@@ -23,6 +23,8 @@ from faultline.session import stage
 #: Rows of a block of points and of queries: with 30 features a task takes about 600 MB for them.
 POINT_ROWS = 600_000
 QUERY_ROWS = 150_000
+#: Pairs of blocks that a core takes one after the other, at least.
+TURNS = 3
 SLICE = 2_000_000
 #: Points of a cell, main axes that are looked at first, queries at once, and cells that give the first bound.
 CELL = 256
@@ -275,23 +277,15 @@ def neighbours(
         share = max_train_rows / F.col("points")
         even = F.pmod(F.xxhash64(F.lit(1), *features), F.lit(1 << 30)) / float(1 << 30)
         points = points.join(F.broadcast(sizes), by).where(even < share).drop("points", "queries")
-    # Enough blocks for the rows they may hold; queries also for every core to have some.
-    spark = query.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    groups = Window.partitionBy(F.lit(0))
-    cut = sizes.select(
-        *by,
-        F.ceil(F.col("points") / point_rows).cast("int").alias("point_blocks"),
-        F.greatest(F.ceil(F.col("queries") / query_rows), F.ceil(tasks / F.count(F.lit(1)).over(groups)))
-        .cast("int")
-        .alias("query_blocks"),
-    )
-    cut = F.broadcast(stage(cut))  # one row per group
+    cut = stage(_block_counts(sizes, by, point_rows, query_rows))
+    pairs = cut.agg(F.sum(F.col("point_blocks") * F.col("query_blocks"))).first()[0] or 1
+    cut = F.broadcast(cut)  # one row per group
 
     def dealt(df: DataFrame, own: str, other: str, on: list[str]) -> DataFrame:
         mine = F.pmod(F.xxhash64(*on), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
         each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        return df.join(cut, by).select(*df.columns, mine, each)
+        # Many more partitions than pairs, so that few share one; a number given is not coalesced to fewer.
+        return df.join(cut, by).select(*df.columns, mine, each).repartition(4 * pairs, *block)
 
     block = [*by, "point_block", "query_block"]
     left = dealt(points, "point", "query", features).groupBy(*block)
@@ -315,6 +309,23 @@ def neighbours(
     return merged.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n")).select(*kept, "n.*")
 
 
+def _block_counts(sizes: DataFrame, by: list[str], point_rows: int, query_rows: int) -> DataFrame:
+    """(by, point_blocks, query_blocks): enough for the rows they may hold; of queries also for every core to have some.
+
+    Each block of queries more is a copy of the points and a tree of them, so their number goes by cores, not by
+    shuffle partitions.
+    """
+    tasks = TURNS * sizes.sparkSession.sparkContext.defaultParallelism
+    groups = Window.partitionBy(F.lit(0))
+    return sizes.select(
+        *by,
+        F.ceil(F.col("points") / point_rows).cast("int").alias("point_blocks"),
+        F.greatest(F.ceil(F.col("queries") / query_rows), F.ceil(tasks / F.count(F.lit(1)).over(groups)))
+        .cast("int")
+        .alias("query_blocks"),
+    )
+
+
 def _sizes(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
@@ -329,15 +340,19 @@ def _combine(found: DataFrame, kept: list[str], k: int) -> DataFrame:
     return merged.select(*kept, *(F.col("n")[c].alias(c) for c in ("d", "label", "copies")))
 
 
-def _used(k: Column | int, kept: list[str]) -> Column:
-    """How many of a neighbour's copies are among the k nearest."""
+def _earlier(kept: list[str]) -> Column:
+    """Copies of the nearer neighbours."""
     earlier = (
         Window.partitionBy(*kept)
         .orderBy("d", "label")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.coalesce(F.sum("copies").over(earlier), F.lit(0))
-    return F.greatest(F.least(F.col("copies"), k - before), F.lit(0))
+    return F.coalesce(F.sum("copies").over(earlier), F.lit(0))
+
+
+def _used(k: int, before: Column) -> Column:
+    """How many of a neighbour's copies are among the k nearest."""
+    return F.greatest(F.least(F.col("copies"), F.lit(k) - before), F.lit(0))
 
 
 def vote_distance(near: DataFrame, k: int, keys: list[str], by=["round", "fold"]) -> DataFrame:
@@ -346,7 +361,7 @@ def vote_distance(near: DataFrame, k: int, keys: list[str], by=["round", "fold"]
     The larger sum wins, the smaller label among equals.
     """
     kept = [*by, *keys, "y"]
-    counted = near.withColumn("used", _used(F.lit(k), kept)).where(F.col("used") > 0)
+    counted = near.withColumn("used", _used(k, _earlier(kept))).where(F.col("used") > 0)
 
     def weight(label: int) -> Column:
         own = F.col("label") == label
@@ -366,13 +381,14 @@ def vote_uniform(
 ) -> DataFrame:
     """Plain majority among the k nearest, for every k of `ks`, numbered by `config`."""
     kept = [*by, *keys, "y"]
-    configs = F.posexplode(F.lit(ks)).alias("config", "k")
-    per_k = near.select("*", configs)
-    used = _used(F.col("k"), [*kept, "config"])
-    one = F.sum(F.when(F.col("label") == 1, F.col("used")).otherwise(0))
-    zero = F.sum(F.when(F.col("label") == 0, F.col("used")).otherwise(0))
-    return (
-        per_k.withColumn("used", used)
-        .groupBy(*kept, "config", "k")
-        .agg(F.when(one > zero, 1).otherwise(0).alias("p"))
-    )
+
+    def vote(k: int) -> Column:
+        used = _used(k, F.col("before"))
+        one = F.sum(F.when(F.col("label") == 1, used).otherwise(0))
+        zero = F.sum(F.when(F.col("label") == 0, used).otherwise(0))
+        return F.when(one > zero, 1).otherwise(0)
+
+    # One pass over the neighbours serves all k.
+    votes = F.array(*(F.struct(F.lit(k).alias("k"), vote(k).alias("p")) for k in ks)).alias("votes")
+    voted = near.withColumn("before", _earlier(kept)).groupBy(*kept).agg(votes)
+    return voted.select(*kept, F.posexplode("votes").alias("config", "vote")).select(*kept, "config", "vote.k", "vote.p")

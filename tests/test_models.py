@@ -197,6 +197,18 @@ def test_neighbours_in_thirty_dimensions(spark):
     assert fewer.select("id").distinct().count() == 100
 
 
+def test_blocks_go_by_cores_not_by_shuffle_partitions(spark):
+    sizes = spark.createDataFrame([(0, 500_000, 90_000), (1, 2_000_000, 10)], "g int, points long, queries long")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        rows = neighbours._block_counts(sizes, ["g"], 600_000, 50_000).orderBy("g").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    each = -(-neighbours.TURNS * spark.sparkContext.defaultParallelism // 2)
+    assert [(r.point_blocks, r.query_blocks) for r in rows] == [(1, max(2, each)), (4, max(1, each))]
+
+
 def test_votes(spark):
     rows = [
         (1, 0, 0.0, 1, 1), (1, 0, 0.1, 0, 5),
