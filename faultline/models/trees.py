@@ -7,7 +7,8 @@ every cell (a round and fold, say) grows level by level from sums per node, feat
   open nodes of all cells and trees, the sums of a node's feature are merged where its best cut is chosen, and one
   line per node and feature comes back;
 * a node of at most `LOCAL_ROWS` training rows is finished in one task, which gets its training rows and those to
-  predict. A cell that is small as a whole is dealt out by runs of trees, so its rows travel once per run.
+  predict. A cell that a task can hold as a whole (`CELL_ROWS`) is dealt out by runs of trees instead, so its rows
+  travel once per run, not once per tree.
 
 Both take the same cuts, so where the border lies changes no tree. Nodes are named by their path from the root;
 which features a node tries, random cuts and the rows of a forest's tree follow from hashes of path, seed and row key,
@@ -35,6 +36,10 @@ from faultline.session import stage
 BINS = 256
 #: Training rows of a node that one task finishes.
 LOCAL_ROWS = 50_000
+#: Training rows of a cell that one task holds, about 1 GB with 30 features and a fifth as many rows to predict.
+CELL_ROWS = 2_500_000
+#: Rows times trees that grow at once: a larger cell's trees grow one by one, which stays nearer to the cache.
+ENTRIES = 100_000
 #: Training rows of a cell whose boosting runs in one task: 30 bytes each at 30 features.
 BOOSTED_ROWS = 1_000_000
 #: Trees of one cell that a task grows side by side.
@@ -238,14 +243,24 @@ def finish(bins, target, row, node, w, asked, asked_node, path, depth: int, choi
 def grow(bins, label, key, trains, seed: int, trees: np.ndarray, choice: Settings) -> np.ndarray:
     """The sum over whole trees of the value of each row that does not train."""
     train, ask = np.flatnonzero(trains), np.flatnonzero(~trains)
-    path = roots(seed, trees)
+    each = max(1, ENTRIES // max(len(trains), 1))
+    out = np.zeros(len(ask))
+    for at in range(0, len(trees), each):
+        for value in _grow_some(bins, label, key, train, ask, roots(seed, trees[at : at + each]), choice):
+            out += value
+    return out
+
+
+def _grow_some(bins, label, key, train, ask, path, choice: Settings) -> np.ndarray:
+    """The value of each asked row in each tree."""
+    trees = path
     tree = np.repeat(np.arange(len(trees)), len(train))
     row = np.tile(train, len(trees))
     w = drawn(key[row], path[tree]) if choice.bootstrap else np.ones(len(row))
     row, tree, w = row[w > 0], tree[w > 0], w[w > 0]
     asked, asked_tree = np.tile(ask, len(trees)), np.repeat(np.arange(len(trees)), len(ask))
     value = finish(bins, label, row, tree, w, asked, asked_tree, path, 0, choice)
-    return value.reshape(len(trees), len(ask)).sum(axis=0)
+    return value.reshape(len(trees), len(ask))
 
 
 def boost(bins, label, trains, seed: int, choice: Settings) -> np.ndarray:
@@ -297,9 +312,14 @@ def binned(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    joined = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-    return joined.reshape(len(data), -1)
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    joined = []
+    for data in parts:
+        kind = np.int64 if pa.types.is_large_binary(data.type) else np.int32
+        edges = np.frombuffer(data.buffers()[1], kind)[data.offset : data.offset + len(data) + 1]
+        if len(data):
+            joined.append(np.frombuffer(data.buffers()[2], np.uint8)[edges[0] : edges[-1]])
+    return np.concatenate(joined or [np.zeros(0, np.uint8)]).reshape(len(column), -1)
 
 
 def _numbers(table, name: str, kind) -> np.ndarray:
@@ -320,8 +340,9 @@ def fit_predict(
     of a cell's trees is its `seed` column. `train_seconds` is the time tasks spent growing the cell's trees.
     """
     local = local_rows or (BOOSTED_ROWS if choice.boosted else LOCAL_ROWS)
-    sizes = rows.where(F.col("split") == "train").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    large = [tuple(r)[:-1] for r in sizes.where(F.col("n") > local).collect()]
+    held = local_rows or (BOOSTED_ROWS if choice.boosted else CELL_ROWS)
+    sizes = rows.where(F.col("split") == "train").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+    large = [tuple(r)[:-1] for r in sizes if r.n > held]
     if large and choice.boosted:
         raise ValueError(f"boosting takes at most {local} training rows in a fold")
     named = rows.withColumn("seed", F.col(seed).cast("bigint")) if seed in by else rows.withColumn("seed", F.lit(0).cast("bigint"))
@@ -332,7 +353,9 @@ def fit_predict(
             same = same & F.col(c).eqNullSafe(F.lit(v))
         is_large = is_large | same
     small = named.where(~is_large) if large else named
-    found = _whole_cells(small, keys, choice, by)
+    # Cells that take long get a task for each run of trees.
+    apart = len(sizes) - len(large) if any(LOCAL_ROWS < r.n <= held for r in sizes) else None
+    found = _whole_cells(small, keys, choice, by, apart)
     if large:
         found = found.unionByName(_Top(named.where(is_large), keys, choice, by, large, local).values())
     found = stage(found)
@@ -369,16 +392,20 @@ def _valued(table: pa.Table, ask: np.ndarray, names: list[str], part: int, value
     return out
 
 
-def _whole_cells(rows: DataFrame, keys: list[str], choice: Settings, by: list[str]) -> DataFrame:
-    """Values of cells that are small as a whole: a task per cell and run of trees."""
+def _whole_cells(rows: DataFrame, keys: list[str], choice: Settings, by: list[str], apart: int | None = None) -> DataFrame:
+    """Values of cells that a task can hold: a group per cell and run of trees, for `apart` cells nearly a task each."""
     names = [*by, "split", *keys, "label"]
     parts = 1 if choice.boosted else -(-choice.trees // TREES_EACH)
     dealt = rows.withColumn("part", F.explode(F.lit(list(range(parts))).cast("array<bigint>")))
+    if apart is not None:
+        # A number that is given is not coalesced to fewer.
+        dealt = dealt.repartition(4 * apart * parts, *by, "part")
 
     def run(table: pa.Table) -> pa.Table:
         began = time.process_time()
-        # Sums of targets depend on order, if only in the last digit.
-        table = table.sort_by("key")
+        if choice.boosted:
+            # Sums of targets depend on order, if only in the last digit; those of labels and draws are whole.
+            table = table.sort_by("key")
         bins, label, trains = _unpacked(table.column("bins")), _numbers(table, "label", float), _numbers(table, "split", object) == "train"
         part, seed = table.column("part")[0].as_py(), table.column("seed")[0].as_py()
         if choice.boosted:

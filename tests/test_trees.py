@@ -105,6 +105,19 @@ def test_against_a_plain_learner(table, name, local, monkeypatch):
         assert (mine["y"].to_numpy() == want["label"]).all()
 
 
+def test_a_cell_that_a_task_can_hold_is_not_written_per_tree(table, monkeypatch):
+    choice = Settings(trees=5, features=2, bootstrap=True)
+    whole = trees.fit_predict(table, ["w"], choice, BY).toPandas().set_index(["w", *BY])["p"].sort_index()
+
+    def top(*_):
+        raise AssertionError("rows are written once per tree")
+
+    monkeypatch.setattr(trees, "_Top", top)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 40)
+    got = trees.fit_predict(table, ["w"], choice, BY).toPandas().set_index(["w", *BY])["p"].sort_index()
+    assert got.equals(whole)
+
+
 def test_rounds_draw_other_forests_and_rows_do_not_depend_on_order(table):
     choice = Settings(trees=5, features=2, bootstrap=True)
     got = trees.fit_predict(table, ["w"], choice, BY).toPandas().set_index(["w", *BY])["p"].sort_index()
