@@ -35,6 +35,8 @@ WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 #: No word is empty, so an empty text pads a window.
 PAD = ""
 SLICE_BYTES = 1 << 21
+#: Windows that a task holds before it gives them out.
+HELD_WINDOWS = 1 << 19
 #: Bits of the filter at most: 16 MB in every worker.
 FILTER_BITS = 1 << 27
 _PAGE_BITS = 1 << 15
@@ -185,8 +187,44 @@ def _filter(hashes: DataFrame, least: int, bits: int, more: list[tuple[int, byte
 # ---- windows and counts --------------------------------------------------------------------------
 
 
-def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
-    """(lang, w1 .. w5, n): the padded windows of a slice; words that begin none are a window of pads."""
+class _Held:
+    """The windows a task has met, each once with its count; given out when they are many."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.row, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.batches: list[pa.RecordBatch] = []
+
+    def add(self, keys: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Take the windows of a slice; `keys` are their hashes, no two alike."""
+        n = batch.column("n").to_numpy()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        self.n[self.row[at[known]]] += n[known]
+        new = np.flatnonzero(~known)
+        rows = np.append(self.row, len(self.n) + np.arange(len(new)))
+        joined = np.append(self.keys, keys[new])
+        order = np.argsort(joined, kind="stable")
+        self.keys, self.row, self.n = joined[order], rows[order], np.append(self.n, n[new])
+        self.batches.append(batch.take(pa.array(new)))
+        if len(self.n) >= HELD_WINDOWS:
+            yield from self.give()
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        start = 0
+        for batch in self.batches:
+            if batch.num_rows:
+                n = pa.array(self.n[start : start + batch.num_rows])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=batch.schema.names)
+            start += batch.num_rows
+        self._clear()
+
+
+def _windows_of(words: _Words, bits: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Hashes, and (lang, w1 .. w5, n), of the padded windows of a slice; words that begin none are a window of pads."""
     n = len(words.starts)
     pairs, triples, at = words.passing(bits), np.zeros(n, bool), _triples(words, bits)
     triples[at] = _passes(bits, words.triple_hashes(at))
@@ -203,7 +241,7 @@ def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
         key[at] = mix(key[at] * _RADIX + words.hashes[at + k])
         length[at] += 1
     at = np.flatnonzero(begins)
-    _, first, counts = np.unique(mix(key[at] + length[at].astype(np.uint64)), return_index=True, return_counts=True)
+    keys, first, counts = np.unique(mix(key[at] + length[at].astype(np.uint64)), return_index=True, return_counts=True)
     shown = at[first]
     others = np.bincount(words.lang[~begins], minlength=len(words.langs))
     rest = others[others > 0]
@@ -214,7 +252,8 @@ def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
         chosen = np.append(np.minimum(shown + k, n - 1), np.zeros(len(rest), np.int64))
         columns[name] = words.texts(chosen, padded)
     columns["n"] = pa.array(np.concatenate([counts, rest]).astype(np.int64))
-    return pa.record_batch(columns)
+    padded = mix(span_hashes(*_spans(words.langs)) * _RADIX)[others > 0]
+    return np.append(keys, padded), pa.record_batch(columns)
 
 
 def windows(texts: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -230,8 +269,10 @@ def windows(texts: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> Dat
 
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Held()
         for words in _slices(batches):
-            yield _windows_of(words, both.held())
+            yield from met.add(*_windows_of(words, both.held()))
+        yield from met.give()
 
     schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "n bigint"])
     return texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
