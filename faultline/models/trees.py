@@ -15,8 +15,8 @@ which features a node tries, random cuts and the rows of a forest's tree follow
 so nothing depends on partitions or order. No tree is gathered: rows are predicted where their leaf is found.
 
 A node splits if it has `min_samples_split` rows, both labels and less than the greatest depth, at the cut of
-least impurity between two bins that occur in it, at their middle bin; ties go to the feature tried first and
-the lower bin. Where none of the features a node may try can split it, it tries the others. Depth has no bound.
+least impurity between two bins that occur in it, at the middle of their greatest values (at their middle bin, if
+`Settings.tops` does not tell these); ties go to the feature tried first and the lower bin. Where none of the features a node may try can split it, it tries the others. Depth has no bound.
 Missing values share the last bin. A tree without training rows predicts 0.
 """
 
@@ -50,7 +50,7 @@ OPEN_NODES = 1024
 
 @dataclass(frozen=True)
 class Settings:
-    """`features` a node tries, None for all; `bootstrap` draws each tree's rows with replacement."""
+    """`features` a node tries, None for all; `bootstrap` draws each tree's rows with replacement; `tops` of `bin_tops`."""
 
     trees: int = 1
     criterion: str = "gini"
@@ -61,11 +61,12 @@ class Settings:
     bootstrap: bool = False
     boosted: bool = False
     rate: float = 0.1
+    tops: np.ndarray | None = field(default=None, compare=False, repr=False)
 
 
-def settings(name: str, config: dict, width: int) -> Settings:
+def settings(name: str, config: dict, width: int, tops: np.ndarray | None = None) -> Settings:
     """Of a tree (DT), a forest (RF) that tries the root of the number of features, or boosted trees (GBOOST)."""
-    shared = {"max_depth": config.get("max_depth"), "min_samples_split": config.get("min_samples_split", 2)}
+    shared = {"max_depth": config.get("max_depth"), "min_samples_split": config.get("min_samples_split", 2), "tops": tops}
     if name == "DT":
         return Settings(criterion=config["criterion"], splitter=config.get("splitter", "best"), **shared)
     if name == "RF":
@@ -138,6 +139,17 @@ def _purity(criterion: str, lw, lp, rw, rp) -> np.ndarray:
     return lp * lp / lw + rp * rp / rw
 
 
+def _middle(tops: np.ndarray, feature, low, high) -> np.ndarray:
+    """The last bin that ends no higher than the middle of the greatest values of two bins, at least the lower one."""
+    with np.errstate(invalid="ignore"):
+        middle = tops[feature, low] / 2 + tops[feature, high] / 2
+    while (high - low > 1).any():
+        at = (low + high) >> 1
+        below = (tops[feature, at] <= middle) | (at == low)
+        low, high = np.where(below, at, low), np.where(below, high, at)
+    return low
+
+
 def pick(key, w, p, total_w, total_p, path, order, choice: Settings):
     """The best cut of each node that has one: (node, purity, bin, left weight, left sum).
 
@@ -165,6 +177,8 @@ def pick(key, w, p, total_w, total_p, path, order, choice: Settings):
     best = np.maximum.reduceat(purity, begin)
     hit = np.flatnonzero(purity == np.repeat(best, np.diff(np.append(begin, len(at)))))
     chosen = hit[np.flatnonzero(np.diff(at[hit], prepend=-1))]
+    if choice.tops is not None and choice.splitter != "random":
+        cut[chosen] = _middle(choice.tops, order[at[chosen]], bin_[to[chosen]], bin_[to[chosen] + 1])
     return at[chosen], purity[chosen], cut[chosen], lw[chosen], lp[chosen]
 
 
@@ -287,14 +301,28 @@ def boost(bins, label, trains, seed: int, choice: Settings) -> np.ndarray:
 # ---- rows ----------------------------------------------------------------------------------------
 
 
-def binned(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """`rows` with `bins`, a byte per feature, in the features' place, and `key`, a hash of the keys; staged.
+def bin_tops(rows: DataFrame, features: list[str]) -> np.ndarray:
+    """The greatest value of each bin, a line per feature: quantiles of all rows' values, their maximum, then infinity.
 
-    Bins end at quantiles of all rows' values; labels are not looked at. Their ends are the only thing gathered.
+    Labels are not looked at. This is the only thing gathered.
     """
     shares = [(k + 1) / BINS for k in range(BINS - 1)]
-    found = rows.agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in features)).first()
-    ends = [np.unique(np.array(found[c] if found[c] is not None else [], float)) for c in features]
+    ends = [F.percentile_approx(c, shares, 10_000) for c in features]
+    found = rows.agg(*ends, *(F.max(c) for c in features)).first()
+    tops = np.full((len(features), BINS), np.inf)
+    for line, values, greatest in zip(tops, found, found[len(features) :]):
+        if values is not None:
+            known = np.append(np.unique(np.array(values, float)), float(greatest))
+            line[: len(known)] = known
+    return tops
+
+
+def binned(rows: DataFrame, features: list[str], keys: list[str], tops: np.ndarray | None = None) -> DataFrame:
+    """`rows` with `bins`, a byte per feature, in the features' place, and `key`, a hash of the keys; staged.
+
+    Bins end at `tops`, those of `bin_tops` if not given.
+    """
+    tops = bin_tops(rows, features) if tops is None else tops
     others = [c for c in rows.columns if c not in features]
     schema = T.StructType([rows.schema[c] for c in others] + [T.StructField("bins", T.BinaryType())])
 
@@ -303,7 +331,7 @@ def binned(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
             wide = np.empty((batch.num_rows, len(features)), np.uint8)
             for k, c in enumerate(features):
                 values = batch.column(c).to_numpy(zero_copy_only=False).astype(float)
-                wide[:, k] = np.where(np.isnan(values), BINS - 1, np.searchsorted(ends[k], values))
+                wide[:, k] = np.where(np.isnan(values), BINS - 1, np.searchsorted(tops[k, : BINS - 1], values))
             cut = np.arange(batch.num_rows + 1, dtype=np.int32) * len(features)
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cut), pa.py_buffer(wide)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), packed], names=[*others, "bins"])

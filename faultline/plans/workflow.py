@@ -8,6 +8,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import cached_property, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.functions import names
@@ -144,15 +145,24 @@ class Folds:
             self._sides = stage(standardize(both, scaler, self.features, FOLD))
         return self._sides
 
+    @cached_property
+    def _unbinned(self) -> DataFrame:
+        columns = [*FOLD, *WINDOW, "label", *self.features]
+        rows = self.rows.select(*columns, F.lit("own").alias("split"))
+        if self.holdout is None:
+            return rows
+        return rows.unionByName(self.holdout.select(*columns, F.lit("test").alias("split")))
+
+    @cached_property
+    def bin_tops(self) -> np.ndarray:
+        """The greatest values of the bins of `binned`."""
+        return trees.bin_tops(self._unbinned, self.features)
+
     @property
     def binned(self) -> DataFrame:
         """Rows of every fold and side for the tree models: binned once, copied per fold only as they are read."""
-        columns = [*FOLD, *WINDOW, "label", *self.features]
         if self._binned is None:
-            rows = self.rows.select(*columns, F.lit("own").alias("split"))
-            if self.holdout is not None:
-                rows = rows.unionByName(self.holdout.select(*columns, F.lit("test").alias("split")))
-            self._binned = trees.binned(rows, self.features, ["round", *WINDOW])
+            self._binned = trees.binned(self._unbinned, self.features, ["round", *WINDOW], self.bin_tops)
         own = folds.expand_folds(self._binned.where(F.col("split") == "own").drop("split"), self.k)
         own = own.where(F.col("fold") < self.limit())
         return own if self.holdout is None else own.unionByName(self._binned.where(F.col("split") == "test"))
@@ -252,7 +262,7 @@ def _trees(name: str) -> Predict:
     def run(data: Folds, config: dict) -> DataFrame:
         if name == "GBOOST" and not trees.boosts(data.binned, FOLD):
             return _library(name)(data, config)
-        return trees.fit_predict(data.binned, WINDOW, trees.settings(name, config, len(data.features)), FOLD)
+        return trees.fit_predict(data.binned, WINDOW, trees.settings(name, config, len(data.features), data.bin_tops), FOLD)
 
     return run
 
@@ -342,8 +352,9 @@ def search_library(
     """The same for a library model or boosting: configurations and inner folds in a loop."""
     by = [*FOLD, "inner"]
     if classifier in TREES:
-        rows = trees.binned(_inner_folds(data, inner), data.features, ["round", *WINDOW])
-        cut = folds.expand_folds(rows, inner, "inner")
+        rows = _inner_folds(data, inner)
+        tops = trees.bin_tops(rows, data.features)
+        cut = folds.expand_folds(trees.binned(rows, data.features, ["round", *WINDOW], tops), inner, "inner")
     else:
         cut = stage(folds.expand_folds(inner_tables(data, inner), inner, "inner"))
     cells = [(*c, i) for c in data.cells() for i in range(inner)]
@@ -351,7 +362,7 @@ def search_library(
     for at, config in enumerate(configs):
         settings = grid.DEFAULTS.get(classifier, {}) | config
         if classifier in TREES:
-            choice = trees.settings(classifier, settings, len(data.features))
+            choice = trees.settings(classifier, settings, len(data.features), tops)
             found = trees.fit_predict(cut, WINDOW, choice, by)
         elif classifier == "ADA":
             found = adaboost.fit_predict(cut, data.features, WINDOW, settings["n_estimators"], by)
@@ -383,7 +394,7 @@ def searched_predictions(data: Folds, classifier: str) -> DataFrame:
         settings = grid.DEFAULTS.get(classifier, {}) | configs[row["config"]]
         own = (data.binned if classifier in TREES else data.sides).where(here)
         if classifier in TREES:
-            choice = trees.settings(classifier, settings, len(data.features))
+            choice = trees.settings(classifier, settings, len(data.features), data.bin_tops)
             found = trees.fit_predict(own, WINDOW, choice, FOLD)
         elif classifier == "ADA":
             began = time.monotonic()

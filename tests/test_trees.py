@@ -197,3 +197,27 @@ def test_a_line_of_rows_gives_a_tree_deeper_than_any_bound(spark):
     both = rows.unionByName(rows.withColumn("split", F.lit("valid")))
     got = trees.fit_predict(both, ["w"], Settings(), BY).toPandas().sort_values("w")
     assert (got["p"].to_numpy() == np.arange(n) % 2).all()
+
+
+def test_cuts_lie_in_the_middle_of_values_not_of_bins(spark):
+    """Rows to predict on both sides of a wide gap, one bin to the right of those that train or eight to its left."""
+    own = [(1.0, 0, "train"), (9.0, 0, "valid"), (1041.0, 1, "valid"), (1045.0, 1, "train"), (None, 0, "valid")]
+    own += [(2.0 + k, 0, "valid") for k in range(7)]
+    for sign in (1, -1):
+        rows = [(sign * a if a is not None else None, label, w, split) for w, (a, label, split) in enumerate(own)]
+        df = spark.createDataFrame(rows, "a double, label int, w bigint, split string")
+        tops = trees.bin_tops(df, ["a"])
+        cells = trees.binned(df, ["a"], ["w"], tops).withColumns({"round": F.lit(1), "fold": F.lit(0)})
+        for config in ("DT", {"criterion": "gini"}), ("GBOOST", {"n_estimators": 2, "max_depth": 1}):
+            choice = trees.settings(*config, 1, tops)
+            for local in (None, 1):
+                if choice.boosted and local:
+                    continue
+                got = trees.fit_predict(cells, ["w"], choice, BY, local_rows=local).where("w != 4").toPandas()
+                assert len(got) == 9 and (got["p"] == got["y"]).all()
+
+
+def test_middle_of_values_among_bins():
+    tops = np.array([[1.0, 2.0, 3.0, 10.0, 11.0, np.inf], [-np.inf, 0.0, 5.0, 6.0, np.inf, np.inf]])
+    feature, low, high = np.array([0, 0, 0, 1, 1]), np.array([0, 2, 3, 0, 1]), np.array([4, 4, 5, 5, 3])
+    assert trees._middle(tops, feature, low, high).tolist() == [2, 2, 4, 0, 1]
