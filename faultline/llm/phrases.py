@@ -1,20 +1,21 @@
-"""Phrases whose words occur together: counts of all phrases from one table of longest windows.
+"""Phrases whose words occur together: counts of phrases by their words, from short ones to long ones.
 
-A window is a word and the four words it leads in its piece of text, padded where the piece ends. Every phrase of
-up to five words begins exactly one window wherever it occurs, so counts of longest windows hold all counts:
-Spark's ROLLUP over the window's columns sums them to those of ever shorter prefixes. No text is taken apart into
-pairs, triples and so on, and the total of a language falls out of the same ROLLUP.
+A first pass counts every word and every pair. Phrases of three words and more need no count of all: only phrases of
+`least` occurrences matter, and these consist of pairs and triples that have as many. So a second pass counts the
+triples of two frequent pairs, a third one the phrases of four and five words that consist of frequent triples. Each
+phrase is counted once, in the pass of its size; the total of a language comes with its words.
 
-Only phrases of `least` occurrences matter, and these consist of words, pairs and triples that have as many. Two
-passes count hashes, of words and pairs, then of triples of frequent pairs; a bit filter of fixed size holds the
-frequent ones. A window then ends before the first word that makes no frequent pair or triple with those before,
-and is left out, but for its language's total, where its first word is rare. The filter lets a rare one through
-at worst, which costs a row and changes no result: what is counted is judged exactly. Where frequent ones
-outgrow the filter it spares less, down to every window being counted whole.
+A bit filter of fixed size, of hashes, holds the frequent pairs, then the triples. It lets a rare one through at worst,
+which costs a row and changes no result: what is counted is judged exactly. Where frequent ones outgrow the
+filter it spares less, down to every phrase being counted.
+
+A task sums equal phrases of a slice of text, so a pass gives out no more rows than there are words, and one per
+language and slice. What the second and third pass count grows towards that: with `least` as it is, more phrases
+are frequent in a larger table.
 
 Text is lower-cased from A to Z alone, split at `[.,;:!?\\x0A-\\x0D]` into pieces and those at spaces and tabs into
 words. Edge cases: null and empty texts have no words, a null language is `und`; repeated rows count as often as they
-occur; a text of any length is one row's windows, in slices of whole rows; an empty table has no phrases. Columns
+occur; a text of any length is counted as a whole, slices are of whole rows; an empty table has no phrases. Columns
 other than text and language are not read.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm.common import LOWER, Stages, mix, per_process, span_hashes, strings, task, text_bytes, text_slices, word_spans
 
-LONGEST = 5
-WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-#: No word is empty, so an empty text pads a window.
-PAD = ""
+#: No word is empty, so an empty phrase stands for all words.
+ALL = ""
 SLICE_BYTES = 1 << 21
+#: Phrases that a task gives out at once.
+ROWS_EACH = 1 << 20
 #: Bits of the filter at most: 16 MB in every worker.
 FILTER_BITS = 1 << 27
 _PAGE_BITS = 1 << 15
@@ -54,7 +56,8 @@ class _Words:
     def __init__(self, rows: pa.RecordBatch):
         raw, borders = text_bytes(rows.column(0))
         self.data = LOWER[raw]
-        self.starts, self.ends, firsts = word_spans(self.data, borders, _IS_WORD)
+        self.starts, self.ends, self.firsts = word_spans(self.data, borders, _IS_WORD)
+        firsts = self.firsts
         langs = rows.column(1).dictionary_encode()
         self.langs = langs.dictionary
         self.lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(firsts))
@@ -75,17 +78,48 @@ class _Words:
         out[out] = _passes(bits, self.pair_hashes[out])
         return out
 
+    def triples(self, bits: np.ndarray) -> np.ndarray:
+        """Which words lead to the next two by a triple that the filter holds."""
+        out = self.leads.copy()
+        out[:-1] &= self.leads[1:]
+        at = np.flatnonzero(out)
+        out[at] = _passes(bits, self.triple_hashes(at))
+        return out
+
     def triple_hashes(self, at: np.ndarray) -> np.ndarray:
         """Hash of each word of `at` with the next two."""
         return mix(self.pair_hashes[at] * _RADIX + self.hashes[at + 2])
 
-    def texts(self, chosen: np.ndarray, is_pad: np.ndarray) -> pa.Array:
-        """The chosen words, pads where told so."""
-        starts = self.starts[chosen]
-        sizes = np.where(is_pad, 0, self.ends[chosen] - starts)
-        borders = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.arange(borders[-1]) + np.repeat(starts - borders[:-1], sizes)
-        return strings(self.data[places], borders)
+    @cached_property
+    def _spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each with a space behind it, and where they begin."""
+        borders = np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        out = np.full(borders[-1], 0x20, np.uint8)
+        of_word = np.ones(len(out), bool)
+        of_word[borders[1:] - 1] = False
+        out[of_word] = self.data[_IS_WORD[self.data]]
+        return out, borders
+
+    def texts(self, at: np.ndarray, size: int) -> pa.Array:
+        """The phrases of `size` words that begin at `at`, joined by one space."""
+        data, borders = self._spaced
+        starts = borders[at]
+        sizes = borders[at + size] - 1 - starts
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return strings(data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends)
+
+    def counted(self, at: np.ndarray, size: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n) of the phrases of `size` words that begin at `at` and have these hashes."""
+        _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        for k in range(0, len(first), ROWS_EACH):
+            shown = at[first[k : k + ROWS_EACH]]
+            yield pa.record_batch(
+                {
+                    "lang": pc.take(self.langs, pa.array(self.lang[shown])),
+                    "phrase": self.texts(shown, size),
+                    "n": counts[k : k + ROWS_EACH].astype(np.int64),
+                }
+            )
 
 
 def _spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,17 +135,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
                 yield words
 
 
-def _sums(keys: np.ndarray) -> pa.RecordBatch:
-    unique, counts = np.unique(keys, return_counts=True)
-    return pa.record_batch({"hash": unique.view(np.int64), "n": counts.astype(np.int64)})
+PHRASE_COUNTS = "lang string, phrase string, n bigint"
 
 
 @task
-def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the words and of the pairs of every slice."""
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of the words and of the pairs of every slice, and of all its words."""
     for words in _slices(batches):
-        yield _sums(words.hashes)
-        yield _sums(words.pair_hashes[words.leads])
+        totals = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
+        yield pa.record_batch({"lang": words.langs, "phrase": [ALL] * len(totals), "n": totals})
+        yield from words.counted(np.arange(len(words.starts)), 1, words.hashes)
+        at = np.flatnonzero(words.leads)
+        yield from words.counted(at, 2, words.pair_hashes[at])
 
 
 def _triples(words: _Words, bits: np.ndarray) -> np.ndarray:
@@ -175,81 +210,65 @@ class _Filter:
         return out
 
 
-def _filter(hashes: DataFrame, least: int, bits: int, more: list[tuple[int, bytes]]) -> _Filter:
-    """Of the (hash, n) rows that sum to `least` and more, and of `more` pages."""
-    frequent = hashes.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pages = [(r.page, bytes(r.mask)) for r in _filter_pages(frequent, bits).collect()]
-    return _Filter(hashes.sparkSession, more + pages, bits)
-
-
-# ---- windows and counts --------------------------------------------------------------------------
-
-
-def _windows_of(words: _Words, bits: np.ndarray) -> pa.RecordBatch:
-    """(lang, w1 .. w5, n): the padded windows of a slice; words that begin none are a window of pads."""
-    n = len(words.starts)
-    pairs, triples, at = words.passing(bits), np.zeros(n, bool), _triples(words, bits)
-    triples[at] = _passes(bits, words.triple_hashes(at))
-    begins = _passes(bits, words.hashes)
-    length = begins.astype(np.int64)
-    key = words.hashes.copy()
-    on = begins.copy()
-    for k in range(1, LONGEST):
-        # The pair, then the triple, that the k-th next word ends.
-        reached = pairs if k == 1 else triples[k - 2 :]
-        on[: max(0, n - k)] &= reached[: max(0, n - k)]
-        on[max(0, n - k) :] = False
-        at = np.flatnonzero(on)
-        key[at] = mix(key[at] * _RADIX + words.hashes[at + k])
-        length[at] += 1
-    at = np.flatnonzero(begins)
-    _, first, counts = np.unique(mix(key[at] + length[at].astype(np.uint64)), return_index=True, return_counts=True)
-    shown = at[first]
-    others = np.bincount(words.lang[~begins], minlength=len(words.langs))
-    rest = others[others > 0]
-    langs = np.append(words.lang[shown], np.flatnonzero(others))
-    columns = {"lang": pc.take(words.langs, pa.array(langs))}
-    for k, name in enumerate(WORDS):
-        padded = np.append(length[shown] <= k, np.ones(len(rest), bool))
-        chosen = np.append(np.minimum(shown + k, n - 1), np.zeros(len(rest), np.int64))
-        columns[name] = words.texts(chosen, padded)
-    columns["n"] = pa.array(np.concatenate([counts, rest]).astype(np.int64))
-    return pa.record_batch(columns)
-
-
-def windows(texts: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, w1 .. w5, n): how often each padded window occurs; `texts` has text and language alone."""
-    pairs = _filter(texts.mapInArrow(_count_hashes, "hash bigint, n bigint"), least, filter_bits, [])
+def _filter(frequent: DataFrame, size: int, bits: int) -> _Filter:
+    """Of the phrases of `size` words, 2 or 3, of (lang, phrase) rows."""
 
     @task
-    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
-            yield _sums(words.triple_hashes(_triples(words, pairs.held())))
+            at = words.firsts[:-1]
+            yield pa.record_batch({"hash": (words.pair_hashes[at] if size == 2 else words.triple_hashes(at)).view(np.int64)})
+
+    of_size = frequent.where(_size(F.col("phrase")) == size).select("phrase", "lang")
+    pages = _filter_pages(of_size.mapInArrow(hashed, "hash bigint"), bits).collect()
+    return _Filter(frequent.sparkSession, [(r.page, bytes(r.mask)) for r in pages], bits)
+
+
+# ---- counts --------------------------------------------------------------------------------------
+
+
+def _size(phrase: Column) -> Column:
+    return F.when(phrase == ALL, 0).otherwise(F.size(F.split(phrase, " ")))
 
-    both = _filter(texts.mapInArrow(count_triples, "hash bigint, n bigint"), least, filter_bits, pairs.pages)
+
+def frequent_phrases(texts: DataFrame, least: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(lang, words, size, f): the phrases of up to five words that occur `least` times; of size 0, of all words.
+
+    `texts` has text and language alone.
+    """
+    stages = Stages(texts.sparkSession, "phrases")
+
+    def frequent(count, name: str) -> DataFrame:
+        summed = texts.mapInArrow(count, PHRASE_COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        return stages.keep(summed.where((F.col("phrase") == ALL) | (F.col("f") >= least)), name)
+
+    short = frequent(_count_pairs, "pairs")
+    pairs = _filter(short, 2, filter_bits)
 
     @task
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
-            yield _windows_of(words, both.held())
+            at = _triples(words, pairs.held())
+            yield from words.counted(at, 3, words.triple_hashes(at))
 
-    schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "n bigint"])
-    return texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    middle = frequent(count_triples, "triples")
+    triples = _filter(middle, 3, filter_bits)
 
+    @task
+    def count_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _slices(batches):
+            held = words.triples(triples.held())
+            at = np.flatnonzero(held[:-1] & held[1:])
+            hashes = mix(words.triple_hashes(at) * _RADIX + words.hashes[at + 3])
+            yield from words.counted(at, 4, hashes)
+            # No triple begins at the last two words, so a longer phrase stays inside.
+            on = held[np.minimum(at + 2, len(held) - 1)]
+            at = at[on]
+            yield from words.counted(at, 5, mix(hashes[on] * _RADIX + words.hashes[at + 4]))
 
-def prefix_counts(counted: DataFrame) -> DataFrame:
-    """(lang, words, size, f): occurrences of every phrase that begins a window; of size 0, of all words."""
-    summed = counted.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
-    size = F.lit(LONGEST) - F.bit_count("level")
-    words = F.slice(F.array(*WORDS), 1, F.col("size"))
-    return (
-        summed.withColumn("size", size)
-        .where((F.col("size") >= 0) & (F.col("size") <= LONGEST) & F.col("lang").isNotNull())
-        .withColumn("words", words)
-        # A prefix that ends in padding is a shorter phrase, which has its own row.
-        .where((F.col("size") == 0) | (F.get("words", F.col("size") - 1) != PAD))
-        .select("lang", "words", "size", "f")
-    )
+    found = short.unionByName(middle).unionByName(frequent(count_long, "long"))
+    words = F.when(F.col("phrase") == ALL, F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+    return found.select("lang", words.alias("words"), _size(F.col("phrase")).alias("size"), "f")
 
 
 def _phrase(words: Column) -> Column:
@@ -267,9 +286,7 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the documents, as `ranked` defines them."""
     texts = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    counts = prefix_counts(windows(texts, least, filter_bits))
-    counts = counts.where((F.col("size") == 0) | (F.col("f") >= least))
-    return ranked(Stages(docs.sparkSession, "phrases").keep(counts, "counts"), least, top, absorb)
+    return ranked(frequent_phrases(texts, least, filter_bits), least, top, absorb)
 
 
 def ranked(counts: DataFrame, least: int = 100, top: int | None = 2000, absorb: int = 100) -> DataFrame:

@@ -130,3 +130,21 @@ def test_nulls_empties_repeated_rows_empty_table_and_clashing_names(spark):
 def test_query_has_its_types(spark, folder):
     df = queries.QUERIES["op11_phrases"](spark, folder)
     assert [t for _, t in df.dtypes] == ["string", "bigint", "string"] + ["bigint"] * 5
+
+
+def test_no_phrase_is_counted_by_two_passes(spark, monkeypatch):
+    """Every word and pair comes from the first pass, longer phrases of frequent pairs and triples from one pass each."""
+    rows = noise(4, 100)
+    texts = table(spark, rows).fillna("und", "lang")
+    passes, given_out = [], type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda df, *more, **named: passes.append(given_out(df, *more, **named)) or passes[-1])
+    check(spark, rows, least=3)
+    found = [
+        {r.lang + "|" + r.phrase: r.n for r in p.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).collect()}
+        for p in passes if p.columns == ["lang", "phrase", "n"]
+    ]
+    counts = {f"{lang}|{' '.join(p)}": f for lang, (_, c) in plain_counts(rows).items() for p, f in c.items()}
+    sizes = [{len(k.split("|", 1)[1].split(" ")) for k in part if not k.endswith("|")} for part in found]
+    assert sizes == [{1, 2}, {3}, {4, 5}]
+    assert {k: f for k, f in found[0].items() if not k.endswith("|")} == {k: f for k, f in counts.items() if k.count(" ") < 2}
+    assert all(counts[k] == f for part in found[1:] for k, f in part.items())
