@@ -36,7 +36,7 @@ from faultline.llm.common import LOWER, Stages, mix, per_process, span_hashes, s
 ALL = ""
 SLICE_BYTES = 1 << 21
 #: Phrases that a task gives out at once.
-ROWS_EACH = 1 << 20
+ROWS_EACH = 1 << 15
 #: Bits of the filter at most: 16 MB in every worker.
 FILTER_BITS = 1 << 27
 _PAGE_BITS = 1 << 15

@@ -134,7 +134,7 @@ def test_query_has_its_types(spark, folder):
 
 def test_no_phrase_is_counted_by_two_passes(spark, monkeypatch):
     """Every word and pair comes from the first pass, longer phrases of frequent pairs and triples from one pass each."""
-    rows = noise(4, 100)
+    rows = noise(4, 100) + [("a B cc de en", "de")] * 5
     texts = table(spark, rows).fillna("und", "lang")
     passes, given_out = [], type(texts).mapInArrow
     monkeypatch.setattr(type(texts), "mapInArrow", lambda df, *more, **named: passes.append(given_out(df, *more, **named)) or passes[-1])
