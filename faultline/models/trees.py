@@ -42,6 +42,8 @@ CELL_ROWS = 2_500_000
 ENTRIES = 100_000
 #: Training rows of a cell whose boosting runs in one task: 30 bytes each at 30 features.
 BOOSTED_ROWS = 1_000_000
+#: Entries of the nodes that grow together: what they take stays in the cache.
+NEAR = 32_768
 #: Trees of one cell that a task grows side by side.
 TREES_EACH = 16
 #: Nodes whose histograms a task holds at once, 6 KB each and feature tried.
@@ -121,7 +123,9 @@ def tried(path: np.ndarray, width: int, some: int | None) -> np.ndarray:
         return np.broadcast_to(np.arange(width), (len(path), width))
     with np.errstate(over="ignore"):
         draws = _mix(path[:, None] + np.arange(1, width + 1, dtype=np.uint64) * _ODD)
-    return np.argsort(draws, axis=1)
+    # Numbers sort several times faster than places do, so the place takes the last bits of each.
+    last = np.uint64((1 << (width - 1).bit_length()) - 1)
+    return (np.sort(draws & ~last | np.arange(width, dtype=np.uint64), axis=1) & last).astype(np.int64)
 
 
 # ---- cuts ----------------------------------------------------------------------------------------
@@ -211,6 +215,192 @@ def _best(bins, row, node, w, p, total_w, total_p, path, choice: Settings):
     return feature, cut
 
 
+def _both(w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Two whole numbers as one, so that both are summed at once; no digit is lost while weights sum to less than `_HALF`."""
+    return w + p * _HALF
+
+
+def _apart(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = both * (1 / _HALF)
+    np.floor(p, out=p)
+    return both - p * _HALF, p
+
+
+_HALF = 2.0**26
+#: Most copies of a drawn row; copies and label are the last bits of an entry, and `_ENTRY` has what they sum to.
+_COPIES = 31
+_BITS = 6
+_ENTRY = _both(np.arange(2.0 * _COPIES + 2) // 2, np.arange(2.0 * _COPIES + 2) // 2 * (np.arange(2 * _COPIES + 2) % 2))
+
+
+def _best_of_labels(flat, at, node, entry, total, path, width: int, choice: Settings):
+    """What `_best` gives for whole weights and labels, and the same cuts, by short sorts in place of wide sums.
+
+    `flat[at + j]` is the j-th feature's bin of an entry, `total` what the entries of each node sum to.
+    """
+    n = len(path)
+    order, some = tried(path, width, choice.features), choice.features or width
+    top, feature, low, high = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    total_w, total_p = _apart(total)
+    before = np.cumsum(total) - total
+    kind = np.uint32 if n < 1 << (32 - 8 - _BITS) else np.uint64
+    dense = n * BINS <= 4 * len(node)
+    shifted = node << 8
+    base = _ENTRY.take(entry) if dense else (shifted << _BITS | entry).astype(kind)
+    for j in range(width):
+        if j >= some:
+            open_ = feature < 0
+            if not open_.any():
+                break
+            left = np.flatnonzero(open_.take(node))
+            at, node, shifted, base = at[left], node[left], shifted[left], base[left]
+            before = np.cumsum(np.where(open_, total, 0)) - total
+        turn = np.ascontiguousarray(order[:, j])
+        bin_ = flat.take(at + turn.take(node))
+        if dense:
+            sums = np.bincount(shifted + bin_, base, n * BINS)
+            key = np.flatnonzero(sums)
+            sums = np.cumsum(sums.take(key))
+        else:
+            line = bin_.astype(kind)
+            line <<= kind(_BITS)
+            line += base
+            line.sort()
+            place = line >> kind(_BITS)
+            last = np.append(np.flatnonzero(place[1:] != place[:-1]), len(place) - 1)
+            key = place.take(last)
+            line &= kind((1 << _BITS) - 1)
+            sums = np.cumsum(_ENTRY.take(line)).take(last)
+        # Runs of a node's bins; a cut follows each but the last one of a run.
+        own = key >> key.dtype.type(8)
+        ends = np.append(np.flatnonzero(own[1:] != own[:-1]), len(own) - 1)
+        begin, there = np.append(0, ends[:-1] + 1), own.take(ends).astype(np.int64)
+        count = ends - begin + 1
+        lw, lp = _apart(sums - np.repeat(before[there], count))
+        rw, rp = np.repeat(total_w[there], count), np.repeat(total_p[there], count)
+        rw -= lw
+        rp -= lp
+        rw[ends] = 1.0
+        purity = _purity(choice.criterion, lw, lp, rw, rp)
+        purity[ends] = -np.inf
+        best = np.maximum.reduceat(purity, begin)
+        better = best > top[there]
+        hit = np.flatnonzero(purity == np.repeat(np.where(better, best, np.inf), count))
+        mine = own.take(hit).astype(np.int64)
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        hit, won = hit[first], mine[first]
+        top[won], feature[won], low[won], high[won] = purity[hit], turn[won], key[hit] & 255, key[hit + 1] & 255
+    cut = (low + high) >> 1
+    if choice.tops is not None:
+        found = np.flatnonzero(feature >= 0)
+        cut[found] = _middle(choice.tops, feature[found], low[found], high[found])
+    return feature, cut
+
+
+@dataclass
+class _Part:
+    """Nodes that grow together, few enough to stay in the cache: their entries, the rows asked and the bins of both.
+
+    `flat[at + j]` is an entry's bin of feature j, `flat[asked + j]` that of an asked row; `alive` is its place in the answer.
+    """
+
+    flat: np.ndarray
+    at: np.ndarray
+    node: np.ndarray
+    entry: np.ndarray
+    asked: np.ndarray
+    asked_node: np.ndarray
+    alive: np.ndarray
+    path: np.ndarray
+
+    def cut(self, width: int) -> list["_Part"]:
+        """Parts of whole nodes with some `NEAR` entries each."""
+        n = len(self.path)
+        if len(self.node) <= 2 * NEAR or n == 1:
+            return [self]
+        number = np.cumsum(np.bincount(self.node, minlength=n)) // NEAR
+        edges = np.append(np.flatnonzero(np.diff(number, prepend=-1)), n)
+        if len(edges) == 2:
+            return [self]
+        which = np.repeat(np.arange(len(edges) - 1), np.diff(edges)).astype(np.uint16 if len(edges) <= 1 << 16 else np.int64)
+        mine, ask = (
+            np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(edges) - 1))[:-1])
+            for of in (which[self.node], which[self.asked_node])
+        )
+        return [self._some(slice(*some), *both, width) for *some, both in zip(edges[:-1], edges[1:], zip(mine, ask))]
+
+    def _some(self, nodes: slice, mine: np.ndarray, ask: np.ndarray, width: int) -> "_Part":
+        rows = np.concatenate([self.at[mine], self.asked[ask]]) // width
+        at = np.arange(0, len(rows) * width, width)
+        flat = self.flat.reshape(-1, width)[rows].ravel()
+        node, asked_node = self.node[mine] - nodes.start, self.asked_node[ask] - nodes.start
+        return _Part(flat, at[: len(mine)], node, self.entry[mine], at[len(mine) :], asked_node, self.alive[ask], self.path[nodes])
+
+    @staticmethod
+    def joined(parts: list["_Part"], width: int) -> "_Part":
+        if len(parts) == 1:
+            return parts[0]
+        # What is left of a part's rows is laid together anew.
+        parts = [p._some(slice(0, None), np.arange(len(p.node)), np.arange(len(p.alive)), width) for p in parts]
+        nodes, rows = (np.cumsum([0, *(len(x) for x in xs)]) for xs in ([p.path for p in parts], [p.flat for p in parts]))
+        more = {"node": nodes, "asked_node": nodes, "at": rows, "asked": rows}
+        return _Part(*(np.concatenate([getattr(p, c) + more[c][i] if c in more else getattr(p, c) for i, p in enumerate(parts)]) for c in _Part.__match_args__))
+
+    def step(self, depth: int, width: int, choice: Settings, out: np.ndarray) -> bool:
+        """Split the nodes once; rows asked that stand at leaves are answered. Whether any are left."""
+        n, node, asked_node = len(self.path), self.node, self.asked_node
+        total = np.bincount(node, _ENTRY.take(self.entry), n)
+        total_w, total_p = _apart(total)
+        value = total_p / np.maximum(total_w, 1e-300)
+        # Nodes of both labels have two rows at least.
+        count = np.bincount(node, minlength=n) if choice.min_samples_split > 2 else 2
+        to = np.flatnonzero(splits((total_p > 0) & (total_p < total_w), count, depth, choice))
+        feature, cut, place = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -1)
+        if len(to):
+            if len(to) < n:
+                place[to] = np.arange(len(to))
+                inside = place.take(node)
+                on = np.flatnonzero(inside >= 0)
+                self.at, node, self.entry = self.at[on], inside[on], self.entry[on]
+            feature[to], cut[to] = _best_of_labels(self.flat, self.at, node, self.entry, total[to], self.path[to], width, choice)
+        grown = np.flatnonzero(feature >= 0)
+        if len(grown) < n:
+            ends = feature.take(asked_node) < 0
+            out[self.alive[ends]] = value[asked_node[ends]]
+            on = np.flatnonzero(~ends)
+            self.alive, self.asked, asked_node = self.alive[on], self.asked[on], asked_node[on]
+        if not len(self.alive):
+            return False
+        place[grown] = np.arange(len(grown)) * 2
+        self.asked_node = place.take(asked_node) + (self.flat.take(self.asked + feature.take(asked_node)) > cut.take(asked_node))
+        # Entries stand at the nodes of `to` by now.
+        feature, cut = feature[to], cut[to]
+        if len(grown) < len(to):
+            on = np.flatnonzero(feature.take(node) >= 0)
+            self.at, node, self.entry = self.at[on], node[on], self.entry[on]
+        self.node = place[to].take(node) + (self.flat.take(self.at + feature.take(node)) > cut.take(node))
+        self.path = children(self.path[grown])
+        return True
+
+
+def _finish_labels(bins, label, row, node, w, asked, asked_node, path, depth: int, choice: Settings) -> np.ndarray:
+    """`finish` for whole weights and labels: level by level too, but part by part of a level."""
+    out, width = np.zeros(len(asked)), bins.shape[1]
+    entry = w.astype(np.int64) << 1 | label[row].astype(np.int64)
+    flat = np.ascontiguousarray(bins).ravel()
+    parts = [_Part(flat, row * width, node, entry, asked * width, asked_node, np.arange(len(asked)), path)] if len(asked) else []
+    while parts:
+        parts = [p for whole in parts for p in whole.cut(width)]
+        parts = [p for p in parts if p.step(depth, width, choice, out)]
+        depth += 1
+        # Parts that have become small are joined.
+        size = np.array([len(p.node) + len(p.alive) for p in parts])
+        if len(parts) > 1 and size.min() < NEAR // 4:
+            number = np.cumsum(size) // NEAR
+            parts = [_Part.joined([parts[i] for i in np.flatnonzero(number == k)], width) for k in np.unique(number)]
+    return out
+
+
 def splits(mixed, count, depth: int, choice: Settings) -> np.ndarray:
     """Which nodes are to be split, by whether their targets differ, and their rows."""
     deep = choice.max_depth is not None and depth >= choice.max_depth
@@ -223,6 +413,8 @@ def finish(bins, target, row, node, w, asked, asked_node, path, depth: int, choi
     Training entries are (row, node, w), asked ones (asked, asked_node); node k has path[k]. A leaf's value is
     the mean target, or its sum over that of `share` per entry.
     """
+    if share is None and not choice.boosted and choice.splitter == "best" and w.max(initial=0) <= _COPIES and w.sum() < _HALF:
+        return _finish_labels(bins, target, row, node, w, asked, asked_node, path, depth, choice)
     out, alive = np.zeros(len(asked)), np.arange(len(asked))
     p = w * target[row]
     share = w if share is None else share

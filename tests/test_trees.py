@@ -221,3 +221,22 @@ def test_middle_of_values_among_bins():
     tops = np.array([[1.0, 2.0, 3.0, 10.0, 11.0, np.inf], [-np.inf, 0.0, 5.0, 6.0, np.inf, np.inf]])
     feature, low, high = np.array([0, 0, 0, 1, 1]), np.array([0, 2, 3, 0, 1]), np.array([4, 4, 5, 5, 3])
     assert trees._middle(tops, feature, low, high).tolist() == [2, 2, 4, 0, 1]
+
+
+@pytest.mark.parametrize("choice", [trees.Settings(features=3), trees.Settings(criterion="entropy", min_samples_split=7), trees.Settings(max_depth=4, features=2)])
+def test_labels_are_cut_without_wide_sums_and_part_by_part(monkeypatch, choice):
+    """Drawn rows of labels grow by short sorts, in parts of a level; the leaves are those of the plain way."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, [3, 40, 256, 256, 7], (4000, 5)).astype(np.uint8)
+    label = (rng.random(4000) < 0.2 + 0.6 * (bins[:, 2] > 90)).astype(float)
+    row, asked = np.tile(np.arange(3000), 2), np.tile(np.arange(3000, 4000), 2)
+    node, asked_node, w = np.repeat([0, 1], 3000), np.repeat([0, 1], 1000), rng.integers(1, 4, 6000).astype(float)
+    args = bins, label, row, node, w, asked, asked_node, trees.roots(3, np.arange(2)), 0, choice
+    plain = trees.finish(*args, share=w)
+    parts = []
+    cut = trees._Part.cut
+    monkeypatch.setattr(trees, "_sums", None)
+    monkeypatch.setattr(trees, "NEAR", 300)
+    monkeypatch.setattr(trees._Part, "cut", lambda self, width: parts.append(cut(self, width)) or parts[-1])
+    np.testing.assert_array_equal(trees.finish(*args), plain)
+    assert max(map(len, parts)) > 1
