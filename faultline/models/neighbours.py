@@ -1,11 +1,12 @@
 """Exact nearest neighbours in Euclidean distance, and votes over them.
 
-Equal training vectors are merged into one with a count. Points and queries are dealt into blocks by
-hash, sized by what a worker holds; every pair of blocks of a group meets in one task, which leaves each
-query its `k` best. Pairs of rows are never emitted: a block's answer is at most `k` rows per query, and
-only the k best of these are merged. Neighbours are ordered by (distance, label).
+Equal training vectors are merged into one with a count and written once, as files of one group each, to the folder
+that all tasks share. Queries are dealt into blocks by hash; a task reads its group's files block of points by block of
+points, sized by what a worker holds, and carries each query's best from one to the next. So nothing is copied per
+block but bytes read, and a query's answer leaves its task as one row of its `k` best, which votes read as it is.
+Neighbours are ordered by (distance, label).
 
-Within a pair of blocks the points lie in small cells of a k-d tree over their main axes. A query's nearest
+Within a block the points lie in small cells of a k-d tree over their main axes. A query's nearest
 cells give it a bound; cells whose box lies farther are left out, and of the points in the others a short
 product in single precision, lowered by its rounding, leaves few whose distance has to be taken. No point
 within the bound is lost, so the answer is that of all pairs.
@@ -13,18 +14,25 @@ within the bound is lost, so the answer is that of all pairs.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from faultline.session import stage
+from faultline.session import new_folder, open_shared, release, stage
 
 #: Rows of a block of points and of queries: with 30 features a task takes about 600 MB for them.
-POINT_ROWS = 600_000
+POINT_ROWS = 250_000
 QUERY_ROWS = 150_000
-#: Pairs of blocks that a core takes one after the other, at least.
+#: Blocks of queries that a core takes one after the other, at least.
 TURNS = 3
+#: Columns that number the groups, and the blocks of queries within one.
+CELL_OF, PART_OF = "search_cell", "search_part"
 SLICE = 2_000_000
 #: Points of a cell, main axes that are looked at first, queries at once, and cells that give the first bound.
 CELL = 256
@@ -47,11 +55,54 @@ def _slices(rows: int, width: int):
     return (slice(at, at + step) for at in range(0, rows, step))
 
 
+#: (query, distance, label, copies) of neighbours found, by query and from the nearest on.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 def _best(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
     """Per query: distances, labels and copies of the nearest points, until k copies are met."""
+    return _by_query(len(x), _found(x, points, label, copies, k))
+
+
+def _best_of_cells(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
+    return _by_query(len(x), _found_in_cells(x, points, label, copies, k, np.full(len(x), np.inf)))
+
+
+def _best_of_all(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
+    return _by_query(len(x), _found_in_all(x, points, label, copies, k))
+
+
+def _by_query(n: int, found: Found) -> list[tuple]:
+    edges = np.searchsorted(found[0], np.arange(n + 1)).tolist()
+    return [tuple(column[a:b] for column in found[1:]) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _found(x, points, label, copies, k: int, bound: np.ndarray | None = None) -> Found:
+    """The nearest of each query until k copies are met, of those within its bound if one is given; more may come along."""
     if len(points) <= 4 * CELL or k > CELL or not (_tame(x) and _tame(points)):
-        return _best_of_all(x, points, label, copies, k)
-    return _best_of_cells(x, points, label, copies, k)
+        return _found_in_all(x, points, label, copies, k)
+    return _found_in_cells(x, points, label, copies, k, np.full(len(x), np.inf) if bound is None else bound)
+
+
+def _nearest_of(x: np.ndarray, blocks: Iterator[tuple], k: int) -> Found:
+    """The nearest of each query among all blocks of points, until k copies are met."""
+    best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bound = np.full(len(x), np.inf)
+    for points, label, copies in blocks:
+        more = _found(x, points, label, copies, k, bound)
+        row, distance, label, copies = (np.concatenate(c) for c in zip(best, more))
+        order = np.lexsort((copies, label, distance, row))
+        row, distance, label, copies = row[order], distance[order], label[order], copies[order]
+        edges = np.searchsorted(row, np.arange(len(x) + 1))
+        after = np.cumsum(copies)
+        before = after - copies
+        own = before - before[edges[row]]
+        kept = own < k
+        # Where k copies are met, the last one kept bounds what other blocks can add.
+        last = kept & (own + copies >= k)
+        bound[row[last]] = distance[last]
+        best = row[kept], distance[kept], label[kept], copies[kept]
+    return best
 
 
 def _tame(rows: np.ndarray) -> bool:
@@ -119,7 +170,8 @@ class _Nearest:
         return np.searchsorted(self.kept[0], np.arange(len(self.x) + 1))
 
 
-def _best_of_cells(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
+def _found_in_cells(x, points, label, copies, k: int, most: np.ndarray) -> Found:
+    """The nearest of each query within `most`."""
     middle = points.mean(axis=0)
     turned = points - middle
     axes = np.linalg.eigh(turned.T @ turned)[1][:, ::-1]
@@ -154,7 +206,10 @@ def _best_of_cells(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies:
             gap = np.maximum(low[:, j, None] - c, c - high[:, j, None]) - room
             np.maximum(gap, 0, out=gap)
             away += np.square(gap, out=gap)
-        bound = _first_bound(query, _asking(asked, slack).astype(np.float32), whole, points, away, spans, k)
+        bound = most[a : a + ASKED].copy()
+        if not np.isfinite(bound).all():
+            first = _first_bound(query, _asking(asked, slack).astype(np.float32), whole, points, away, spans, k)
+            np.minimum(bound, first, out=bound)
         near = _Nearest(query, points, label, copies, k, order)
         line = _asking(hint, slack)
         done = np.zeros(away.shape, bool)
@@ -188,9 +243,8 @@ def _best_of_cells(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies:
             total = np.append(0, np.cumsum(copies[at]))
             full = np.flatnonzero(total[edges[1:]] - total[edges[:-1]] >= k)
             bound[full] = np.minimum(bound[full], distance[edges[full + 1] - 1])
-        for start, stop in zip(edges[:-1], edges[1:]):
-            out.append((distance[start:stop], label[at[start:stop]], copies[at[start:stop]]))
-    return out
+        out.append((row + a, distance, label[at], copies[at]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _first_bound(query, line, whole, points, away, spans, k: int) -> np.ndarray:
@@ -211,11 +265,11 @@ def _first_bound(query, line, whole, points, away, spans, k: int) -> np.ndarray:
     return best[:, -1] if k == 1 else best.max(axis=1)
 
 
-def _best_of_all(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: np.ndarray, k: int):
+def _found_in_all(x, points, label, copies, k: int) -> Found:
     """A matrix product finds all points that could be among the k nearest, with room for its
     rounding; only for those are distances taken exactly.
     """
-    out = []
+    out = [(np.zeros(0, np.int64), np.zeros(0), label[:0], copies[:0])]
     weight = (points * points).sum(axis=1)
     for part in _slices(len(x), len(points)):
         query = x[part]
@@ -232,20 +286,10 @@ def _best_of_all(x: np.ndarray, points: np.ndarray, label: np.ndarray, copies: n
         order = np.lexsort((label[at], distance, row))
         row, at, distance = row[order], at[order], distance[order]
         edges = np.searchsorted(row, np.arange(len(query) + 1))
-        for start, stop in zip(edges[:-1], edges[1:]):
-            near = at[start:stop]
-            enough = int(np.searchsorted(np.cumsum(copies[near]), k)) + 1
-            near = near[:enough]
-            out.append((distance[start : start + len(near)], label[near], copies[near]))
-    return out
-
-
-def _columns(best) -> dict:
-    return {
-        "d": [b[0] for b in best],
-        "label": [b[1].astype("int32") for b in best],
-        "copies": [b[2].astype("int64") for b in best],
-    }
+        before = np.append(0, np.cumsum(copies[at]))
+        near = before[:-1] - before[edges[row]] < k
+        out.append((row[near] + part.start, distance[near], label[at[near]], copies[at[near]]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _merge_copies(train: DataFrame, features: list[str], by: list[str]) -> DataFrame:
@@ -270,50 +314,119 @@ def neighbours(
     queries, as an exact search in many dimensions must be; `max_train_rows`, off by default, bounds it
     by a hash sample of about so many distinct points per group. A group without points answers nothing.
     """
+    found = nearest(train, queries, features, keys, k, by, point_rows, query_rows, max_train_rows)
+    kept = [*by, *keys, "y"]
+    return found.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n")).select(*kept, "n.*")
+
+
+def nearest(
+    train: DataFrame,
+    queries: DataFrame,
+    features: list[str],
+    keys: list[str],
+    k: int,
+    by: list[str] = ["round", "fold"],
+    point_rows: int = POINT_ROWS,
+    query_rows: int = QUERY_ROWS,
+    max_train_rows: int | None = None,
+) -> DataFrame:
+    """What `neighbours` gives, as one row per query: (by, keys, y) and arrays d, label, copies, nearest first."""
     query = queries.select(*by, *keys, F.col("label").cast("int").alias("y"), *features)
-    points = stage(_merge_copies(train, features, by))
-    sizes = _sizes(points, by, "points").join(_sizes(query, by, "queries"), by)
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) - 1  # one row per group
+    asked = stage(_sizes(query, by, "queries").withColumn(CELL_OF, number))
+    merged = _merge_copies(train, features, by).join(F.broadcast(asked.select(*by, CELL_OF)), by).drop(*by)
+    release(train.sparkSession)  # what the tables before left: points are the next large thing on disk
+    points = _shared(merged)
+    sizes = asked.join(F.broadcast(_sizes(points, [CELL_OF], "points")), CELL_OF)
     if max_train_rows is not None:
         share = max_train_rows / F.col("points")
         even = F.pmod(F.xxhash64(F.lit(1), *features), F.lit(1 << 30)) / float(1 << 30)
-        points = points.join(F.broadcast(sizes), by).where(even < share).drop("points", "queries")
-    cut = stage(_block_counts(sizes, by, point_rows, query_rows))
-    pairs = cut.agg(F.sum(F.col("point_blocks") * F.col("query_blocks"))).first()[0] or 1
-    cut = F.broadcast(cut)  # one row per group
-
-    def dealt(df: DataFrame, own: str, other: str, on: list[str]) -> DataFrame:
-        mine = F.pmod(F.xxhash64(*on), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
-        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        # Many more partitions than pairs, so that few share one; a number given is not coalesced to fewer.
-        return df.join(cut, by).select(*df.columns, mine, each).repartition(4 * pairs, *block)
-
-    block = [*by, "point_block", "query_block"]
-    left = dealt(points, "point", "query", features).groupBy(*block)
-    right = dealt(query, "query", "point", keys).groupBy(*block)
+        points = _shared(points.join(F.broadcast(sizes), CELL_OF).where(even < share).select(*points.columns))
+    cut = stage(_block_counts(sizes, [*by, CELL_OF], point_rows, query_rows))
+    blocks = cut.agg(F.sum("query_blocks")).first()[0] or 1
+    files: dict[int, list[str]] = {}
+    for name in sorted(points.inputFiles()):
+        files.setdefault(int(re.search(f"/{CELL_OF}=([0-9]+)/", name)[1]), []).append(name)
+    block = [CELL_OF, PART_OF]
     kept = [*by, *keys, "y"]
+    mine = F.pmod(F.xxhash64(*keys), F.col("query_blocks")).cast("int").alias(PART_OF)
+    dealt = query.join(F.broadcast(cut), by).select(*query.columns, CELL_OF, mine)
+    # Many more partitions than blocks, so that few share one; a number given is not coalesced to fewer.
+    dealt = dealt.repartition(8 * blocks, *block)
 
-    def search(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if near.empty or asked.empty:
-            return pd.DataFrame(columns=[*kept, "d", "label", "copies"])
-        best = _best(
-            asked[features].to_numpy(dtype=float),
-            near[features].to_numpy(dtype=float),
-            near["label"].to_numpy(),
-            near["copies"].to_numpy(),
-            k,
-        )
-        return asked[kept].assign(**_columns(best))
+    def search(table: pa.Table) -> pa.Table:
+        held = _point_blocks(files.get(table.column(CELL_OF)[0].as_py(), []), features, point_rows)
+        found = _nearest_of(_matrix(table, features), held, k)
+        return _answers(table.select(kept), found, k)
 
     schema = T.StructType([query.schema[c] for c in kept] + _BEST)
-    merged = _combine(left.cogroup(right).applyInPandas(search, schema), kept, k)
-    return merged.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n")).select(*kept, "n.*")
+    return dealt.groupBy(*block).applyInArrow(search, schema)
+
+
+def _shared(points: DataFrame) -> DataFrame:
+    """`points` as files of one group each in the folder that all tasks read."""
+    path = new_folder(points.sparkSession, "points")
+    points.write.partitionBy(CELL_OF).parquet(path)
+    return points.sparkSession.read.schema(points.schema).parquet(path)
+
+
+def _matrix(table, features: list[str]) -> np.ndarray:
+    out = np.empty((table.num_rows, len(features)))
+    for j, c in enumerate(features):
+        out[:, j] = table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy()
+    return out
+
+
+def _point_blocks(files: list[str], features: list[str], rows: int) -> Iterator[tuple]:
+    """(points, label, copies) of the files' rows, so many at a time."""
+    held, size = [], 0
+
+    def block() -> tuple:
+        table = pa.Table.from_batches(held)
+        label, copies = (table.column(c).to_numpy() for c in ("label", "copies"))
+        return _matrix(table, features), label, copies
+
+    for name in files:
+        with open_shared(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(min(rows, 1 << 16), columns=["label", "copies", *features]):
+                while size + batch.num_rows >= rows:
+                    held.append(batch.slice(0, rows - size))
+                    batch = batch.slice(rows - size)
+                    yield block()
+                    held, size = [], 0
+                if batch.num_rows:
+                    held.append(batch)
+                    size += batch.num_rows
+    if held:
+        yield block()
+
+
+def _answers(rows: pa.Table, found: Found, k: int) -> pa.Table:
+    """`rows` with their neighbours as lists; rows without any are left out, those of equal keys are one row of the k best."""
+    row, distance, label, copies = found
+    first = np.arange(rows.num_rows)
+    groups = rows.append_column("_at", pa.array(first)).group_by(rows.column_names).aggregate([("_at", "min"), ("_at", "list")])
+    if groups.num_rows < rows.num_rows:
+        lists = groups.column("_at_list").combine_chunks()
+        first[lists.flatten().to_numpy()] = np.repeat(groups.column("_at_min").to_numpy(), pc.list_value_length(lists).to_numpy())
+        row = first[row]
+        order = np.lexsort((copies, label, distance, row))
+        row, distance, label, copies = row[order], distance[order], label[order], copies[order]
+        near = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, distance, label, copies = row[near], distance[near], label[near], copies[near]
+    there = np.unique(row)
+    edges = np.append(np.searchsorted(row, there), len(row)).astype(np.int32)
+    out = rows.take(pa.array(there))
+    for name, values in (("d", distance), ("label", label.astype(np.int32)), ("copies", copies.astype(np.int64))):
+        out = out.append_column(name, pa.ListArray.from_arrays(pa.array(edges), pa.array(values)))
+    return out
 
 
 def _block_counts(sizes: DataFrame, by: list[str], point_rows: int, query_rows: int) -> DataFrame:
     """(by, point_blocks, query_blocks): enough for the rows they may hold; of queries also for every core to have some.
 
-    Each block of queries more is a copy of the points and a tree of them, so their number goes by cores, not by
-    shuffle partitions.
+    Each block of queries more reads the points and builds a tree of them once more, so their number goes by cores,
+    not by shuffle partitions.
     """
     tasks = TURNS * sizes.sparkSession.sparkContext.defaultParallelism
     groups = Window.partitionBy(F.lit(0))
@@ -330,29 +443,34 @@ def _sizes(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
-def _combine(found: DataFrame, kept: list[str], k: int) -> DataFrame:
-    """The k best of all blocks' best; ranks are limited before the shuffle."""
-    near = found.select(*kept, F.explode(F.arrays_zip("d", "label", "copies")).alias("n"))
-    order = Window.partitionBy(*kept).orderBy("n.d", "n.label")
-    ranked = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    whole = F.sort_array(F.collect_list("n"))
-    merged = ranked.groupBy(*kept).agg(whole.alias("n"))
-    return merged.select(*kept, *(F.col("n")[c].alias(c) for c in ("d", "label", "copies")))
+def _voted(near: DataFrame, kept: list[str], answer: list[T.StructField], vote: Callable) -> DataFrame:
+    """`near` of `neighbours` or `nearest` with the columns that `vote` makes of each query's (d, label, copies), filled up with 0 copies."""
+    if not isinstance(near.schema["d"].dataType, T.ArrayType):
+        near = near.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("d", "label", "copies"))).alias("n"))
+        near = near.select(*kept, *(F.col("n")[c].alias(c) for c in ("d", "label", "copies")))
+    names = [f.name for f in answer]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("d")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            filled = []
+            for c in ("d", "label", "copies"):
+                wide = np.zeros((len(size), size.max(initial=0)))
+                wide[row, at] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
+                filled.append(wide)
+            made = vote(*filled)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *names])
 
-def _earlier(kept: list[str]) -> Column:
-    """Copies of the nearer neighbours."""
-    earlier = (
-        Window.partitionBy(*kept)
-        .orderBy("d", "label")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return F.coalesce(F.sum("copies").over(earlier), F.lit(0))
+    schema = T.StructType([near.schema[c] for c in kept] + answer)
+    return near.select(*kept, "d", "label", "copies").mapInArrow(run, schema)
 
 
-def _used(k: int, before: Column) -> Column:
-    """How many of a neighbour's copies are among the k nearest."""
-    return F.greatest(F.least(F.col("copies"), F.lit(k) - before), F.lit(0))
+def _used(copies: np.ndarray, k: int) -> np.ndarray:
+    """How many of each neighbour's copies are among the k nearest."""
+    before = np.cumsum(copies, axis=1) - copies
+    return np.maximum(np.minimum(copies, k - before), 0)
 
 
 def vote_distance(near: DataFrame, k: int, keys: list[str], by=["round", "fold"]) -> DataFrame:
@@ -360,20 +478,20 @@ def vote_distance(near: DataFrame, k: int, keys: list[str], by=["round", "fold"]
 
     The larger sum wins, the smaller label among equals.
     """
-    kept = [*by, *keys, "y"]
-    counted = near.withColumn("used", _used(k, _earlier(kept))).where(F.col("used") > 0)
-
-    def weight(label: int) -> Column:
-        own = F.col("label") == label
-        far = F.sum(F.when(own & (F.col("d") > 0), F.col("used") / F.col("d")).otherwise(0.0))
-        same = F.sum(F.when(own & (F.col("d") == 0), F.col("used")).otherwise(0))
-        return F.when(F.min("d") == 0, same.cast("double")).otherwise(far)
-
-    return (
-        counted.groupBy(*kept)
-        .agg(weight(1).alias("one"), weight(0).alias("zero"))
-        .select(*kept, F.when(F.col("one") > F.col("zero"), 1).otherwise(0).alias("p"))
-    )
+
+    def vote(d: np.ndarray, label: np.ndarray, copies: np.ndarray) -> list[pa.Array]:
+        used = _used(copies, k)
+        same = (used > 0) & (d == 0)
+        only = same.any(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(only[:, None], np.where(same, used, 0.0), np.where((used > 0) & (d > 0), used / d, 0.0))
+        one, zero = np.zeros(len(d)), np.zeros(len(d))
+        for j in range(d.shape[1]):  # sums from the nearest on, whatever the lists' length
+            one += np.where(label[:, j] == 1, weight[:, j], 0.0)
+            zero += np.where(label[:, j] == 0, weight[:, j], 0.0)
+        return [pa.array((one > zero).astype(np.int32))]
+
+    return _voted(near, [*by, *keys, "y"], [T.StructField("p", T.IntegerType(), False)], vote)
 
 
 def vote_uniform(
@@ -382,13 +500,15 @@ def vote_uniform(
     """Plain majority among the k nearest, for every k of `ks`, numbered by `config`."""
     kept = [*by, *keys, "y"]
 
-    def vote(k: int) -> Column:
-        used = _used(k, F.col("before"))
-        one = F.sum(F.when(F.col("label") == 1, used).otherwise(0))
-        zero = F.sum(F.when(F.col("label") == 0, used).otherwise(0))
-        return F.when(one > zero, 1).otherwise(0)
+    def vote(d: np.ndarray, label: np.ndarray, copies: np.ndarray) -> list[pa.Array]:
+        p = np.empty((len(d), len(ks)), np.int32)
+        for at, k in enumerate(ks):
+            used = _used(copies, k)
+            p[:, at] = (used * (label == 1)).sum(axis=1) > (used * (label == 0)).sum(axis=1)
+        edges = np.arange(0, p.size + 1, len(ks), dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(edges), pa.array(p.ravel()))]
 
     # One pass over the neighbours serves all k.
-    votes = F.array(*(F.struct(F.lit(k).alias("k"), vote(k).alias("p")) for k in ks)).alias("votes")
-    voted = near.withColumn("before", _earlier(kept)).groupBy(*kept).agg(votes)
-    return voted.select(*kept, F.posexplode("votes").alias("config", "vote")).select(*kept, "config", "vote.k", "vote.p")
+    voted = _voted(near, kept, [T.StructField("votes", T.ArrayType(T.IntegerType(), False), False)], vote)
+    voted = voted.select(*kept, F.posexplode("votes").alias("config", "p"))
+    return voted.select(*kept, "config", F.get(F.lit(ks), F.col("config")).alias("k"), "p")

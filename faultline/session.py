@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -54,6 +55,23 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more: it finds them when the driver's JVM
+    collects garbage, which by itself may not happen within a run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def open_shared(path: str):
+    """A file of the shared folder, inside a task, whatever its scheme."""
+    from pyarrow import fs
+
+    # Hadoop prints local paths as file:/x, and has names of its own for S3.
+    uri = re.sub("^file:/+", "file:///", re.sub("^s3[an]://", "s3://", path))
+    where, name = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return where.open_input_file(name)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

@@ -45,3 +45,32 @@ def test_null_features_still_answer():
     points[7, 1] = np.nan
     near = neighbours._best(points[:5], points, np.zeros(2000, int), np.ones(2000, int), 1)
     assert len(near) == 5
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties"])
+@pytest.mark.parametrize("k", [1, 4, 15])
+def test_block_after_block_gives_what_one_block_gives(kind, k):
+    rng = np.random.default_rng(k)
+    points, x = _rows(kind, 5000, rng), _rows(kind, 200, rng)
+    label, copies = rng.integers(0, 2, len(points)).astype("int32"), rng.integers(1, 4, len(points))
+    cuts = [0, 2000, 2010, 3500, 5000]
+    blocks = ((points[a:b], label[a:b], copies[a:b]) for a, b in zip(cuts, cuts[1:]))
+    got = neighbours._by_query(len(x), neighbours._nearest_of(x, blocks, k))
+    want = neighbours._best_of_all(x, points, label, copies, k)
+    for a, b in zip(got, want, strict=True):
+        # Which of equal points comes last may differ, not what counts.
+        (near, other), (mine, own) = ((d, label) for d, label, _ in (a, b))
+        used, wanted = (neighbours._used(copies[None], k)[0] for *_, copies in (a, b))
+        np.testing.assert_array_equal(np.repeat(near, used), np.repeat(mine, wanted))
+        np.testing.assert_array_equal(np.repeat(other, used), np.repeat(own, wanted))
+
+
+def test_later_blocks_start_from_the_bound_of_earlier_ones(monkeypatch):
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(6000, 10))
+    bounds = []
+    plain = neighbours._first_bound
+    monkeypatch.setattr(neighbours, "_first_bound", lambda *a: bounds.append(1) or plain(*a))
+    blocks = ((points[a : a + 2000], np.zeros(2000, "int32"), np.ones(2000, int)) for a in (0, 2000, 4000))
+    neighbours._nearest_of(points[:100], blocks, 3)
+    assert len(bounds) == 1

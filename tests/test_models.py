@@ -209,6 +209,35 @@ def test_blocks_go_by_cores_not_by_shuffle_partitions(spark):
     assert [(r.point_blocks, r.query_blocks) for r in rows] == [(1, max(2, each)), (4, max(1, each))]
 
 
+def test_blocks_are_read_not_copied_and_answers_are_a_row_per_query(spark):
+    """However many blocks of points there are, the queries are exchanged once and nothing is multiplied before the search."""
+    _, df = cloud(spark)
+    train, query = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    found = neighbours.neighbours(train, query, NAMES, ["id"], 5, ["g"], point_rows=60, query_rows=25)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "CoGroup" not in plan and "Window" not in plan
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "Generate" not in below
+    lists = neighbours.nearest(train, query, NAMES, ["id"], 5, ["g"], point_rows=60, query_rows=25)
+    assert lists.count() == query.count()
+    for ks in ([1, 3, 5],):
+        a, b = (neighbours.vote_uniform(near, ks, ["id"], ["g"]) for near in (found, lists))
+        assert sorted(a.collect()) == sorted(b.collect())
+    a, b = (neighbours.vote_distance(near, 5, ["id"], ["g"]) for near in (found, lists))
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == query.count()
+
+
+def test_queries_of_equal_or_missing_keys_are_answered_together(spark):
+    points = spark.createDataFrame([(0, 1, float(v)) for v in range(6)], "g int, label int, x double")
+    rows = [(0, 1, 7, 0.0), (0, 1, 7, 5.0), (0, 0, 7, 2.0), (0, 1, None, 3.0), (1, 1, 8, 3.0), (None, 1, 9, 3.0)]
+    asked = spark.createDataFrame(rows, "g int, label int, id int, x double")
+    found = neighbours.neighbours(points, asked, ["x"], ["id"], 2, ["g"]).toPandas()
+    got = {key: sorted(part["d"]) for key, part in found.groupby(["g", "id", "y"], dropna=False)}
+    assert {(g, None if i != i else i, y): d for (g, i, y), d in got.items()} == {
+        (0, 7, 1): [0.0, 0.0], (0, 7, 0): [0.0, 1.0], (0, None, 1): [0.0, 1.0],
+    }
+
+
 def test_votes(spark):
     rows = [
         (1, 0, 0.0, 1, 1), (1, 0, 0.1, 0, 5),
