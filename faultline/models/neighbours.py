@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from faultline.session import new_folder, open_shared, release, stage
 
-#: Rows of a block of points and of queries: with 30 features a task takes about 600 MB for them.
-POINT_ROWS = 250_000
+#: Rows of a block of points and of queries: with 30 features a task takes some 600 MB for them.
+POINT_ROWS = 125_000
 QUERY_ROWS = 150_000
 #: Blocks of queries that a core takes one after the other, at least.
 TURNS = 3
@@ -40,8 +40,8 @@ AXES = 16
 ASKED = 4096
 FIRST = 8
 #: Distances taken at once, and neighbours held before all but the k best are dropped.
-EXACT = 200_000
-HELD = 2_000_000
+EXACT = 50_000
+HELD = 500_000
 
 _BEST = [
     T.StructField("d", T.ArrayType(T.DoubleType())),
@@ -90,6 +90,7 @@ def _nearest_of(x: np.ndarray, blocks: Iterator[tuple], k: int) -> Found:
     bound = np.full(len(x), np.inf)
     for points, label, copies in blocks:
         more = _found(x, points, label, copies, k, bound)
+        del points  # before the next block is read
         row, distance, label, copies = (np.concatenate(c) for c in zip(best, more))
         order = np.lexsort((copies, label, distance, row))
         row, distance, label, copies = row[order], distance[order], label[order], copies[order]
@@ -194,6 +195,8 @@ def _found_in_cells(x, points, label, copies, k: int, most: np.ndarray) -> Found
     spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
     # Boxes may be off by the rounding of their sides.
     reach = 1e-6 * max(1.0, float(np.abs(low).max()), float(np.abs(high).max()))
+    widest = max(stop - start for start, stop in spans)
+    held = np.empty(ASKED * widest, np.float32), np.zeros(ASKED * widest + 8, bool)
     out = []
     for a in range(0, len(x), ASKED):
         query = x[a : a + ASKED]
@@ -226,7 +229,7 @@ def _found_in_cells(x, points, label, copies, k: int, most: np.ndarray) -> Found
                 row = np.flatnonzero(some)
                 if not len(row):
                     continue
-                hit = np.flatnonzero(bent[row] @ brief[start:stop].T <= 0)
+                hit = _at_most_zero(bent[row], brief[start:stop].T, held)
                 if len(hit):
                     i, j = np.divmod(hit, stop - start)
                     rows_.append(row[i])
@@ -247,6 +250,18 @@ def _found_in_cells(x, points, label, copies, k: int, most: np.ndarray) -> Found
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _at_most_zero(rows: np.ndarray, columns: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places in `rows @ columns`, laid end to end, of what is not above zero. They are few: eight are looked at as one word."""
+    size = len(rows) * columns.shape[1]
+    product, low = room[0][:size].reshape(len(rows), -1), room[1]
+    np.matmul(rows, columns, out=product)
+    np.less_equal(product, 0, out=low[:size].reshape(product.shape))
+    whole = -(-size // 8) * 8
+    low[size:whole] = False
+    some = np.flatnonzero(low[:whole].view(np.uint64))
+    return (some[:, None] * 8 + np.arange(8))[low[:whole].reshape(-1, 8)[some]]
+
+
 def _first_bound(query, line, whole, points, away, spans, k: int) -> np.ndarray:
     """The distance of the k-th nearest point in each query's nearest cells."""
     first = min(FIRST + k // CELL, len(spans))
@@ -380,25 +395,26 @@ def _matrix(table, features: list[str]) -> np.ndarray:
 def _point_blocks(files: list[str], features: list[str], rows: int) -> Iterator[tuple]:
     """(points, label, copies) of the files' rows, so many at a time."""
     held, size = [], 0
-
-    def block() -> tuple:
-        table = pa.Table.from_batches(held)
-        label, copies = (table.column(c).to_numpy() for c in ("label", "copies"))
-        return _matrix(table, features), label, copies
-
     for name in files:
         with open_shared(name) as source:
             for batch in pq.ParquetFile(source).iter_batches(min(rows, 1 << 16), columns=["label", "copies", *features]):
                 while size + batch.num_rows >= rows:
                     held.append(batch.slice(0, rows - size))
                     batch = batch.slice(rows - size)
-                    yield block()
-                    held, size = [], 0
+                    size = 0
+                    yield _block(held, features)
                 if batch.num_rows:
                     held.append(batch)
                     size += batch.num_rows
     if held:
-        yield block()
+        yield _block(held, features)
+
+
+def _block(held: list[pa.RecordBatch], features: list[str]) -> tuple:
+    """(points, label, copies) of the batches, which are let go."""
+    table = pa.Table.from_batches(held)
+    held.clear()
+    return _matrix(table, features), table.column("label").to_numpy().copy(), table.column("copies").to_numpy().copy()
 
 
 def _answers(rows: pa.Table, found: Found, k: int) -> pa.Table:

@@ -74,3 +74,33 @@ def test_later_blocks_start_from_the_bound_of_earlier_ones(monkeypatch):
     blocks = ((points[a : a + 2000], np.zeros(2000, "int32"), np.ones(2000, int)) for a in (0, 2000, 4000))
     neighbours._nearest_of(points[:100], blocks, 3)
     assert len(bounds) == 1
+
+
+def test_low_products_are_found_by_words():
+    rng = np.random.default_rng(2)
+    held = np.empty(4096, np.float32), np.ones(4104, bool)
+    for rows, columns in ((1, 1), (3, 5), (13, 17), (16, 16)):
+        a, b = rng.normal(size=(rows, 4)).astype(np.float32), rng.normal(size=(4, columns)).astype(np.float32)
+        np.testing.assert_array_equal(neighbours._at_most_zero(a, b, held), np.flatnonzero(a @ b <= 0))
+
+
+def test_a_block_of_points_is_let_go_before_the_next_is_read(tmp_path):
+    import weakref
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"label": pa.array([0] * 10, pa.int32()), "copies": [1] * 10, "x": [float(v) for v in range(10)]}), tmp_path / "points")
+    alive, most = [], 0
+    def watched():
+        nonlocal most
+        for block in neighbours._point_blocks([f"file://{tmp_path}/points"], ["x"], 4):
+            alive.append(weakref.ref(block[0]))
+            most = max(most, sum(a() is not None for a in alive))
+            points, label, copies = block
+            del block
+            yield points, label, copies
+            del points
+    row, distance, *_ = neighbours._nearest_of(np.array([[2.2], [9.0]]), watched(), 2)
+    assert most == 1 and len(alive) == 3
+    np.testing.assert_allclose(distance, [0.2, 0.8, 0.0, 1.0])
